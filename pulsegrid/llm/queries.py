@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import exact_dedup, mixing
+from pulsegrid.llm import exact_dedup, mixing, substring_dedup
 from pulsegrid.llm.common import table
 
 
@@ -15,8 +15,8 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {"op2_mix": op2_mix, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op2_mix": op2_mix, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql():
-    return {"op2_mix": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op2_mix": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
