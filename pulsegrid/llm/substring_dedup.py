@@ -60,6 +60,14 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(first, stop) of each run of equal values."""
+    if not len(x):
+        return []
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -110,8 +118,7 @@ class _Block:
     def ask(self, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
         """(bucket, packed entries) of the windows alive."""
         _, keys, bucket, lead = self._keys(length, buckets)
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        for a, b in _runs(bucket):
             payload = _planes(keys[a:b])
             if lead is not None:
                 at = self.alive[lead[a:b]]
@@ -125,8 +132,7 @@ class _Block:
         entry, keys, bucket, lead = self._keys(length, buckets)
         bits = np.zeros(len(keys), bool)
         given = {x["bucket"]: x["bits"] for x in answer or ()}
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        for a, b in _runs(bucket):
             bits[a:b] = np.unpackbits(np.frombuffer(given[int(bucket[a])], np.uint8), count=b - a).astype(bool)
         if lead is None:
             return bits[entry] | self.twice
@@ -157,13 +163,11 @@ def _by_block(batches: Iterator[pa.RecordBatch], min_words: int):
 
     for batch in batches:
         block = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                if held and held[0].column(0)[0].as_py() != block[a]:
-                    yield done()
-                    held = []
-                held.append(batch.slice(a, b - a))
+        for a, b in _runs(block):
+            if held and held[0].column(0)[0].as_py() != block[a]:
+                yield done()
+                held = []
+            held.append(batch.slice(a, b - a))
     if held:
         yield done()
 
