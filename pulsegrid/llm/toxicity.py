@@ -1,12 +1,13 @@
-"""Toxicity from class-conditional Kneser-Ney bigram models.
-
-Words are hashed case-insensitively with outer punctuation kept apart by the
-vocabulary's own counts. Each class has discounted bigrams over discounted
-unigrams; both back off to one shared continuation distribution (in how many
-different contexts a word was met in either class), so an expression that
-neither class knows says nothing. A text's score compares the two
-log-likelihoods per word; rows kept out of the counts fit the logistic map from
-that comparison, and the length it was averaged over, to a probability.
+"""Toxicity from class-conditional Kneser-Ney models of words' letters.
+
+Each class has a discounted model of ``ORDER`` bytes over what words are spelt of
+(inflected and compounded insults share their stem, not their form). Both back
+off to one shared model of continuation counts over shorter contexts, so a rare
+spelling that neither class knows says little. A word's evidence is the
+difference of its two log-likelihoods a byte; a text is judged by the
+length-normalised difference over all its words and by its strongest words, as
+a few words can make a long text toxic. Rows kept out of the counts fit the
+logistic map from these to a probability.
 """
 
 from __future__ import annotations
@@ -20,41 +21,60 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import table
 from pulsegrid.llm.language_id import fold
-from pulsegrid.llm.wordhash import Words, buffers, mix64, slices
+from pulsegrid.llm.wordhash import _LOWER, Words, buffers, slices
 
 #: Labelled rows of each class that training reads at most, chosen by a hash of their id.
 SAMPLE = 4_000
-#: Least count of an n-gram that the model keeps; rarer ones live in the backoff alone.
-LEAST = 2
-DISCOUNT = 0.75
+#: Bytes of an n-gram; its key packs them into one integer.
+ORDER = 6
+DISCOUNT = 0.9
+#: Strongest words whose mean evidence is a feature.
+TOP = 3
 THRESHOLD = 0.7
 TEXT_BYTES = 1 << 20
+_MARK = 32
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = _MARK
 
 
-def _word_hashes(texts: pa.Array) -> Words:
-    """Words with ASCII punctuation turned to space first, so "scum," and "Scum" are one word."""
+def _words(texts: pa.Array) -> Words:
+    """Words without ASCII punctuation and case, so "scum," and "Scum" are one word."""
     data, bounds = buffers(texts)
-    return Words(_PLAIN[data], bounds, lower=True)
+    return Words(_LOWER[_PLAIN[data]], bounds)
 
 
-_PLAIN = np.arange(256, dtype=np.uint8)
-_PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
+def _spelt(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of the words ``which``, marks around them, and where each word's begin."""
+    size = w.end[which] - w.start[which]
+    first = np.concatenate([[0], np.cumsum(size + 1)])
+    width = np.concatenate([[0], np.cumsum(size + ORDER)])
+    flat = np.full(int(width[-1]), _MARK, np.uint64)
+    own = np.repeat(np.arange(len(which)), size)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    flat[width[own] + ORDER - 1 + inner] = w.data[w.start[which][own] + inner]
+    key = np.zeros(max(0, len(flat) - ORDER + 1), np.uint64)
+    for k in range(ORDER):
+        key = (key << np.uint64(8)) | flat[k : k + len(key)]
+    at = np.repeat(width[:-1] - first[:-1], size + 1) + np.arange(int(first[-1]))
+    return key[at], first
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
+def _tail(keys: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes of each key."""
+    return keys & np.uint64((1 << (8 * n)) - 1)
 
 
 class Table:
-    """A float column by 64-bit key: sorted keys behind a directory of their leading bits."""
+    """A float column by key, 0 where there is none."""
 
-    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.columns = [np.append(c[order], 0.0) for c in columns]
+        self.keys, self.values = keys[order], np.append(values[order], 0.0)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key; the last, of zeros, where there is none."""
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.row(keys)]
+
+    def row(self, keys: np.ndarray) -> np.ndarray:
         n = len(self.keys)
         if not n:
             return np.zeros(len(keys), np.int64)
@@ -63,93 +83,95 @@ class Table:
         return np.where(self.keys[at] == keys, at, n)
 
 
+def _shared(grams: np.ndarray) -> dict[int, tuple[Table, Table]]:
+    """Per order below ``ORDER``: continuation counts by n-gram, and (discount mass) weights by context."""
+    out, above = {}, grams
+    for n in range(ORDER - 1, 0, -1):
+        keys, count = np.unique(_tail(above, n), return_counts=True)  # distinct longer n-grams
+        ctx, inv = np.unique(keys >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(inv, count), np.bincount(inv)
+        out[n] = Table(keys, np.maximum(count - DISCOUNT, 0) / total[inv]), Table(ctx, DISCOUNT * kinds / total)
+        above = keys
+    return out
+
+
+def _backoff(shared: dict, keys: np.ndarray) -> np.ndarray:
+    """Probability of each key's last byte after its context of ORDER - 2 bytes, under the shared model."""
+    p = np.full(len(keys), 1 / 256)
+    for n in range(1, ORDER):
+        k = _tail(keys, n)
+        seen, weight = shared[n]
+        lam = weight.get(k >> np.uint64(8))
+        p = np.where(lam > 0, seen.get(k) + lam * p, p)
+    return p
+
+
 @dataclass
 class Model:
-    words: Table  # shared, and per class: unigram part, backoff weight, log ratio ready for words without a known pair
-    pairs: Table  # per class: discounted bigram probability
-    floor: float
+    grams: Table  # log ratio by n-gram that either class has
+    contexts: Table  # log ratio of what a context leaves to n-grams that neither has
     weights: np.ndarray
-    base: list[float]
 
-    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the words and the mean log-likelihood ratio of a word."""
-        w = _word_hashes(texts)
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """Per text: mean log ratio a byte, its strongest word, the mean of its ``TOP`` strongest, log words."""
+        w = _words(texts)
         n = np.diff(w.first)
+        out = np.zeros((len(texts), 4))
+        out[:, 3] = np.log1p(n)
         if not len(w.h):
-            return n, np.zeros(len(texts))
-        row = self.words.find(w.h)
-        before = np.roll(row, 1)
-        starts = w.first[:-1][n > 0]
-        before[starts] = len(self.words.keys)
-        pair = self.pairs.find(_pair(np.roll(w.h, 1), w.h))
-        pair[starts] = len(self.pairs.keys)
-        shared, ratio = self.words.columns[0][row] + self.floor, np.zeros(len(row))
-        for c, sign in ((1, 1.0), (0, -1.0)):
-            uni, back, lam = self.words.columns[1 + 2 * c], self.words.columns[2 + 2 * c], self.base[c]
-            p = uni[row] + lam * shared
-            known = back[before]
-            p = np.where(known > 0, self.pairs.columns[c][pair] + known * p, p)
-            ratio += sign * np.log(p)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        return n, (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(n, 1)
+            return out
+        _, which, back = np.unique(w.h, return_index=True, return_inverse=True)
+        keys, first = _spelt(w, which)
+        row = self.grams.row(keys)
+        ratio = np.where(row < len(self.grams.keys), self.grams.values[row], self.contexts.get(keys >> np.uint64(8)))
+        total = np.add.reduceat(ratio, first[:-1])
+        size = np.diff(first)
+        word = (total / size)[back]
+        sums = np.concatenate([[0.0], np.cumsum(total[back])])
+        sizes = np.concatenate([[0], np.cumsum(size[back])])
+        some = np.flatnonzero(n)
+        out[:, 0] = (sums[w.first[1:]] - sums[w.first[:-1]]) / np.maximum(sizes[w.first[1:]] - sizes[w.first[:-1]], 1)
+        by = np.lexsort((-word, w.text_of))
+        strong = word[by]
+        out[some, 1] = strong[w.first[some]]
+        csum = np.concatenate([[0.0], np.cumsum(strong)])
+        k = np.minimum(n[some], TOP)
+        out[some, 2] = (csum[w.first[some] + k] - csum[w.first[some]]) / TOP
+        return out
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        n, mean = self.evidence(texts)
-        length = np.log1p(n) / 8
-        return np.stack([np.ones(len(n)), mean, mean * np.sqrt(n), mean * length, length], axis=1)
+        e = self.evidence(texts)
+        return np.column_stack([np.ones(len(e)), e, e[:, 1] * e[:, 3], e[:, 1] ** 2])
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
 
-def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, previous word or 0, pair) of all places."""
-    w = _word_hashes(pa.array(texts, pa.string()))
-    before = np.roll(w.h, 1) if len(w.h) else w.h
-    before[w.first[:-1][np.diff(w.first) > 0]] = 0
-    return w.h, before, _pair(before, w.h)
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    w = _words(pa.array(texts, pa.string()))
+    _, which, n = np.unique(w.h, return_index=True, return_counts=True)
+    keys, first = _spelt(w, which)
+    keys, inv = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(inv, np.repeat(n, np.diff(first)), len(keys))
 
 
 def train(toxic: list[str], plain: list[str]) -> Model:
     """Counts n-grams on two texts of three of each class; the third fits the logistic map."""
     part = lambda x, k: [t for i, t in enumerate(x) if (i % 3 == 2) == k]
     both = [_counts(part(plain, False)), _counts(part(toxic, False))]
-    # continuation: different contexts a word follows, over both classes
-    h, b, p = (np.concatenate([x[i] for x in both]) for i in range(3))
-    _, one = np.unique(p, return_index=True)
-    vocab, contexts = np.unique(h[one], return_counts=True)
-    shared = contexts / max(1, contexts.sum() + len(contexts))
-    floor = 1.0 / max(2, contexts.sum() + len(contexts))
-    columns, pair_keys, base = [shared], [], []
-    for words, before, pairs in both:
-        u, n = np.unique(words, return_counts=True)
-        total = max(1, n.sum())
-        uni = np.zeros(len(vocab))
-        uni[np.searchsorted(vocab, u)] = np.maximum(n - DISCOUNT, 0) / total
-        k, first, c = np.unique(pairs, return_index=True, return_counts=True)
-        ctx = before[first]
-        keep = (c >= LEAST) & (ctx != 0)
-        have = np.zeros(len(vocab))
-        have[np.searchsorted(vocab, u)] = n
-        kept_mass = np.zeros(len(vocab))
-        at = np.searchsorted(vocab, ctx[keep])
-        prob = (c[keep] - DISCOUNT) / have[at]
-        np.add.at(kept_mass, at, prob)
-        # what a context's kept pairs leave goes to its backoff, so that its probabilities add up to one
-        back = np.where(kept_mass > 0, np.maximum(1 - kept_mass, 1e-6), 0)
-        columns += [uni, back]
-        base.append(float(max(1 - uni.sum(), 1e-6)))
-        pair_keys.append((k[keep], prob))
-    keys = np.union1d(pair_keys[0][0], pair_keys[1][0])
-    probs = []
-    for k, prob in pair_keys:
-        x = np.zeros(len(keys))
-        x[np.searchsorted(keys, k)] = prob
-        probs.append(x)
-    seen = np.zeros(len(vocab))
-    seen[np.searchsorted(vocab, np.unique(h))] = np.unique(h, return_counts=True)[1]
-    often = seen >= LEAST
-    model = Model(Table(vocab[often], *[c[often] for c in columns]), Table(keys, *probs), floor, np.zeros(5), base)
+    grams = np.union1d(both[0][0], both[1][0])
+    shared = _shared(grams)
+    low = _backoff(shared, grams)
+    ctx, inv = np.unique(grams >> np.uint64(8), return_inverse=True)
+    logs, left = [], []
+    for keys, count in both:
+        n = np.zeros(len(grams))
+        n[np.searchsorted(grams, keys)] = count
+        total, kinds = np.bincount(inv, n, len(ctx)), np.bincount(inv, n > 0, len(ctx))
+        lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[inv] + lam[inv] * low))
+        left.append(np.log(lam))
+    model = Model(Table(grams, logs[1] - logs[0]), Table(ctx, left[1] - left[0]), np.zeros(7))
     texts = part(plain, True) + part(toxic, True)
     y = np.r_[np.zeros(len(part(plain, True))), np.ones(len(part(toxic, True)))]
     if 0 < y.sum() < len(y):
