@@ -24,7 +24,7 @@ from pulsegrid.llm.language_id import fold
 from pulsegrid.llm.wordhash import _LOWER, Words, buffers, slices
 
 #: Labelled rows of each class that training reads at most, chosen by a hash of their id.
-SAMPLE = 4_000
+SAMPLE = 3_000
 #: Bytes of an n-gram; its key packs them into one integer.
 ORDER = 6
 DISCOUNT = 0.9
