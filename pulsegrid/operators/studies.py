@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,3 +27,71 @@ def study_aggregate(sessions: DataFrame, samples: DataFrame, usable_ratio: float
         F.round(F.sum("answered").cast("double") / F.greatest(F.sum("scored"), F.lit(1)).cast("double"), 6).alias("answered_ratio"),
         F.round(F.median("median_hr"), 6).alias("median_hr"),
     )
+
+
+def session_summary(samples: DataFrame) -> DataFrame:
+    """Per session over all samples: counts, answered share, rate range, mean confidence, reasons by count."""
+    reasons = samples.where("reason IS NOT NULL").groupBy("session_id", "reason").agg(F.count("*").alias("k"))
+    hist = reasons.groupBy("session_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "k")))).alias("reasons"))
+    agg = samples.groupBy("session_id").agg(
+        F.count("*").alias("n_samples"),
+        F.count_if(F.col("reason").isNull()).alias("n_answered"),
+        F.median("hr_bpm").alias("median_hr"), F.min("hr_bpm").alias("min_hr"), F.max("hr_bpm").alias("max_hr"),
+        F.avg("confidence").alias("mean_confidence"),
+    )
+    return agg.withColumn("answered_ratio", F.col("n_answered") / F.col("n_samples")).join(hist, "session_id", "left")
+
+
+def reason_histogram(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("session_id", F.coalesce("reason", F.lit("answered")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def latest(rows: DataFrame, keys: list[str], newest: list) -> DataFrame:
+    """Upsert: the newest row of each key."""
+    w = W.partitionBy(*keys).orderBy(*newest)
+    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def consent_gate(rows: DataFrame, consents: DataFrame, version: str | None = None, scope: str | None = None) -> DataFrame:
+    """Rows of sessions whose consent is active, and current and in scope where asked."""
+    active = consents.where("withdrawn_at IS NULL")
+    if version is not None:
+        active = active.where(F.col("notice_version") == version)
+    if scope is not None:
+        active = active.where(F.array_contains("scopes", scope))
+    return rows.join(active.select("session_id").distinct(), "session_id", "left_semi")
+
+
+def erase(rows: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """A table without the withdrawn sessions' rows; every table and copy that carries the session is rewritten so."""
+    return rows.join(withdrawn.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def expired_sessions(sessions: DataFrame, studies: DataFrame, now: float, default_days: int = 90) -> DataFrame:
+    """Sessions past their study's retention; a session without a study falls under the default."""
+    days = F.coalesce("retention_days", F.lit(default_days))
+    return sessions.join(studies.select("study_id", "retention_days"), "study_id", "left").where(F.col("created_at") < F.lit(now) - days * 86400.0).select("session_id")
+
+
+def retention_purge(rows: DataFrame, sessions: DataFrame, studies: DataFrame, now: float, default_days: int = 90) -> DataFrame:
+    return erase(rows, expired_sessions(sessions, studies, now, default_days))
+
+
+def session_export(sessions: DataFrame, samples: DataFrame, marks: DataFrame) -> DataFrame:
+    """Each session with its samples and marks as arrays ordered by time; a session's own rows only meet in one task."""
+    s = samples.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", "hr_bpm", "confidence", "reason"))).alias("samples"))
+    m = marks.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", "label"))).alias("marks"))
+    return sessions.join(s, "session_id", "left").join(m, "session_id", "left")
+
+
+def overlay_segments(samples: DataFrame) -> DataFrame:
+    """Runs of answered samples of each session, never joined across a refusal: segment number, range in time and rate."""
+    w = W.partitionBy("session_id").orderBy("t", "event_id")
+    gaps = samples.withColumn("segment", F.sum(F.col("reason").isNotNull().cast("int")).over(w))
+    return gaps.where("reason IS NULL").groupBy("session_id", "segment").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"), F.min("hr_bpm").alias("low"), F.max("hr_bpm").alias("high"))
+
+
+def study_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions not withdrawn, newest first within their study."""
+    rank = F.row_number().over(W.partitionBy("study_id").orderBy(F.col("created_at").desc(), "session_id"))
+    return sessions.where("withdrawn_at IS NULL").withColumn("position", rank)
