@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scoring import clip
 
-_BY = W.partitionBy("recording_id").orderBy("i")
+def _by():
+    return W.partitionBy("recording_id").orderBy("i")
 
 
 def hop_windows(frames: DataFrame, win: int, stride: int) -> DataFrame:
@@ -25,7 +26,7 @@ def hop_windows(frames: DataFrame, win: int, stride: int) -> DataFrame:
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - (win - 1)) / stride)).cast("long")
     last = F.least(F.floor(F.col("i") / stride), F.floor((F.col("n") - win) / stride)).cast("long")
     out = frames.withColumn("n", n).where(F.col("n") >= win).withColumn("first", first).withColumn("last", last).where("first <= last")
-    return out.withColumn("start", F.explode(F.sequence("first", "last")) * F.lit(stride)).drop("n", "first", "last")
+    return out.withColumn("hop", F.explode(F.sequence("first", "last"))).withColumn("start", F.col("hop") * stride).drop("n", "first", "last", "hop")
 
 
 def longest_gap(rows: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
@@ -41,8 +42,8 @@ def longest_gap(rows: DataFrame, keys: list[str], order: str = "i") -> DataFrame
 def gap_fill(frames: DataFrame, value: str = "x") -> DataFrame:
     """Linear interpolation over invalid frames; before the first and after the last valid one the nearest holds."""
     seen = F.when(F.col("valid"), F.struct(F.col("i").alias("i"), F.col(value).alias("x")))
-    before = F.last(seen, ignorenulls=True).over(_BY.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(seen, ignorenulls=True).over(_BY.rowsBetween(0, W.unboundedFollowing))
+    before = F.last(seen, ignorenulls=True).over(_by().rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(seen, ignorenulls=True).over(_by().rowsBetween(0, W.unboundedFollowing))
     out = frames.withColumn("b", before).withColumn("a", after)
     span = F.col("a.i") - F.col("b.i")
     lerp = F.col("b.x") + (F.col("a.x") - F.col("b.x")) * (F.col("i") - F.col("b.i")) / F.nullif(span, F.lit(0))
