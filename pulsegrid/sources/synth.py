@@ -35,9 +35,12 @@ def cohort(n: int = 4, **more) -> list[Config]:
     return [Config(i, base_hr=58.0 + 11 * i, seed=i, **more) for i in range(n)]
 
 
+PROTOCOL_TASK = (90.0, 180.0)
+
+
 def protocol(n: int = 6, task_bpm: float = 12.0) -> list[Config]:
-    """Rest, task, recovery: rates 58, 64, ... bpm and an event in the middle minute."""
-    return [Config(i, seconds=180.0, base_hr=58.0 + 6 * i, seed=100 + i, event=(60.0, 120.0, 8.0, task_bpm)) for i in range(n)]
+    """Rest, task, recovery: rates 58, 64, ... bpm and an event during the task."""
+    return [Config(i, seconds=240.0, base_hr=58.0 + 6 * i, seed=100 + i, event=(*PROTOCOL_TASK, 8.0, task_bpm)) for i in range(n)]
 
 
 def stress(n: int = 2) -> list[Config]:
