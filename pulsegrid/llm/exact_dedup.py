@@ -87,12 +87,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each distinct text, all columns as they came."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    one = W.partitionBy("__key").orderBy(F.lit(1))
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("__id", F.col(id_col).cast("long"))
-    kept = kept.withColumn("__key", F.xxhash64("__id", "__sha")).select("__key")
-    out = keyed.withColumn("__key", F.xxhash64("__id", "__sha")).join(kept, "__key", "left_semi")
-    return out.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    by = ["__id", "__sha"]
+    never_null = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(never_null("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumns({"__sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), "__id": never_null(id_col)})
+    # the window keeps the join's partitioning, so a text moves once
+    out = keyed.join(kept, by, "left_semi").withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(F.lit(1))))
+    return out.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

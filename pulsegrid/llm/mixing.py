@@ -87,10 +87,12 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that carry no words weigh nothing in a mix and stay once.
     """
-    named = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(source_col), F.lit("")), word_count(F.col(text_col))))
-    plan = mix(docs, id_col, text_col, source_col, seed)
-    plan = plan.groupBy(F.xxhash64("doc_id", F.coalesce(F.col("source"), F.lit("")), "size").alias("__key")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    rows = named.join(plan, "__key")
+    by = ["__id", "__source", "__none", "__size"]
+    never_null = lambda i, source: {"__id": F.coalesce(F.col(i).cast("long"), F.lit(-(1 << 63))), "__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__none": F.col(source).isNull()}
+    named = docs.withColumns(never_null(id_col, source_col) | {"__size": word_count(F.col(text_col))})
+    plan = mix(docs, id_col, text_col, source_col, seed).withColumns(never_null("doc_id", "source"))
+    plan = plan.groupBy("__id", "__source", "__none", F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
+    rows = named.join(plan, by)
     copies = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1))).cast("int"))
     rows = rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")

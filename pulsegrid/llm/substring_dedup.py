@@ -263,6 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = rows.mapInArrow(_cut_blocks, "block long, pos int, doc_id long, text string")
     blocks.write.format("parquet").option("compression", "zstd").option("path", f"{work_dir(spark)}/pulsegrid/{name}").bucketBy(parts, "block").saveAsTable(name)
     state = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the name was only needed to declare the buckets
     buckets = max(16, state.where("pos = 0").count() // BLOCKS_PER_BUCKET)
     for i, length in enumerate(lengths):
         asked = state.mapInArrow(_asker(lengths, i, min_words, buckets), "bucket long, block long, payload binary")
