@@ -271,3 +271,17 @@ def fill_gaps(rgb: np.ndarray, valid: np.ndarray, fs: float, max_gap_s: float =
         return rgb
     i = np.arange(len(rgb))
     return np.stack([np.interp(i, i[valid], rgb[valid, c]) for c in range(3)], axis=1)
+
+
+def spectral_cross_entropy(x: np.ndarray, bpm: np.ndarray, fs: float, sigma_bpm: float = 3.0, pad: int = 4) -> np.ndarray:
+    """Cross-entropy of each row's band spectrum against a Gaussian around its reference rate."""
+    n = x.shape[-1]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft(_centred(x) * window, n * pad)) ** 2
+    f = np.fft.rfftfreq(n * pad, 1 / fs)
+    mask = (f >= BAND_HZ[0]) & (f <= BAND_HZ[1])
+    logits = np.log(power[:, mask] + 1e-12)
+    target = np.exp(-0.5 * ((f[mask] * 60 - np.asarray(bpm)[:, None]) / sigma_bpm) ** 2)
+    target /= target.sum(axis=1, keepdims=True) + 1e-12
+    top = logits.max(axis=1, keepdims=True)
+    return -(target * (logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))).sum(axis=1)

@@ -124,3 +124,22 @@ def pos_overlap_add(frames: DataFrame, w: int, keys: list[str]) -> DataFrame:
     for c, k in coef.items():
         total = total + F.col(c) * F.coalesce(F.sum(F.when(F.col("ok"), k)).over(back), F.lit(0.0))
     return out.withColumn("h", total).select(*keys, "i", "h")
+
+
+def first_streak(rows: DataFrame, good, length: int) -> DataFrame:
+    """Per recording the first frame that ends ``length`` good ones in a row."""
+    marked = rows.withColumn("good", good).withColumn("isl", F.sum((~F.col("good")).cast("int")).over(_by()))
+    streak = F.row_number().over(W.partitionBy("recording_id", "isl", "good").orderBy("i"))
+    return marked.withColumn("streak", streak).where(F.col("good") & (F.col("streak") >= length)).groupBy("recording_id").agg(F.min("i").alias("unlocked_at"))
+
+
+def training_chunks(frames: DataFrame, chunk: int) -> DataFrame:
+    """Frames of consecutive chunks of ``chunk`` + 1 frames that start every ``chunk``; adds ``start``.
+
+    The frame where one chunk ends and the next begins belongs to both. A chunk
+    starts only where more than ``chunk`` + 1 frames are left.
+    """
+    n = F.max("i").over(W.partitionBy("recording_id")) + 1
+    both = F.when((F.col("i") % chunk == 0) & (F.col("i") > 0), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
+    out = frames.withColumn("n", n).withColumn("back", F.explode(both)).withColumn("start", (F.floor(F.col("i") / chunk) - F.col("back")) * chunk)
+    return out.where(F.col("start") < F.col("n") - chunk - 1).drop("n", "back")

@@ -282,3 +282,27 @@ def xcorr_lag(spark, sf_dir):
     pairs = F.array(*[F.struct((-F.abs(F.col(f"c{j}"))).alias("a"), F.lit(j - 3).alias("lag"), F.col(f"c{j}").alias("r")) for j in range(7)])
     best = agg.select("recording_id", F.array_min(pairs).alias("b"))
     return best.select("recording_id", "b.lag", R(F.col("b.r"), "r"))
+
+
+@query("guided_gate", f"""WITH {FRAMES_SQL}, g AS (SELECT *, valid AND k >= 20 AS good FROM frames), s AS (SELECT *, sum((NOT good)::INT) OVER (PARTITION BY recording_id ORDER BY i) AS isl FROM g),
+r AS (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY recording_id, isl, good ORDER BY i) ELSE 0 END AS streak FROM s)
+SELECT recording_id, min(i) AS unlocked_at FROM r WHERE streak >= 4 GROUP BY 1""")
+def guided_gate(spark, sf_dir):
+    """First tick of each recording after four good ones in a row."""
+    good = F.col("valid") & (F.col("k") >= 20)
+    return win.first_streak(frames(spark, sf_dir), good, 4)
+
+
+@query("forehead_band", f"""WITH {FRAMES_SQL}, f AS (SELECT event_id, k * 2 AS hair, 20.0::DOUBLE AS fy, 200.0::DOUBLE AS fh FROM frames)
+SELECT event_id, round(CASE WHEN (hair - fy) / fh + 0.06 >= 0 AND (hair - fy) / fh + 0.24 <= 0.45 THEN (hair - fy) / fh + 0.06 END, 6)::DOUBLE AS top FROM f""")
+def forehead_band(spark, sf_dir):
+    top, bottom = ((F.col("k") * 2 - 20.0) / F.lit(200.0) + d for d in (0.06, 0.24))
+    return frames(spark, sf_dir).select("event_id", R(F.when((top >= 0) & (bottom <= 0.45), top), "top"))
+
+
+@query("chunks", f"""WITH {FRAMES_SQL}, n AS (SELECT recording_id, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT recording_id, unnest(range(0, n - 13, 12)) AS start FROM n)
+SELECT s.recording_id, s.start, count(*) AS n_frames, round(avg(x), 6) AS mean_x FROM s JOIN frames f ON f.recording_id = s.recording_id AND f.i BETWEEN s.start AND s.start + 12 GROUP BY 1, 2""")
+def chunks(spark, sf_dir):
+    """Training chunks: twelve frames and one more, without overlap of starts."""
+    c = win.training_chunks(frames(spark, sf_dir), 12)
+    return c.groupBy("recording_id", "start").agg(F.count("*").alias("n_frames"), R(F.avg("x"), "mean_x"))
