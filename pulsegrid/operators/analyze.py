@@ -82,3 +82,23 @@ def score(features: DataFrame, fps: float) -> DataFrame:
 
 def analyze(frames: DataFrame, fps: float, window_s: float = 20.0, stride_s: float = 1.0, methods: Iterable[str] = ("pos",)) -> DataFrame:
     return score(window_features(frames, fps, window_s, stride_s, methods), fps)
+
+
+def truth_rates(samples: DataFrame, gt_fps: float, fps: float, window_s: float = 20.0, stride_s: float = 1.0) -> DataFrame:
+    """Rate of a contact trace (recording_id, j, bvp) per frame window: resampled to the frames, same estimator; null under four seconds."""
+    win, stride = int(round(window_s * fps)), max(int(round(stride_s * fps)), 1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("j", kind="stable")
+        n = int((len(pdf) - 1) / gt_fps * fps) + 1
+        x = np.interp(np.arange(n) / fps, np.arange(len(pdf)) / gt_fps, pdf["bvp"].to_numpy(float))
+        starts = np.arange(0, n - win + 1, stride)
+        if not len(starts):
+            return pd.DataFrame({"recording_id": [], "start_s": [], "end_s": [], "hr_gt": []})
+        hr = np.full(len(starts), np.nan)
+        if win >= int(fps * 4):
+            hr = sig.rates(*sig.welch(sig.bandpass(np.stack([x[s : s + win] for s in starts]), fps), fps))
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "start_s": starts / fps, "end_s": (starts + win) / fps, "hr_gt": hr})
+
+    out = samples.select("recording_id", "j", "bvp").groupBy("recording_id").applyInPandas(run, "recording_id long, start_s double, end_s double, hr_gt double")
+    return out.withColumn("hr_gt", F.when(~F.isnan("hr_gt"), F.col("hr_gt")))

@@ -174,3 +174,36 @@ def f1(matches: DataFrame) -> DataFrame:
     out = matches.withColumn("precision", p).withColumn("recall", r)
     total = F.col("precision") + F.col("recall")
     return out.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0)))
+
+
+def capture_ratio(rows: DataFrame, by: list[str], order: list[Column], best: list[Column]) -> DataFrame:
+    """How much of the way from random to perfect ordering a confidence goes, within [-1, 1].
+
+    Under random order every prefix has the mean error in expectation, so its
+    area needs no permutations: mean * (1 - 1 / n). Null under ten rows or where
+    nothing separates random from perfect.
+    """
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"), (F.avg("err") * (1 - 1 / F.count("*"))).alias("aurc_random"))
+    out = n.join(aurc(rows, by, order, "aurc"), by).join(aurc(rows, by, best, "aurc_oracle"), by)
+    span = F.col("aurc_random") - F.col("aurc_oracle")
+    ratio = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("aurc_random") - F.col("aurc")) / F.nullif(span, F.lit(0.0))))
+    return out.withColumn("capture_ratio", F.when((F.col("n") >= 10) & (span > 1e-12), ratio))
+
+
+def risk_at_coverage(rows: DataFrame, by: list[str], order: list[Column], steps: int = 10) -> DataFrame:
+    """Risk at 10, 20, ... 100 % coverage, at the rank nearest to each (halves to even)."""
+    at = F.explode(F.sequence(F.lit(1), F.lit(steps)))
+    n = rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("step", at)
+    want = n.select(*by, "step", F.greatest(F.bround(F.col("step") * F.col("n") / F.lit(float(steps))), F.lit(1.0)).cast("long").alias("rank"))
+    return risk_coverage(rows, by, order).join(want, [*by, "rank"]).select(*by, "step", "rank", "risk")
+
+
+def baseline_ablation(rows: DataFrame, subject: str, raw: str, relative: str, label: str) -> DataFrame:
+    """AUROC pooled raw, pooled against personal baselines, and within subjects; the share of the gap that baselines close."""
+    one = rows.withColumn("__all", F.lit(1))
+    a = auroc(one, ["__all"], raw, label).select("__all", F.col("auroc").alias("auroc_raw"), F.col("pos").alias("n_task"), F.col("neg").alias("n_rest"))
+    b = auroc(one, ["__all"], relative, label).select("__all", F.when(F.col("pos") + F.col("neg") >= 10, F.col("auroc")).alias("auroc_baselined"))
+    c = auroc(rows, [subject], raw, label).agg(F.lit(1).alias("__all"), F.count("*").alias("n_subjects"), F.avg("auroc").alias("auroc_within"))
+    out = a.join(b, "__all").join(c, "__all").drop("__all").withColumn("delta", F.col("auroc_baselined") - F.col("auroc_raw"))
+    gap = F.col("auroc_within") - F.col("auroc_raw")
+    return out.withColumn("gap_recovered", F.when(gap > 1e-9, F.col("delta") / F.nullif(gap, F.lit(0.0))))

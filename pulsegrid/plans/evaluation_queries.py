@@ -408,3 +408,49 @@ def stream_state(spark, sf_dir):
 
     f = _traces(spark, sf_dir).withColumnRenamed("recording_id", "session_id").select("session_id", "i", *cols)
     return f.groupBy("session_id").applyInPandas(run, OUTPUT)
+
+
+_AREAS = f"""{_RC}, o AS (SELECT cohort, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage,
+  avg(err) OVER (PARTITION BY cohort ORDER BY err, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM errs WINDOW w AS (PARTITION BY cohort ORDER BY err, event_id)),
+a AS (SELECT cohort, (risk + lag(risk) OVER w) / 2 * (coverage - lag(coverage) OVER w) AS s FROM rc WINDOW w AS (PARTITION BY cohort ORDER BY rank)),
+b AS (SELECT cohort, (risk + lag(risk) OVER w) / 2 * (coverage - lag(coverage) OVER w) AS s FROM o WINDOW w AS (PARTITION BY cohort ORDER BY rank)),
+sa AS (SELECT cohort, sum(s) AS aurc FROM a GROUP BY 1), sb AS (SELECT cohort, sum(s) AS oracle FROM b GROUP BY 1), sn AS (SELECT cohort, count(*) AS n, avg(err) * (1 - 1.0::DOUBLE / count(*)) AS random FROM errs GROUP BY 1)
+"""
+
+
+@query("capture_ratio", f"""WITH {WINDOWS_SQL}, {_AREAS} SELECT cohort, n, round(random, 6) AS aurc_random, round(CASE WHEN n >= 10 AND random - oracle > 1e-12 THEN greatest(-1.0, least(1.0, (random - aurc) / (random - oracle))) END, 6)::DOUBLE AS capture_ratio
+FROM sa JOIN sb USING (cohort) JOIN sn USING (cohort)""")
+def capture_ratio(spark, sf_dir):
+    c = ev.capture_ratio(errors(spark, sf_dir), ["cohort"], _order(), [F.col("err"), F.col("event_id")])
+    return c.select("cohort", "n", R("aurc_random"), R("capture_ratio"))
+
+
+@query("risk_at_coverage", f"""WITH {WINDOWS_SQL}, {_RC}, n AS (SELECT cohort, count(*) AS n FROM errs GROUP BY 1), g AS (SELECT cohort, unnest(range(1, 11)) AS step, n FROM n)
+SELECT g.cohort, step::INT AS step, rc.rank, round(risk, 9) AS risk FROM g JOIN rc ON rc.cohort = g.cohort AND rc.rank = greatest(round_even(step * n / 10.0::DOUBLE, 0), 1)::BIGINT""")
+def risk_at_coverage(spark, sf_dir):
+    return ev.risk_at_coverage(errors(spark, sf_dir), ["cohort"], _order()).select("cohort", "step", F.col("rank").cast("long").alias("rank"), R("risk", n=9))
+
+
+def _auc_of(name, source, group="1"):
+    return f"""{name}_r AS (SELECT {group} AS g, y, rank() OVER (PARTITION BY {group} ORDER BY s) + (count(*) OVER (PARTITION BY {group}, s) - 1) / 2.0::DOUBLE AS r FROM ({source})),
+{name} AS (SELECT g, CASE WHEN count(*) FILTER (WHERE y = 1) > 0 AND count(*) FILTER (WHERE y = 0) > 0 THEN (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) END AS auc FROM {name}_r GROUP BY 1)"""
+
+
+@query("baseline_ablation", f"""WITH {WINDOWS_SQL}, {_FIT}, z AS (SELECT w.recording_id, (event_type = 'purchase')::INT AS y, hr, hr - location AS rel FROM windows w LEFT JOIN fitted f ON session_id = recording_id AND feature = 'hr_bpm' WHERE event_type IN ('purchase', 'view') AND end_s > 60),
+{_auc_of('pa', 'SELECT y, hr AS s FROM z')}, {_auc_of('pb', 'SELECT y, rel AS s FROM z WHERE rel IS NOT NULL')}, {_auc_of('pc', 'SELECT recording_id, y, hr AS s FROM z', 'recording_id')}
+SELECT round(pa.auc, 6) AS auroc_raw, round(pb.auc, 6) AS auroc_baselined, round((SELECT avg(auc) FROM pc), 6) AS auroc_within, round(pb.auc - pa.auc, 6) AS delta FROM pa, pb""")
+def baseline_ablation(spark, sf_dir):
+    w = session_windows(spark, sf_dir)
+    rel = bl.transform(w, bl.fit(w, 60.0), "hr_bpm").where((F.col("end_s") > 60) & F.col("event_type").isin("purchase", "view"))
+    rel = rel.withColumn("y", (F.col("event_type") == "purchase").cast("int"))
+    return ev.baseline_ablation(rel, "session_id", "hr_bpm", "relative", "y").select(R("auroc_raw"), R("auroc_baselined"), R("auroc_within"), R("delta"))
+
+
+@query("gt_window_hr")
+def gt_window_hr(spark, sf_dir):
+    """Rate of a contact trace at its own rate of 64 Hz, per window of the frames."""
+    from pulsegrid.operators.analyze import truth_rates
+
+    f = _traces(spark, sf_dir)
+    gt = f.select("recording_id", F.col("i").alias("j"), "bvp")
+    return truth_rates(gt, 30.0, 30.0, stride_s=2.0).select("recording_id", "start_s", R("hr_gt", n=3))
