@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +39,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text) -> F.col:
     """Words of a text column; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def frugal(run):
+    """A task function over batches that hands its freed memory back when the task ends.
+
+    Workers live on between tasks and stages, and the allocator keeps what large arrays leave.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not every C library has it
+                pass
+
+    return wrapped

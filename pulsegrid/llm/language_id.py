@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import table
+from pulsegrid.llm.common import frugal, table
 from pulsegrid.llm.wordhash import _LOWER, _WS, buffers, slices
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -27,7 +27,7 @@ EPOCHS, RATE, SEED = 6, 2.0, 7
 #: Share of the kept-out rows that the rejection level may turn away.
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 
 
 def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no.astype(bool))], ["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,7 +207,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 piece = batch.slice(a, b - a)
                 yield piece.filter(pa.array(~model.predict(piece.column(at))[2].astype(bool)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op8_language_id(spark, sf_dir):

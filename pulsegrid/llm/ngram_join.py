@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import staged, table
+from pulsegrid.llm.common import frugal, staged, table
 from pulsegrid.llm.components import components
 from pulsegrid.llm.wordhash import hash_words, mix64, slices
 
 N, NUM, DEN = 3, 9, 10
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Shingles of a block of a large component: 4 MB of sets.
 BLOCK_SHINGLES = 500_000
 #: Shingles under which a part is weak.
@@ -275,9 +275,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a component. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    of = staged(rows.mapInArrow(_classify, "doc_id long, n long, cls long"), "classes")
+    of = staged(rows.mapInArrow(frugal(_classify), "doc_id long, n long, cls long"), "classes")
     classes = of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    sent = rows.mapInArrow(_send_parts, "sig long, cls long")
+    sent = rows.mapInArrow(frugal(_send_parts), "sig long, cls long")
     head = F.first("cls").over(W.partitionBy("sig").orderBy("cls").rowsBetween(W.unboundedPreceding, 0))
     near = sent.select("cls", head.alias("head")).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
@@ -286,7 +286,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one text of each candidate class becomes its set, once
     speaks = cand.where("least IS NOT NULL").select("cls", "comp", F.col("least").alias("id"))
     held = rows.join(speaks.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("cls", "comp", "text")
-    held = held.mapInArrow(_set_rows, "cls long, comp long, set binary")
+    held = held.mapInArrow(frugal(_set_rows), "cls long, comp long, set binary")
     sets = staged(held, "sets").join(size, "comp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     first = sets.withColumn("label", F.col("cls")).withColumn("probe", F.lit(True)).withColumn("rb", F.lit(0).cast("long"))
     hub = first.where("b = 0 AND blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))

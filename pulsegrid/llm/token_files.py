@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import staged, table
+from pulsegrid.llm.common import frugal, staged, table
 from pulsegrid.llm.tokens import WORD_BPE, encoder, public_path
 from pulsegrid.llm.wordhash import slices
 
@@ -153,7 +153,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return staged(rows.mapInArrow(_writer(path or public_path(WORD_BPE), kind, end), "shard long, first_id long, n_ids long, doc_ids array<long>, content binary"), "shards")
+    return staged(rows.mapInArrow(frugal(_writer(path or public_path(WORD_BPE), kind, end)), "shard long, first_id long, n_ids long, doc_ids array<long>, content binary"), "shards")
 
 
 def _reader(batches):

@@ -3,19 +3,20 @@
 Both vocabularies split a text before they merge, so a piece between two safe
 places has the same ids wherever it stands. Each worker keeps the ids of pieces
 it has met (two bytes an id, as both vocabularies are under 65,536) and hands
-only new pieces to the tokenizers library. A full memo is emptied, not frozen.
+only new pieces to the tokenizers library. A full memo falls back to the pieces it met first.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Pieces a worker remembers, about 200 bytes each.
-MEMO = 1_000_000
+#: Pieces a worker remembers at most, about 160 bytes each, and those it keeps when that is full: the first met are the commonest.
+MEMO, KEPT = 600_000, 350_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,8 +76,8 @@ class Encoder:
         cut = [self.pieces(t) if t else [] for t in texts]
         if new := {p for ps in cut for p in ps if p not in self.memo}:
             if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = {p for ps in cut for p in ps}
+                self.memo = dict(islice(self.memo.items(), KEPT))
+                new = {p for ps in cut for p in ps if p not in self.memo}
             self._learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, ps)) for ps in cut]
