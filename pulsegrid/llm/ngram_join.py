@@ -312,6 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select("cls", "component")
     alone = classes.join(linked, "cls", "left").select(F.col("cls").alias("c"), F.coalesce("component", "least").alias("component"))
+    alone = staged(alone, "named")  # with both sides read from files, adaptive execution splits a class that holds many rows
     out = of.join(alone, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
 
