@@ -41,24 +41,26 @@ def word_count(text) -> F.col:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def frugal(run):
-    """A task function over batches that hands its freed memory back when the task ends.
+def release() -> None:
+    """Hands freed memory back to the system: the allocator keeps what large arrays leave."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
 
-    Workers live on between tasks and stages, and the allocator keeps what large arrays leave.
-    """
+
+def frugal(run):
+    """A task function over batches that ends with ``release``: workers live on between tasks and stages."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # not every C library has it
-                pass
+            release()
 
     return wrapped

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import frugal, table
+from pulsegrid.llm.common import frugal, release, table
 from pulsegrid.llm.wordhash import _LOWER, _WS, buffers, slices
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -109,7 +109,7 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         grams, _, _ = subwords(data, bounds)
         u, c = np.unique(np.concatenate(grams), return_counts=True)
         c = c[u < BUCKETS] / max(1, c[u < BUCKETS].sum())
-        out.append((u[u < BUCKETS], c.astype(np.float64)))
+        out.append((u[u < BUCKETS].astype(np.uint16), c.astype(np.float32)))
     return out
 
 
@@ -179,7 +179,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on rows with a language and a text whose crc32(doc_id) mod 4 isn't 2."""
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
     rows = sorted((tuple(r) for r in sample_rows(may, sample).collect()), key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    del rows
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
