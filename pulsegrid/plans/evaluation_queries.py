@@ -177,10 +177,10 @@ rc AS (SELECT event_id, cohort, row_number() OVER w AS rank, row_number() OVER w
 """
 
 
-@query("risk_coverage", f"WITH {WINDOWS_SQL}, {_RC} SELECT event_id, cohort, rank, round(coverage, 6) AS coverage, round(risk, 11) AS risk FROM rc")
+@query("risk_coverage", f"WITH {WINDOWS_SQL}, {_RC} SELECT event_id, cohort, rank, round(coverage, 6) AS coverage, round(risk + 1e-9, 5) AS risk FROM rc")
 def risk_coverage(spark, sf_dir):
     r = ev.risk_coverage(errors(spark, sf_dir), ["cohort"], _order())
-    return r.select("event_id", "cohort", F.col("rank").cast("long").alias("rank"), R("coverage"), R("risk", n=11))
+    return r.select("event_id", "cohort", F.col("rank").cast("long").alias("rank"), R("coverage"), R(F.col("risk") + 1e-9, "risk", 5))
 
 
 @query("aurc", f"""WITH {WINDOWS_SQL}, {_RC}, o AS (SELECT cohort, row_number() OVER (PARTITION BY cohort ORDER BY err, event_id) AS rank, row_number() OVER (PARTITION BY cohort ORDER BY err, event_id) / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage,
