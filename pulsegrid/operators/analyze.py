@@ -1,8 +1,9 @@
 """Offline analysis of frame traces: one row per recording, method and rolling window.
 
-Frames stay partitioned by recording; a recording's windows are views of its
-trace, filtered and transformed as one batch. So a frame crosses the shuffle
-once, however many windows and methods see it.
+A recording is dealt in blocks of ``BLOCK`` frames and those that the block's
+last window reaches beyond it; a block's windows are views of its trace, filtered
+and transformed as one batch. So a frame crosses the shuffle once or twice,
+however many windows and methods see it, and a long recording spreads over tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import signal_np as sig
 from pulsegrid.functions.scoring import MAX_GAP_S, MIN_VALID_RATIO, clip, confidence, decision, image_quality, pulse_quality, window_overall
 
+#: Frames at whose multiples a recording is cut, at least.
+BLOCK = 4096
 QUALITY = ("face", "lighting", "sharpness", "motion", "compression")
 FEATURES = "hr_bpm double, pulse_snr_db double, hr_stability_bpm double, pulse_amplitude double, ibi_mean_s double, rmssd_proxy_ms double, n_beats long"
 SCHEMA = f"recording_id long, method string, start_s double, end_s double, valid_ratio double, longest_gap long, face double, lighting double, sharpness double, motion double, compression double, {FEATURES}"
@@ -28,7 +32,7 @@ def _windows(pdf: pd.DataFrame, fps: float, win: int, stride: int, methods: list
     n = len(pdf)
     starts = range(0, n - win + 1, stride)
     if n < win:
-        return pd.DataFrame({c: [] for c in names})
+        return pd.DataFrame(columns=names)
     rgb = pdf[["r", "g", "b"]].to_numpy(float)
     valid = pdf["valid"].to_numpy(bool) & np.isfinite(rgb).all(axis=1)
     qual = pdf[list(QUALITY)].to_numpy(float)
@@ -39,7 +43,8 @@ def _windows(pdf: pd.DataFrame, fps: float, win: int, stride: int, methods: list
         gap = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
         q = qual[s : s + win][v]
         stats = {c: (np.nan if not len(q) else float(np.percentile(q[:, k], 10)) if c in ("face", "motion") else float(q[:, k].mean())) for k, c in enumerate(QUALITY)}
-        rows.append({"recording_id": pdf["recording_id"].iloc[0], "start_s": s / fps, "end_s": (s + win) / fps, "valid_ratio": float(v.mean()), "longest_gap": gap} | stats)
+        at = s + int(pdf["place"].iloc[0])
+        rows.append({"recording_id": pdf["recording_id"].iloc[0], "start_s": at / fps, "end_s": (at + win) / fps, "valid_ratio": float(v.mean()), "longest_gap": gap} | stats)
         traces.append(sig.fill_gaps(rgb[s : s + win], v, fps, MAX_GAP_S) if v.mean() >= MIN_VALID_RATIO else None)
     base = pd.DataFrame(rows)
     use = [k for k, t in enumerate(traces) if t is not None]
@@ -63,7 +68,12 @@ def window_features(frames: DataFrame, fps: float, window_s: float = 20.0, strid
     for m in names:
         sig.method(m)
     rows = frames.select("recording_id", "i", "r", "g", "b", "valid", *QUALITY)
-    out = rows.groupBy("recording_id").applyInPandas(lambda pdf: _windows(pdf, fps, win, stride, names), SCHEMA)
+    block = stride * -(-max(BLOCK, win) // stride)
+    place = (F.row_number().over(W.partitionBy("recording_id").orderBy("i")) - 1).cast("long")
+    b = F.floor(F.col("place") / block)
+    both = F.when((b > 0) & (F.col("place") % block < win - stride), F.array(b, b - 1)).otherwise(F.array(b))
+    rows = rows.withColumn("place", place).withColumn("block", F.explode(both))
+    out = rows.groupBy("recording_id", "block").applyInPandas(lambda pdf: _windows(pdf, fps, win, stride, names), SCHEMA)
     doubles = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
@@ -94,7 +104,7 @@ def truth_rates(samples: DataFrame, gt_fps: float, fps: float, window_s: float =
         x = np.interp(np.arange(n) / fps, np.arange(len(pdf)) / gt_fps, pdf["bvp"].to_numpy(float))
         starts = np.arange(0, n - win + 1, stride)
         if not len(starts):
-            return pd.DataFrame({"recording_id": [], "start_s": [], "end_s": [], "hr_gt": []})
+            return pd.DataFrame(columns=["recording_id", "start_s", "end_s", "hr_gt"])
         hr = np.full(len(starts), np.nan)
         if win >= int(fps * 4):
             hr = sig.rates(*sig.welch(sig.bandpass(np.stack([x[s : s + win] for s in starts]), fps), fps))

@@ -357,18 +357,29 @@ def pilot_by_arm(spark, sf_dir):
     return e.groupBy(F.col("event_type").alias("arm")).agg(F.count("*").alias("n"), R(F.avg("err"), "mae"), R(F.median("err"), "median_err"), R(F.percentile("err", F.lit(0.9)), "p90"), R(F.avg((F.col("err") <= 5).cast("int")), "within_5"))
 
 
+#: Events have no frame rate. At 8 Hz, that of ``waves``, the projection's 1.6 s are the 12 frames of ``pos_overlap_add``,
+#: the pulse band stays below half the rate, and windows of 40 frames, 5 apart as in ``hop_windows``, fit in recordings of some 65.
+FPS, WINDOW_S, STRIDE_S, CALIBRATION_S = 8.0, 5.0, 0.625, 7.0
+
+
 def _traces(spark, sf_dir):
-    """The synthetic cohort analysed end to end; the tables hold no pixel traces."""
-    from pulsegrid.sources import synth
+    """All recordings of the events as colour traces (``pos_overlap_add``'s rgb), the truth ``hr`` of ``windows`` and k as contact trace.
 
-    return synth.frames(spark, synth.cohort(4, seconds=40.0))
+    As in ``hop_windows``, a recording has only full windows.
+    """
+    k, x = F.col("k"), F.col("x")
+    hr = x / F.lit(5.0) + (F.pmod(k * 37, F.lit(101)) - 50) / F.lit(5.0)
+    return quality_frames(spark, sf_dir).select(
+        "recording_id", "i", hr.alias("hr"), k.cast("double").alias("bvp"), (x + 50).alias("r"), (x * 0.7 + k + 40).alias("g"), (x * 0.4 + F.pmod(k * 7, F.lit(101)) + 30).alias("b"),
+        F.coalesce("valid", F.lit(False)).alias("valid"), "face", "lighting", "sharpness", "motion", "compression",
+    )
 
 
 def _bvp(method):
     def run(spark, sf_dir):
         from pulsegrid.operators.analyze import analyze
 
-        a = analyze(_traces(spark, sf_dir), 30.0, stride_s=2.0, methods=[method])
+        a = analyze(_traces(spark, sf_dir), FPS, WINDOW_S, STRIDE_S, methods=[method])
         return a.select("recording_id", "method", "start_s", R("hr_bpm", n=3), R("pulse_snr_db", n=3), R("confidence", n=4), "reason", "n_beats")
 
     return run
@@ -380,11 +391,11 @@ for _name, _method in (("bvp_features", "pos"), ("chrom_bvp", "chrom"), ("green_
 
 @query("run_benchmark")
 def run_benchmark(spark, sf_dir):
-    """All methods over the cohort, each trace read once; best median error first."""
+    """All methods over all recordings, each trace read once; best median error first."""
     from pulsegrid.operators.analyze import analyze
 
     f = _traces(spark, sf_dir)
-    a = analyze(f, 30.0, stride_s=2.0, methods=["pos", "chrom", "green"])
+    a = analyze(f, FPS, WINDOW_S, STRIDE_S, methods=["pos", "chrom", "green"])
     ends = f.groupBy("recording_id").agg(F.avg("hr").alias("gt"))
     w = a.join(ends, "recording_id").withColumn("hr", F.col("hr_bpm"))
     m = ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"])
@@ -393,21 +404,28 @@ def run_benchmark(spark, sf_dir):
 
 @query("stream_state")
 def stream_state(spark, sf_dir):
-    """The live engine over the cohort's frames, as a batch of its state operator's logic per session."""
+    """The live engine over all recordings, as a batch of its state operator's logic: frames come by session and index, one session's state at a time."""
     import pandas as pd
 
     from pulsegrid.streaming.engine import OUTPUT, QUALITY, Engine
 
     cols = ["r", "g", "b", "valid", *QUALITY]
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
 
-    def run(pdf):
-        e, out = Engine(30.0, calibration_s=26.0), []
-        for i, row in zip(pdf["i"], pdf[cols].astype(object).values.tolist(), strict=True):
-            out += e.push(int(i), row)
-        return pd.DataFrame(out).assign(session_id=pdf["session_id"].iloc[0])[[c.split()[0] for c in OUTPUT.split(", ")]]
+    def run(batches):
+        now, e = None, None
+        for pdf in batches:
+            out = []
+            values = pdf[cols].astype(object).where(pdf[cols].notna(), None)
+            for session, i, row in zip(pdf["session_id"].tolist(), pdf["i"].tolist(), values.values.tolist(), strict=True):
+                if e is None or session != now:
+                    now, e = session, Engine(FPS, WINDOW_S, calibration_s=CALIBRATION_S)
+                out += [s | {"session_id": session} for s in e.push(int(i), row)]
+            if out:
+                yield pd.DataFrame(out)[names]
 
-    f = _traces(spark, sf_dir).withColumnRenamed("recording_id", "session_id").select("session_id", "i", *cols)
-    return f.groupBy("session_id").applyInPandas(run, OUTPUT)
+    f = _traces(spark, sf_dir).withColumnRenamed("recording_id", "session_id").select("session_id", "i", *cols).where("session_id IS NOT NULL")
+    return f.repartition("session_id").sortWithinPartitions("session_id", "i").mapInPandas(run, OUTPUT)
 
 
 _AREAS = f"""{_RC}, o AS (SELECT cohort, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage,
@@ -448,9 +466,9 @@ def baseline_ablation(spark, sf_dir):
 
 @query("gt_window_hr")
 def gt_window_hr(spark, sf_dir):
-    """Rate of a contact trace at its own rate of 64 Hz, per window of the frames."""
+    """Rate of the contact trace per window of the frames."""
     from pulsegrid.operators.analyze import truth_rates
 
     f = _traces(spark, sf_dir)
     gt = f.select("recording_id", F.col("i").alias("j"), "bvp")
-    return truth_rates(gt, 30.0, 30.0, stride_s=2.0).select("recording_id", "start_s", R("hr_gt", n=3))
+    return truth_rates(gt, FPS, FPS, WINDOW_S, STRIDE_S).select("recording_id", "start_s", R("hr_gt", n=3))
