@@ -6,8 +6,10 @@ off to one shared model of continuation counts over shorter contexts, so a rare
 spelling that neither class knows says little. A word's evidence is the
 difference of its two log-likelihoods a byte; a text is judged by the
 length-normalised difference over all its words and by its strongest words, as
-a few words can make a long text toxic. Rows kept out of the counts fit the
-logistic map from these to a probability.
+a few words can make a long text toxic. Tasks count the n-grams of all labelled
+training rows by class and only the summed table, one row a distinct n-gram,
+reaches the driver. A bounded sample of rows fits the logistic map from these
+features to a probability, by a model of the counts without that sample.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import table
+from pulsegrid.llm.common import frugal, release, table
 from pulsegrid.llm.language_id import fold
 from pulsegrid.llm.wordhash import _LOWER, Words, buffers, slices
 
-#: Labelled rows of each class that training reads at most, chosen by a hash of their id.
+#: Three times the labelled rows of each class that fit the logistic map at most, chosen by a hash of their id; counts take all rows.
 SAMPLE = 3_000
 #: Bytes of an n-gram; its key packs them into one integer.
 ORDER = 6
@@ -147,35 +149,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
 
-def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    w = _words(pa.array(texts, pa.string()))
+def _counts(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    w = _words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     _, which, n = np.unique(w.h, return_index=True, return_counts=True)
     keys, first = _spelt(w, which)
     keys, inv = np.unique(keys, return_inverse=True)
     return keys, np.bincount(inv, np.repeat(n, np.diff(first)), len(keys))
 
 
-def train(toxic: list[str], plain: list[str]) -> Model:
-    """Counts n-grams on two texts of three of each class; the third fits the logistic map."""
-    part = lambda x, k: [t for i, t in enumerate(x) if (i % 3 == 2) == k]
-    both = [_counts(part(plain, False)), _counts(part(toxic, False))]
-    grams = np.union1d(both[0][0], both[1][0])
+def _model(grams: np.ndarray, plain: np.ndarray, toxic: np.ndarray) -> Model:
+    """The model of two classes' counts of ``grams`` (sorted, distinct), without weights."""
+    some = (plain > 0) | (toxic > 0)
+    grams, plain, toxic = grams[some], plain[some], toxic[some]
     shared = _shared(grams)
     low = _backoff(shared, grams)
     ctx, inv = np.unique(grams >> np.uint64(8), return_inverse=True)
     logs, left = [], []
-    for keys, count in both:
-        n = np.zeros(len(grams))
-        n[np.searchsorted(grams, keys)] = count
+    for n in (plain, toxic):
         total, kinds = np.bincount(inv, n, len(ctx)), np.bincount(inv, n > 0, len(ctx))
         lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[inv] + lam[inv] * low))
         left.append(np.log(lam))
-    model = Model(Table(grams, logs[1] - logs[0]), Table(ctx, left[1] - left[0]), np.zeros(7))
-    texts = part(plain, True) + part(toxic, True)
-    y = np.r_[np.zeros(len(part(plain, True))), np.ones(len(part(toxic, True)))]
-    if 0 < y.sum() < len(y):
-        model.weights = _logistic(model.features(pa.array(texts, pa.string())), y)
+    return Model(Table(grams, logs[1] - logs[0]), Table(ctx, left[1] - left[0]), np.zeros(7))
+
+
+def _weights(model: Model, toxic: list[str], plain: list[str]) -> np.ndarray:
+    if not toxic or not plain:
+        return np.zeros(7)
+    return _logistic(model.features(pa.array(plain + toxic, pa.string())), np.r_[np.zeros(len(plain)), np.ones(len(toxic))])
+
+
+def train(toxic: list[str], plain: list[str]) -> Model:
+    """Counts n-grams on two texts of three of each class; the third fits the logistic map."""
+    part = lambda x, k: [t for i, t in enumerate(x) if (i % 3 == 2) == k]
+    both = [_counts(part(plain, False)), _counts(part(toxic, False))]
+    grams = np.union1d(both[0][0], both[1][0])
+    n = np.zeros((2, len(grams)))
+    for k, (keys, count) in enumerate(both):
+        n[k, np.searchsorted(grams, keys)] = count
+    model = _model(grams, *n)
+    model.weights = _weights(model, part(toxic, True), part(plain, True))
     return model
 
 
@@ -193,16 +206,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def _count_rows(batches):
+    """(toxic, held, text) rows to (key, n0, n1, held0, held1): each batch's n-grams with their counts by class, over all rows and over held ones."""
+    names = ["key", "n0", "n1", "held0", "held1"]
+    for batch in batches:
+        for a, b in slices(batch.column(2), TEXT_BYTES):
+            piece = batch.slice(a, b - a)
+            of = piece.column(0).to_numpy() + 2 * piece.column(1).to_numpy()
+            part = {k: _counts(piece.column(2).filter(pa.array(of == k))) for k in range(4)}
+            keys = np.unique(np.concatenate([part[k][0] for k in range(4)]))
+            n = np.zeros((4, len(keys)), np.int64)
+            for k, (own, count) in part.items():
+                n[k, np.searchsorted(keys, own)] = count
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x) for x in (n[0] + n[2], n[1] + n[3], n[2], n[3]))], names)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on labelled rows whose crc32(doc_id) mod 3 isn't 1; an id with several labels counts as toxic if one says so."""
-    may = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Trains on all labelled rows whose crc32(doc_id) mod 3 isn't 1; an id with several labels counts as toxic if one says so.
+
+    At most about ``sample`` / 3 rows of a class, and a third of it, fit the map.
+    """
+    may = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in may.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     level = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30))
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
-    picked = may.where(level < share * float(1 << 30)).limit(4 * sample)  # the limit bounds the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "toxic").limit(8 * sample)
-    rows = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows if r[2] == 1], [r[1] for r in rows if r[2] == 0])
+    share = [min(1.0, sample / max(1, sizes.get(k, 0))) / 3 for k in (0, 1)]
+    may = may.withColumn("held", (level < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * float(1 << 30)).cast("int"))
+    rows = docs.where(F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).select("doc_id", "text")
+    picked = may.where("held = 1").limit(2 * sample)  # the limit bounds the broadcast
+    some = sorted(((r[0], r[1], r[2]) for r in rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(4 * sample).collect()), key=lambda r: r[:2])
+    # labels grow with the corpus: never broadcast, so that small tables take the plan that large ones need
+    counted = rows.join(may.hint("shuffle_hash"), "doc_id").select("toxic", "held", "text").mapInArrow(frugal(_count_rows), "key long, n0 long, n1 long, held0 long, held1 long")
+    got = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "held0", "held1")]).toArrow()
+    grams = got.column("key").to_numpy().view(np.uint64)
+    by = np.argsort(grams)
+    n = {c: got.column(c).to_numpy()[by].astype(float) for c in ("n0", "n1", "held0", "held1")}
+    grams = grams[by]
+    del got
+    weights = _weights(_model(grams, n["n0"] - n["held0"], n["n1"] - n["held1"]), [r[1] for r in some if r[2] == 1], [r[1] for r in some if r[2] == 0])
+    model = _model(grams, n["n0"], n["n1"])
+    model.weights = weights
+    del some
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +260,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.score(piece.column(1)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def op7_toxicity(spark, sf_dir):
