@@ -153,8 +153,7 @@ def features(blocks: list[tuple[str, tuple, float]]) -> list[list[str]]:
         f.append("links:" + ("all" if linked > 0.8 else "some" if linked > 0.3 else "few"))
         f.append("ends:" + ("stop" if text[-1] in ".!?\"'”»…:" else "open"))
         f.append("at:" + ("first" if i == 0 else "last" if i == len(blocks) - 1 else "mid"))
-        short = text if len(text) < 400 else text[:200] + " " + text[-200:]
-        f += [f"says:{k}" for k, r in _SAYS_RE.items() if r.search(short)]
+        f += [f"says:{k}" for k, r in _SAYS_RE.items() if r.search(text)]
         out.append(f)
     return out
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from pulsegrid.llm import toxicity
+from pulsegrid.llm import html_text, toxicity
 
 from .conftest import prose
 
@@ -25,3 +25,16 @@ def test_toxicity_counts_all_labelled_rows(spark):
         assert len(own) and np.isin(own, model.grams.keys).all()
     seen = [f"zq{i}xv" for i in sorted(kept) if i % 2]
     assert (model.evidence(pa.array(seen))[:, 1] > 0).all() and model.weights.any()
+
+
+def test_html_telling_words_count_in_the_middle_of_a_block():
+    filler = "lorem ipsum dolor sit amet " * 12
+    path = (("div", ()),)
+    for word, kind in (("consent", "cookie"), ("all rights reserved", "rights"), ("sponsored", "ad"), ("newsletter", "act"), ("posted by", "talk")):
+        assert f"says:{kind}" in html_text.features([(f"{filler}{word} {filler}".strip(), path, 0.0)])[0]
+    assert not [f for f in html_text.features([((filler * 2).strip(), path, 0.0)])[0] if f.startswith("says:")]
+    # an article's long paragraph that merely mentions such words stays text
+    field = html_text.train(250)
+    paragraphs = [f"{filler}{word} {filler}end." for word in ("sea", "privacy", "copyright", "comments", "search", "promoted", "sky")]
+    page = f"<nav><a href='/x'>m</a></nav><article><h1>T</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article><footer>&copy; x</footer>"
+    assert html_text.main_text(page, field).split("\n\n") == ["T", *paragraphs]
