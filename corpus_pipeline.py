@@ -6,7 +6,7 @@ columns of ``documents``:
 
 1. language identification drops what the classifier rejects;
 2. exact dedup keeps one row of each distinct text;
-3. the n-gram Jaccard join keeps the smallest id of each group of near copies;
+3. the n-gram Jaccard join keeps the smallest id of each group of near copies, by five words and a similarity of 0.8;
 4. mixing repeats, cuts or drops rows so that sources meet their target weights;
 5. packing returns the pieces of the sequences.
 """
@@ -28,7 +28,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, n=5, threshold=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Jaccard self-join of documents on word n-grams with signature trees.
 
-Sets are distinct 64-bit hashes of 3-word shingles. Documents with one set form
-a class; links are sought between classes.
+Sets are distinct 64-bit hashes of word n-grams. Documents with one set form a
+class; links are sought between classes. ``Terms`` hold the words of an n-gram and
+the least similarity; op3's are 3 words and 0.9.
 
-*Blocking, exact.* Sets at similarity 0.9 differ in at most D = size / 9
+*Blocking, exact.* Sets at similarity t differ in at most D = size * (1 - t) / t
 elements. Hash space is cut into K > D parts; some part then agrees in full, so
 classes that agree on a part's content are candidates. K steps through fixed
 levels, a class takes the one for its size and, near a step, the one for its
-largest partner. Parts of under three shingles say little (a shingle of a common
-passage may stand alone there), so a class sends them only when it has as many
-of them as could hide its one agreeing part: K - D or more. Within a map task a
+largest partner. Parts of under three shingles (two, one at lower similarities) say
+little (a shingle of a common passage may stand alone there), so a class sends
+them only when it has as many of them as could hide its one agreeing part: K - D
+or more; empty parts only when these alone are as many. Within a map task a
 part is sent once, by one class, and its other holders are tied to that class.
 
 *Trees.* Candidate components are dealt to tasks with their classes' sets. A task
@@ -26,6 +28,10 @@ could add a link is left out.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from fractions import Fraction
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,13 +52,41 @@ WORDS_OF_BITMAP = 8
 LEAF, FAN = 16, 8
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Terms:
+    """Words of an n-gram, and the least similarity as ``num`` / ``den``."""
+
+    n: int = N
+    num: int = NUM
+    den: int = DEN
+
+    @staticmethod
+    def of(n: int, threshold: float) -> Terms:
+        t = Fraction(str(threshold))
+        if n < 1 or not 0 < t <= 1:
+            raise ValueError(f"an n-gram has a word at least and a similarity is in (0, 1]: {n}, {threshold}")
+        return Terms(n, t.numerator, t.denominator)
+
+    def differing(self, size):
+        """Elements in which a set of ``size`` and one that is similar differ at most."""
+        return size * (self.den - self.num) // self.num
+
+    @property
+    def weak(self) -> int:
+        """Shingles under which a part is weak: at most ``WEAK``, fewer where parts have to be small."""
+        return WEAK if self.den == self.num else min(WEAK, max(1, self.num // (self.den - self.num) // 2))
+
+
+OP3 = Terms()
+
+
+def shingle_sets(texts: pa.Array, n_words: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct hashes of all texts, bounds of each text's)."""
     w = hash_words(texts, lower=True)
     n = np.diff(w.first)
-    ok = w.fits(N)
-    h, doc = w.windows(N)[ok], w.text_of[ok]
-    for short in range(1, N):  # a text of fewer words is one shingle
+    ok = w.fits(n_words)
+    h, doc = w.windows(n_words)[ok], w.text_of[ok]
+    for short in range(1, n_words):  # a text of fewer words is one shingle
         at = w.first[:-1][n == short]
         if len(at):
             h, doc = np.r_[h, w.windows(short)[at]], np.r_[doc, w.text_of[at]]
@@ -85,20 +119,21 @@ def _levels() -> np.ndarray:
 _LEVELS = _levels()
 
 
-def _parts(n: np.ndarray) -> np.ndarray:
-    """Parts for sets of ``n`` shingles: over n / 9, with room for weak parts in large sets."""
-    d = n // 9
-    return _LEVELS[np.searchsorted(_LEVELS, np.where(n < 45, d + 1, d * 5 // 4 + 3))]
+def _level(n: np.ndarray, terms: Terms) -> np.ndarray:
+    """Place in ``_LEVELS`` of the parts for sets of ``n`` shingles: more than may differ, with room for weak parts in large sets."""
+    d = terms.differing(n)
+    return np.searchsorted(_LEVELS, np.where(d < 5, d + 1, d * 5 // 4 + 3))
 
 
-def part_signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_signatures(h: np.ndarray, bounds: np.ndarray, terms: Terms = OP3) -> tuple[np.ndarray, np.ndarray]:
     """(signature, text) of the parts that the texts' sets send."""
     n = np.diff(bounds)
     mixed = mix64(h + np.uint64(23))
     own = np.repeat(np.arange(len(n)), n)
-    near = _parts(n)
+    lo, hi, differ = _level(n, terms), _level(n * terms.den // terms.num, terms), terms.differing(n)
     sigs, docs = [], []
-    for k, use in ((near, n > 0), (_parts(n * DEN // NUM), (n > 0) & (_parts(n * DEN // NUM) != near))):
+    for step in range(int((hi - lo).max(initial=0)) + 1):
+        k, use = _LEVELS[lo + step], (n > 0) & (lo + step <= hi)
         if not use.any():
             continue
         here = use[own]
@@ -108,13 +143,12 @@ def part_signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         size = np.diff(np.r_[start, len(hh)])
         run_doc, run_part = d[start], part[start]
         sig = _signature(_sums(mixed[here], np.r_[start, len(hh)]), k[run_doc], run_part)
-        strong = size >= WEAK
-        weak_parts = k - np.bincount(run_doc[strong], minlength=len(n))
-        all_of = use & (weak_parts >= k - n // 9)
+        strong = size >= terms.weak
+        all_of = use & (k - np.bincount(run_doc[strong], minlength=len(n)) >= k - differ)
         send = strong | all_of[run_doc]
         sigs.append(sig[send])
         docs.append(run_doc[send])
-        for i in np.flatnonzero(all_of):
+        for i in np.flatnonzero(use & (k - np.bincount(run_doc, minlength=len(n)) >= k - differ)):
             empty = np.setdiff1d(np.arange(k[i], dtype=np.uint64), run_part[run_doc == i])
             sigs.append(_signature(np.zeros(len(empty), np.uint64), np.full(len(empty), k[i]), empty))
             docs.append(np.full(len(empty), i))
@@ -131,17 +165,17 @@ def _pieces(batches):
             yield batch.slice(a, b - a)
 
 
-def _classify(batches):
+def _classify(terms, batches):
     for piece in _pieces(batches):
-        h, bounds = shingle_sets(piece.column(1))
+        h, bounds = shingle_sets(piece.column(1), terms.n)
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(h, bounds))], ["doc_id", "n", "cls"])
 
 
-def _send_parts(batches):
+def _send_parts(terms, batches):
     for piece in _pieces(batches):
-        h, bounds = shingle_sets(piece.column(1))
+        h, bounds = shingle_sets(piece.column(1), terms.n)
         cls = class_keys(h, bounds)
-        sig, doc = part_signatures(h, bounds)
+        sig, doc = part_signatures(h, bounds, terms)
         # distinct (signature, class); the first class of a signature speaks for the others, which a private key ties to it
         by = np.lexsort((cls[doc], sig))
         sig, c = sig[by], cls[doc][by]
@@ -153,13 +187,13 @@ def _send_parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[first].view(np.int64), key, key])), pa.array(np.concatenate([c[first], pair[:, 0], pair[:, 1]]))], ["sig", "cls"])
 
 
-def _set_rows(batches):
+def _set_rows(terms, batches):
     """(.., text) rows to (.., set) rows: the sorted hashes as bytes."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for a, b in slices(batch.column(at), CHUNK_BYTES):
             piece = batch.slice(a, b - a)
-            h, bounds = shingle_sets(piece.column(at))
+            h, bounds = shingle_sets(piece.column(at), terms.n)
             raw = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
             right = pa.array(class_keys(h, bounds) == piece.column("cls").to_numpy())  # a repeated id brings texts of other classes along
             yield pa.RecordBatch.from_arrays([piece.column("cls"), piece.column("comp"), pa.array(raw, pa.binary())], ["cls", "comp", "set"]).filter(right)
@@ -168,7 +202,8 @@ def _set_rows(batches):
 class Tree:
     """A signature tree over sets: per node OR and AND bitmaps, size range, and its rows [lo, hi) in tree order."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], terms: Terms = OP3):
+        self.terms = terms
         n = len(sets)
         size = np.array([len(s) for s in sets])
         bits = np.zeros((n, WORDS_OF_BITMAP), np.uint64)
@@ -202,6 +237,7 @@ class Tree:
 
         With ``side`` (booleans) only pairs with a True are sought.
         """
+        num, den = self.terms.num, self.terms.den
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, a, b = stack.pop()
@@ -214,7 +250,7 @@ class Tree:
             # least bits of a set below one node that no set below the other has: tokens they can't share
             only_a = int(np.bitwise_count(t["all"][a] & ~t["any"][b]).sum())
             only_b = int(np.bitwise_count(t["all"][b] & ~t["any"][a]).sum())
-            if 10 * t["max"][a] - 9 * t["min"][b] < 19 * only_a or 10 * t["max"][b] - 9 * t["min"][a] < 19 * only_b:
+            if den * t["max"][a] - num * t["min"][b] < (num + den) * only_a or den * t["max"][b] - num * t["min"][a] < (num + den) * only_b:
                 continue
             if level == 0:
                 self._leaf(t["lo"][a], t["hi"][a], t["lo"][b], t["hi"][b], group, side)
@@ -227,30 +263,30 @@ class Tree:
         x, y = self.bits[a0:a1, None], self.bits[None, b0:b1]
         n, m = self.size[a0:a1, None], self.size[None, b0:b1]
         most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=2, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=2, dtype=np.int64))
-        may = (19 * most >= 9 * (n + m)) & (group[a0:a1, None] != group[None, b0:b1])
+        may = ((self.terms.num + self.terms.den) * most >= self.terms.num * (n + m)) & (group[a0:a1, None] != group[None, b0:b1])
         if a0 == b0:
             may &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)
         if side is not None:
             may &= side[a0:a1, None] | side[None, b0:b1]
         for i, j in zip(*np.nonzero(may), strict=True):
             i, j = i + a0, j + b0
-            if group[i] != group[j] and similar(self.sets[i], self.sets[j]):
+            if group[i] != group[j] and similar(self.sets[i], self.sets[j], self.terms):
                 group[group == group[j]] = group[i]
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= 90 * union, of sorted distinct arrays."""
+def similar(x: np.ndarray, y: np.ndarray, terms: Terms = OP3) -> bool:
+    """den * intersection >= num * union, of sorted distinct arrays."""
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
-    return 19 * int((y[at] == x).sum()) >= 9 * (len(x) + len(y))
+    return (terms.num + terms.den) * int((y[at] == x).sum()) >= terms.num * (len(x) + len(y))
 
 
-def _link_task(key: tuple, rows: pa.Table) -> pa.Table:
+def _link_task(terms: Terms, key: tuple, rows: pa.Table) -> pa.Table:
     """Links of one task's sets, as (u, v) from each class to one of its group."""
     cls = rows.column("cls").to_numpy()
-    tree = Tree([np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()])
+    tree = Tree([np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()], terms)
     cls = cls[tree.order]
     _, group = np.unique(rows.column("label").to_numpy()[tree.order], return_inverse=True)
     side = rows.column("probe").to_numpy(zero_copy_only=False)[tree.order]
@@ -262,22 +298,23 @@ def _link_task(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
 
-def _tasks(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("comp", "rb", "b").applyInArrow(_link_task, "u long, v long")
+def _tasks(rows: DataFrame, terms: Terms) -> DataFrame:
+    return rows.groupBy("comp", "rb", "b").applyInArrow(lambda key, rows: _link_task(terms, key, rows), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, cls.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = NUM / DEN) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, cls, by distinct ``n``-word shingles and a similarity of ``threshold`` at least.
 
     Null, empty and blank texts have no shingles and link with nothing: their own
     id is their component's. Rows that repeat an id are rows of their own. A row
     with a null id takes part beside an equal set that has an id, and never names
     a component. An empty table gives no rows.
     """
+    terms = Terms.of(n, threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    of = staged(rows.mapInArrow(frugal(_classify), "doc_id long, n long, cls long"), "classes")
+    of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, n long, cls long"), "classes")
     classes = of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    sent = rows.mapInArrow(frugal(_send_parts), "sig long, cls long")
+    sent = rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long")
     head = F.first("cls").over(W.partitionBy("sig").orderBy("cls").rowsBetween(W.unboundedPreceding, 0))
     near = sent.select("cls", head.alias("head")).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
@@ -286,12 +323,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one text of each candidate class becomes its set, once
     speaks = cand.where("least IS NOT NULL").select("cls", "comp", F.col("least").alias("id"))
     held = rows.join(speaks.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("cls", "comp", "text")
-    held = held.mapInArrow(frugal(_set_rows), "cls long, comp long, set binary")
+    held = held.mapInArrow(frugal(partial(_set_rows, terms)), "cls long, comp long, set binary")
     sets = staged(held, "sets").join(size, "comp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     first = sets.withColumn("label", F.col("cls")).withColumn("probe", F.lit(True)).withColumn("rb", F.lit(0).cast("long"))
     hub = first.where("b = 0 AND blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))
     cols = ["cls", "comp", "label", "probe", "set", "rb", "b"]
-    links = staged(_tasks(first.select(*cols).unionByName(hub.select(*cols))), "links")
+    links = staged(_tasks(first.select(*cols).unionByName(hub.select(*cols)), terms), "links")
     big = size.where("blocks > 1")
     if big.limit(1).count():
         found = components(links)
@@ -306,7 +343,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         probe = left.where("out").withColumn("rb", F.pmod(F.xxhash64("cls", F.lit("rb")), F.col("rblocks")))
         probe = probe.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
         rest = left.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rblocks") - 1))).withColumn("probe", F.lit(False))
-        again = _tasks(probe.select(*cols).unionByName(rest.select(*cols)))
+        again = _tasks(probe.select(*cols).unionByName(rest.select(*cols)), terms)
         links = staged(links.unionByName(again), "links")
     linked = components(links).select(F.col("node").alias("cls"), "root").join(classes.select("cls", "least"), "cls")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -317,9 +354,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = NUM / DEN) -> DataFrame:
     """``docs`` with the smallest id of each component; rows without an id of their own group stay."""
-    groups = jaccard_components(docs, id_col, text_col)
+    groups = jaccard_components(docs, id_col, text_col, n, threshold)
     drop = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
