@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary one; a cluster raises, as
+    executors would each write a folder of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Removes the tables and files that jobs staged in the shared folder; results that still read them become unreadable."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/pulsegrid")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def opened(name: str, mode: str):
+    """A binary file of the shared folder, by path or URI; its folder is made if need be."""
+    from pyarrow import fs
+
+    if ":" not in name.split("/", 1)[0] or name.startswith("file:"):
+        store, path = fs.LocalFileSystem(), re.sub("^file:/*", "/", name)
+    else:
+        store, path = fs.FileSystem.from_uri(name)
+    if mode == "rb":
+        return store.open_input_file(path)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(path)
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once to the shared folder and read back: later passes reread files instead of recomputing."""
     spark = df.sparkSession

@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pulsegrid.llm import exact_dedup, html_text, jpeg, language_id, media, mixing, packing, queries, token_files, tokens, toxicity
@@ -60,26 +62,44 @@ def test_mix(docs, corpus, empty):
     assert abs(words - sum(taken.values())) <= 2 * max(r.size for r in rows if r.doc_id == corpus[3][0]) + len(order)
 
 
+#: Characters that split patterns, normalisers and added tokens treat unlike: white space of all kinds, marks, cases, digits, literals.
+ODD = [*"abeiKzZ019'., ;:)(!-\n\t\r  \x0b\x0c\x1c\x1d\x1f\x85\xa0\u1680\u180e\u2000\u2003\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *"\u0130\u0131\u03a3\u03c2\u01c5\u00e9\u0301\u0308\u0327\u0345\u212b\u212a\ufb01\u5317\ud55c\u1112\u1161\u11ab\U0001f642\u00df\u1e9e\u00bd\u00b2\u0663\u2167\x00\x01\x7f\u00ad\u200d\u00f1\u0e33"]
+ODD += ["'s", "'re", "'LL", "'t", "e\u0301", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "</w>", "\n\n"]
+
+
 @pytest.mark.parametrize(("name", "kind"), [(tokens.BYTE_BPE, "byte"), (tokens.WORD_BPE, "word")])
-def test_memoised_ids_equal_the_library(corpus, name, kind):
+def test_ids_equal_the_plain_library(corpus, name, kind):
+    plain = Tokenizer.from_file(tokens.public_path(name))
     enc = tokens.Encoder(tokens.public_path(name), kind)
-    extra = ["a  b", "x 　y", "it's  we'll\r\n", "  lead", "trail  ", "\n\n", "a \n b\tc", "ΟΔΟΣ İx ǅ", "é ́", "1,000.5 a,b .x ,y", "<|startoftext|>", "\x1c\x1d \x85"]
+    rng = random.Random(9)
+    extra = ["First par.\n\nSecond\xa0par.", "Prix\xa0: 5\n\nFin", " (\u0130,", "e\n\xa0\x85)BB(", "a\n\nb\u2003z", "\x1c .", "a  b", "it's  we'll\r\n", "trail  ", "1,000.5 a,b .x ,y"]
+    extra += ["".join(rng.choice(ODD) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
     texts = [t for _, t, *_ in corpus] + extra
-    for _ in range(2):  # the second time from memory
-        got = enc.encode(texts)
-        for t, ids in zip(texts, got, strict=True):
-            assert np.frombuffer(ids, "<u2").tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids, t
+    for at in range(0, len(texts), 500):
+        ids, bounds = enc.encode(pa.array(texts[at : at + 500]))
+        for k, t in enumerate(texts[at : at + 500]):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+    # pieces that were forgotten, and windows that cut a long text
+    enc.memo, long = {}, " ".join(texts[i] or "" for i in range(0, len(texts), 7))
+    tokens.WINDOW, kept = 1000, tokens.WINDOW
+    ids, _ = enc.encode(pa.array([long]))
+    tokens.WINDOW = kept
+    assert ids.tolist() == plain.encode(long, add_special_tokens=False).ids
+
+
+def library_ids(name, text, end):
+    """Ids by the plain library, for expectations that don't rest on the encoder."""
+    return np.array([*Tokenizer.from_file(tokens.public_path(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_pack(docs, corpus, empty):
-    enc = tokens.encoder(tokens.public_path(tokens.BYTE_BPE), "byte")
     rows = packing.pack(docs).collect()
     by, seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
         seq[r.sequence_id].append(r)
     for i, t, *_ in corpus:
-        ids = np.append(np.frombuffer(enc.encode([t])[0], "<u2").astype("<u4"), np.uint32(0)).astype("<u4")
+        ids = library_ids(tokens.BYTE_BPE, t, 0)
         n = sum(1 for x in corpus if x[0] == i)
         for s in range(0, len(ids), 1024):
             part = ids[s : s + 1024]
@@ -113,27 +133,53 @@ def test_plan_holds_exactly_its_histogram():
     assert abs(value - 11.2) < 1e-9 and pick.tolist() == [2, 1]
 
 
-def test_token_files(docs, corpus, empty):
-    enc = tokens.encoder(tokens.public_path(tokens.WORD_BPE), "word")
-    rows = sorted(token_files.read_shards(token_files.write_shards(docs)).collect(), key=lambda r: r.start)
-    want = []
-    for i, t, *_ in sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = np.append(np.frombuffer(enc.encode([t])[0], "<u2"), np.uint16(2)).astype("<u4")
-        want.append((i, sum(w[2] for w in want), len(ids), zlib.crc32(ids.tobytes())))
-    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == want
+def test_token_files(docs, corpus, empty, monkeypatch):
+    shards = token_files.write_shards(docs)
+    rows = sorted(token_files.read_shards(shards).collect(), key=lambda r: r.start)
+    want, at = [], defaultdict(list)
+    for i, t, *_ in corpus:
+        ids = library_ids(tokens.WORD_BPE, t, 2)
+        at[i].append((len(ids), zlib.crc32(ids.tobytes())))
+    assert [r.doc_id for r in rows] == sorted((i for i, *_ in corpus), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    for i, both in at.items():
+        want += sorted((i, *x) for x in both)
+    key = lambda r: (r[0] is not None, r)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows), key=key) == sorted(want, key=key)
+    # real files, and one document read from one of them by itself
+    file = sorted(shards.collect(), key=lambda r: (r.task, r.seq))[-1].file
+    raw = Path(file.removeprefix("file:")).read_bytes()
+    s = token_files.Shard.of(raw)
+    last = max(i for i, *_ in corpus if i is not None)
+    text = next(t for i, t, *_ in corpus if i == last)
+    assert s.doc_ids()[-1].as_py() == last and s.doc(s.n - 1).tolist() == library_ids(tokens.WORD_BPE, text, 2).tolist()
     assert token_files.read_shards(token_files.write_shards(empty)).count() == 0
 
 
 def test_elias_fano_selects_every_boundary():
     rng = np.random.default_rng(0)
-    for n in (1, 63, 64, 65, 500):
-        ids = [rng.integers(0, 60_000, int(k)).astype("<u2").tobytes() for k in rng.integers(0, 200, n)]
-        s = token_files.Shard(token_files.pack_shard(ids))
-        bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in ids])])
-        assert s.bounds().tolist() == bounds.tolist() == [s.bound(i) for i in range(n + 1)]
-        assert [s.doc(i).tobytes() for i in range(n)] == ids
+    for n in (1, 63, 64, 65, 500, 5000):
+        sizes = rng.integers(0, 200, n) * (rng.random(n) < 0.7)
+        sizes[n // 2] = 90_000
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = rng.integers(0, 60_000, int(bounds[-1])).astype("<u2")
+        names = np.sort(rng.integers(-(1 << 62), 1 << 62, n))
+        names[n // 3 :] = names[n // 3]
+        raw, asked = token_files.pack_shard(ids, bounds, names, nulls=0), []
+
+        def read(at, size, raw=raw, asked=asked):
+            asked.append(size)
+            return raw[at : at + size]
+
+        s = token_files.Shard(read)
+        assert s.bounds().tolist() == bounds.tolist() and s.doc_ids().to_pylist() == names.tolist()
+        asked.clear()
+        for i in {0, n // 2, n - 1, *rng.integers(0, n, 20).tolist()}:
+            assert s.doc(i).tolist() == ids[bounds[i] : bounds[i + 1]].tolist()
+        assert sum(asked) < 2 * 22 * (90_000 + 4_000) and min(asked) >= 0
+        assert len(raw) - ids.nbytes < 16 * n + 300  # names of 64 random bits among them
     with pytest.raises(ValueError):
-        token_files.Shard(b"nope" * 20)
+        token_files.Shard.of(b"nope" * 20)
 
 
 def test_media(docs, corpus, empty):
