@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pulsegrid.llm import exact_dedup, html_text, jpeg, language_id, media, mixing, packing, queries, token_files, tokens, toxicity
+from pulsegrid.llm import block_images, exact_dedup, html_text, jpeg, language_id, media, mixing, packing, queries, token_files, tokens, toxicity
 from tests.llm.conftest import prose
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -216,6 +216,50 @@ def test_progressive_scans_accumulate(w, h, samp):
     assert jpeg.to_rgb(got).shape == (h, w, 3)
 
 
+def test_batches_of_block_images_equal_single_ones():
+    rng = random.Random(3)
+    sizes = [0, 1, 63, 64, 65, 700, 5000, 12000, 64 * 300] * 3 + [64 * 8191 + 5, 64 * 40_000]
+    payloads = [media.padded(rng.randbytes(n)) for n in sizes]
+    raws = block_images.write(payloads)
+    assert raws == [media.to_jpeg(p) for p in payloads]
+    got, features = media.payloads_and_features(raws)
+    assert got == payloads and features == [media.feature(media.from_jpeg(raw)[1]) for raw in raws]
+    # an image of another make among them, and a damaged one
+    parts = [jpeg.Component(1, 1, 1, 0)]
+    jpeg.layout(8, 8, parts)
+    parts[0].coef[:] = -100
+    other = jpeg.encode(jpeg.Image(8, 8, parts, {0: np.ones(64, int)}, (64).to_bytes(8, "big")), [([0], 0, 0, 0, 0), ([0], 1, 63, 0, 0)])
+    assert media.payloads_and_features([raws[5], other])[0] == [payloads[5], bytes([155]) * 64]
+    with pytest.raises(ValueError):
+        media.payloads_and_features([raws[5][:60]])
+
+
+def test_inverse_transform_equals_the_cosine_sum():
+    """Random coefficients with subsampled chroma against the textbook double sum, repeated chroma and colour formula."""
+    rng = np.random.default_rng(1)
+    parts = [jpeg.Component(1, 2, 2, 0), jpeg.Component(2, 1, 1, 1), jpeg.Component(3, 1, 1, 1)]
+    jpeg.layout(32, 16, parts)
+    quant = {0: rng.integers(1, 9, 64), 1: rng.integers(1, 9, 64)}
+    for c in parts:
+        c.coef[:] = rng.integers(-9, 10, c.coef.shape)
+    zigzag = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+
+    def value(c, y, x):
+        block, total = c.coef[y // 8, x // 8], 0.0
+        for k, place in enumerate(zigzag):
+            v, u = divmod(place, 8)
+            scale = (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4
+            total += scale * block[k] * quant[c.table][k] * np.cos((2 * (x % 8) + 1) * u * np.pi / 16) * np.cos((2 * (y % 8) + 1) * v * np.pi / 16)
+        return total
+
+    rgb = jpeg.to_rgb(jpeg.Image(32, 16, parts, quant))
+    for y in range(0, 16, 3):
+        for x in range(0, 32, 5):
+            lum, cb, cr = value(parts[0], y, x) + 128, value(parts[1], y // 2, x // 2), value(parts[2], y // 2, x // 2)
+            want = np.clip([lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb], 0, 255)
+            assert np.abs(rgb[y, x] - want).max() <= 0.51
+
+
 def test_inverse_transform_and_colour():
     parts = [jpeg.Component(1, 2, 2, 0), jpeg.Component(2, 1, 1, 0), jpeg.Component(3, 1, 1, 0)]
     jpeg.layout(16, 16, parts)
