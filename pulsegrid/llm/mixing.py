@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WORD, staged, word_count
+from pulsegrid.llm.common import WORD, every, staged, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -25,6 +25,8 @@ CAP = 2
 #: Rows of one source that a key range holds on average.
 RANGE_ROWS = 20_000
 SEED = "mix-1"
+#: Hex digits of the key that name a range at most: 16 million ranges a source; beyond, ranges hold more rows.
+MAX_DIGITS = 6
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -52,53 +54,71 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return per.withColumn("at", level).select("ix", "source", "source_size", "weight", F.when(F.col("at").isNull(), F.col("full")).otherwise(F.least(F.col("weight") * F.col("at"), F.col("full"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, source, mix_key.
+def _prepared(rows: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (id, size, source, tie ...) with their hash-random key; rows without an id draw it from their text."""
+    rows = rows.withColumns({"src": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+    return rows.withColumn("key", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string"))), F.lit(f":{seed}"))))
 
-    ``size`` is the number of words (null text: 0); ``taken`` counts repeats and
-    lies between 0 and ``cap`` * size. A null source is a source of its own and
-    sorts last. Ties of the key (repeated ids) fall back on id and size, so reruns
-    agree. An empty table gives no rows; sources without words take none.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"))
-    rows = staged(rows.withColumn("key", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}")))), "sizes")
+
+def _taken(rows: DataFrame, sizes: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """``rows`` with source_size, target and taken. ``sizes`` holds the same rows without what is carried along."""
     # the number of sources bounds this table; it stays a DataFrame and is joined, not collected
-    targets = staged(source_targets(rows, weights, share, cap), "targets")
+    targets = staged(source_targets(sizes, weights, share, cap), "targets")
     budget = F.floor(F.col("target")).cast("long")
-    n = rows.count()
-    digits = max(1, min(6, math.ceil(math.log(max(1, n) / RANGE_ROWS, 16)))) if n > RANGE_ROWS else 1
-    rows = rows.withColumn("part", F.substring("key", 1, digits))
-    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    n = sizes.count()
+    digits = max(1, min(MAX_DIGITS, math.ceil(math.log(max(1, n) / RANGE_ROWS, 16)))) if n > RANGE_ROWS else 1
+    part, by = F.substring("key", 1, digits), ["src", "none", "part"]
+    sums = sizes.groupBy("src", "none", part.alias("part")).agg(F.sum("size").alias("words"))
+    ahead = W.partitionBy("src", "none").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0).cast("long")))
-    plan = sums.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("part").alias("p"), "offset", "source_size", "target", budget.alias("budget"))
-    inside = W.partitionBy("source", "part").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("none"), "source_size", "target", budget.alias("budget"))
+    plan = sums.join(targets, ["src", "none"]).drop("words")
+    # the join and the prefix sums share one dealing, so rows move once
+    placed = rows.withColumn("part", part).join(plan, by)
+    inside = W.partitionBy(*by).orderBy("key", F.col("id").asc_nulls_first(), "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0)).cast("long")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("ahead")
     placed = placed.withColumn("epochs", epochs)
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), "source", F.col("key").alias("mix_key"))
+    return placed.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest)))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), word_count(text).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("tie"), *more)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, source, mix_key.
+
+    ``size`` is the number of words (null text: 0); ``taken`` counts repeats and
+    lies between 0 and ``cap`` * size. A null source is a source of its own and
+    sorts last. Ties of the key (repeated ids) fall back on size and a hash of the
+    text, so reruns agree; rows that repeat id and text are alike, whichever of them
+    the budget cuts. Very long texts count whole. An empty table gives no rows;
+    sources without words take none. Other columns are ignored.
+    """
+    rows = staged(_prepared(_rows(docs, id_col, text_col, source_col), seed), "sizes")
+    placed = _taken(rows, rows, weights, share, cap)
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", F.col("key").alias("mix_key"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row once per epoch taken, cut to its first words where the budget ends inside it.
 
-    Rows that carry no words weigh nothing in a mix and stay once.
+    Each row carries its own share, also where ids repeat, so the words written
+    are those ``mix`` takes. Rows without words weigh nothing in a mix and stay once.
     """
-    by = ["__id", "__source", "__none", "__size"]
-    never_null = lambda i, source: {"__id": F.coalesce(F.col(i).cast("long"), F.lit(-(1 << 63))), "__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__none": F.col(source).isNull()}
-    named = docs.withColumns(never_null(id_col, source_col) | {"__size": word_count(F.col(text_col))})
-    plan = mix(docs, id_col, text_col, source_col, seed).withColumns(never_null("doc_id", "source"))
-    plan = plan.groupBy("__id", "__source", "__none", F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    rows = named.join(plan, by)
-    copies = F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1))).cast("int"))
-    rows = rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    text = F.when(left < F.col("__size"), cut).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sizes = staged(_prepared(_rows(docs, id_col, text_col, source_col), seed), "sizes")
+    # the whole row travels as one column, so its columns' names can't clash
+    rows = _prepared(_rows(docs, id_col, text_col, source_col, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(every(docs))]).alias("row"), F.col(text_col).alias("text")), seed)
+    rows = _taken(rows, sizes, weights, share, cap)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
+    rows = rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    text = F.when(left < F.col("size"), cut).otherwise(F.col("text"))
+    return rows.select(*[(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE = r"""

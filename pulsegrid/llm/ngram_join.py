@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import frugal, staged, table
+from pulsegrid.llm.common import WORD, every, fresh, frugal, staged, table
 from pulsegrid.llm.components import components
 from pulsegrid.llm.wordhash import hash_words, mix64, slices
 
@@ -168,7 +168,7 @@ def _pieces(batches):
 def _classify(terms, batches):
     for piece in _pieces(batches):
         h, bounds = shingle_sets(piece.column(1), terms.n)
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(h, bounds))], ["doc_id", "n", "cls"])
+        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(h, bounds))], ["doc_id", "th", "n", "cls"])
 
 
 def _send_parts(terms, batches):
@@ -195,8 +195,7 @@ def _set_rows(terms, batches):
             piece = batch.slice(a, b - a)
             h, bounds = shingle_sets(piece.column(at), terms.n)
             raw = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-            right = pa.array(class_keys(h, bounds) == piece.column("cls").to_numpy())  # a repeated id brings texts of other classes along
-            yield pa.RecordBatch.from_arrays([piece.column("cls"), piece.column("comp"), pa.array(raw, pa.binary())], ["cls", "comp", "set"]).filter(right)
+            yield pa.RecordBatch.from_arrays([piece.column("cls"), piece.column("comp"), pa.array(raw, pa.binary())], ["cls", "comp", "set"])
 
 
 class Tree:
@@ -303,17 +302,22 @@ def _tasks(rows: DataFrame, terms: Terms) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = NUM / DEN) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, cls, by distinct ``n``-word shingles and a similarity of ``threshold`` at least.
+    """One row per input row: doc_id, n_shingles, component_id, cls, root, th, by distinct ``n``-word shingles and a similarity of ``threshold`` at least.
 
-    Null, empty and blank texts have no shingles and link with nothing: their own
-    id is their component's. Rows that repeat an id are rows of their own. A row
-    with a null id takes part beside an equal set that has an id, and never names
-    a component. An empty table gives no rows.
+    ``component_id`` is the component's smallest id, ``root`` its key (null without
+    shingles), ``th`` a hash of the text. Null, empty and blank texts have no
+    shingles and link with nothing: their own id is their component's. Rows that
+    repeat an id are rows of their own, whatever texts they have. Rows without an id
+    link like others but never name a component; one of them alone has none. Very
+    long texts are read whole. An empty table gives no rows; other columns are ignored.
+
+    Shingles and classes are 64-bit hashes: below 10**9 documents a false merge is unlikely (a chance of 3 %).
     """
     terms = Terms.of(n, threshold)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, n long, cls long"), "classes")
-    classes = of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, th long, n long, cls long"), "classes")
+    classes = of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("speaker"))
     sent = rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long")
     head = F.first("cls").over(W.partitionBy("sig").orderBy("cls").rowsBetween(W.unboundedPreceding, 0))
     near = sent.select("cls", head.alias("head")).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
@@ -321,8 +325,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cand = staged(groups.join(classes, "cls"), "candidates")
     size = cand.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
     # one text of each candidate class becomes its set, once
-    speaks = cand.where("least IS NOT NULL").select("cls", "comp", F.col("least").alias("id"))
-    held = rows.join(speaks.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("cls", "comp", "text")
+    named = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    speaks = cand.select("cls", "comp", named(F.col("speaker.doc_id")).alias("id"), F.col("speaker.th").alias("h"))
+    held = rows.join(speaks.hint("shuffle_hash"), (named(F.col("doc_id")) == F.col("id")) & (F.col("th") == F.col("h"))).select("cls", "comp", "text").dropDuplicates(["cls"])
     held = held.mapInArrow(frugal(partial(_set_rows, terms)), "cls long, comp long, set binary")
     sets = staged(held, "sets").join(size, "comp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     first = sets.withColumn("label", F.col("cls")).withColumn("probe", F.lit(True)).withColumn("rb", F.lit(0).cast("long"))
@@ -347,19 +352,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = staged(links.unionByName(again), "links")
     linked = components(links).select(F.col("node").alias("cls"), "root").join(classes.select("cls", "least"), "cls")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(least, "root").select("cls", "component")
-    alone = classes.join(linked, "cls", "left").select(F.col("cls").alias("c"), F.coalesce("component", "least").alias("component"))
+    linked = linked.join(least, "root").select("cls", "component", "root")
+    alone = classes.join(linked, "cls", "left").select(F.col("cls").alias("c"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"), F.coalesce("root", "cls").alias("root"))
     alone = staged(alone, "named")  # with both sides read from files, adaptive execution splits a class that holds many rows
     out = of.join(alone, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "cls", "root", "th")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = NUM / DEN) -> DataFrame:
-    """``docs`` with the smallest id of each component; rows without an id of their own group stay."""
+    """``docs`` with one row of each component: that of its smallest id, all columns as they came, whatever their names.
+
+    Texts without shingles all stay. Where a component holds an id several times,
+    the text with the least hash stays; of rows that repeat id and text, one. A
+    component of rows without an id keeps one of them.
+    """
     groups = jaccard_components(docs, id_col, text_col, n, threshold)
-    drop = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    by = fresh(docs, "id", "th")
+    never_null = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    first = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
+    first = first.select(never_null(F.col("m.doc_id")).alias(by[0]), F.col("m.th").alias(by[1]))
+    keyed = docs.withColumns({by[0]: never_null(F.col(id_col)), by[1]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    has_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)) > 0
+    kept = keyed.where(has_words).dropDuplicates(by).join(first, by, "left_semi")
+    return kept.select(*every(docs)).unionByName(keyed.where(~has_words).select(*every(docs)))
 
 
 def op3_ngram_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "cls")

@@ -283,6 +283,32 @@ def test_language_id_held_out():
     assert model.predict(pa.array([], pa.string()))[0] == []
 
 
+#: Texts of no learned language: code, noise, other scripts, one letter, an unlearned language of the same script.
+STRANGE = {
+    "code": "def main():\n    import os\n    for i in range(10):\n        print(os.path.join('a', str(i)))\n    return None",
+    "noise": "xqzj vkwpd qqzzt hgfkd wrtpl mnbvc zxcvq kjhgf plmkn",
+    "japanese": "これは日本語の文章です。今日はとても良い天気なので散歩に行きました。",
+    "russian": "Это предложение на русском языке, которое не должно быть распознано.",
+    "one letter": "aaaa aaaaaaa aaaaa aaaaaaaaaa aaaa",
+    "turkish": "Bugün hava çok güzel olduğu için arkadaşlarımla birlikte parkta uzun bir yürüyüş yaptık ve sonra kahve içtik.",
+}
+
+
+def test_language_id_turns_away_other_texts(spark):
+    """Trained on the tables' rows: held-out rows stay, texts of no learned language go, a rare language is learnt, reruns agree."""
+    docs = language_id.table(spark, SF.replace("sf0.001", "sf0.01"), "documents")
+    rare = [(10**6 + k, " ".join(random.Random(k).choices("zorgu blint kavap nemzi thruul".split(), k=40)), "xx") for k in range(60)]
+    docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    model = language_id.fit(docs, 800)
+    again = language_id.fit(docs.repartition(7), 800)
+    assert model.langs == again.langs and "xx" in model.langs and np.array_equal(model.table, again.table) and model.reject == again.reject
+    held = docs.where((language_id.fold(docs.doc_id, 4) == 2) & docs.lang.isNotNull() & docs.text.isNotNull()).collect()
+    pred, _, no = model.predict(pa.array([r.text for r in held]))
+    assert np.mean([p == r.lang for p, r in zip(pred, held, strict=True)]) > 0.99 and no.mean() < 0.005
+    turned = dict(zip(STRANGE, model.predict(pa.array(list(STRANGE.values())))[2].tolist(), strict=True))
+    assert sum(turned.values()) >= 5, turned
+
+
 def test_language_id_runs_on_odd_rows(docs, corpus, empty):
     model = language_id.fit(docs)
     rows = language_id.predict(docs, model).collect()

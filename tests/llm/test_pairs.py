@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact_dedup, ngram_join, substring_dedup
+from pulsegrid.llm import exact_dedup, mixing, ngram_join, substring_dedup
 from pulsegrid.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,10 +36,100 @@ def test_exact_groups(docs, corpus, empty):
     assert out.columns == docs.columns and out.count() == len(groups)
 
 
-def test_small_buckets_split(docs):
-    a = exact_dedup.build_index(docs, capacity=2)
-    assert a.select("bucket", "local_depth").distinct().count() > 8
-    assert a.groupBy("h").agg(F.max("chain").alias("c")).where("c > 1").count() == 0
+def test_small_buckets_split_and_own_their_rows(docs, corpus):
+    index = exact_dedup.Index(docs, "doc_id", "text", 2)
+    rows = index.entries.collect()
+    assert len({r.bucket for r in rows}) > 8 and index.depth > 3
+    # a bucket is the range of hashes that share its first bits
+    width = {r.bucket: 64 - r.local_depth for r in rows}
+    for r in rows:
+        first = r.bucket << (64 - index.depth)
+        assert first <= r.h % (1 << 64) < first + (1 << width[r.bucket])
+    for c in (1, 3, 4096):
+        got = sorted(map(tuple, exact_dedup.exact_groups(docs, capacity=c).drop("bucket").collect()), key=str)
+        assert got == sorted(map(tuple, exact_dedup.exact_groups(docs).drop("bucket").collect()), key=str)
+
+
+def test_hashes_that_collide_are_chained_by_their_bytes(docs, corpus, monkeypatch):
+    keyed = exact_dedup._keyed
+    monkeypatch.setattr(exact_dedup, "_keyed", lambda *a: keyed(*a).withColumn("h", F.pmod("h", F.lit(3)) * (1 << 61)))
+    got = exact_dedup.exact_groups(docs, capacity=4).collect()
+    assert len({r.text_sha256 for r in got}) == len({t or "" for _, t, *_ in corpus}) and max(r.chain for r in got) > 5
+    sizes = Counter(t or "" for _, t, *_ in corpus)
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
+    assert all(r.group_size == sizes[by_sha[r.text_sha256]] for r in got) and sum(r.kept for r in got) == len(sizes)
+
+
+def test_hot_texts_fold_before_they_move(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    df = spark.range(40).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'hot', concat('t', id % 7)) AS text")
+    got = exact_dedup.exact_groups(df).collect()
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id % 2 == 0} == {(38, 20)} and sum(r.kept for r in got) == 8
+
+
+#: Columns that bear names which operators could use for themselves.
+CLASHES = ["id", "h", "t", "n", "sha", "key", "source ", "part", "row", "size", "copy", "taken", "cls", "comp", "block", "bucket", "__id", "__sha", "__n", "_id", "text_sha256", "tie", "th", "root", "a.b", "`q`", "component_id"]
+
+
+def clashing(spark, rows):
+    """(doc_id, text, source) rows with those columns, whose values name the row."""
+    data = [(*r, *(f"{k}-{c}" for c in range(len(CLASHES)))) for k, r in enumerate(rows)]
+    names = ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHES)
+    return spark.createDataFrame(data, f"doc_id long, text string, source string, {names}"), data
+
+
+def test_clashing_names_keep_their_values(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [" ".join(words[k:] + words[:k]) for k in range(8)]
+    df, data = clashing(spark, [(k, texts[k % 8], "s") for k in range(10)] + [(20, None, None)])
+    whole = {tuple(r) for r in data}
+    for out, ids in ((exact_dedup.drop_exact(df), {2, 3, 4, 5, 6, 7, 8, 9, 20}), (ngram_join.keep_one(df, n=5, threshold=0.8), {*range(8), 20})):
+        assert out.columns == df.columns
+        rows = {tuple(r) for r in out.collect()}
+        assert rows <= whole and {r[0] for r in rows} == ids
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns
+    assert {r[:1] + r[2:] for r in map(tuple, mixed.collect())} <= {r[:1] + r[2:] for r in whole}
+    for other in (exact_dedup.exact_groups(df), mixing.mix(df), ngram_join.jaccard_components(df), substring_dedup.remove_repeats(df)):
+        assert other.count() == 11
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = ("one two three four five six seven", "quite another text that is not like it at all", "a third text which stands alone in this small world")
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, c), (None, b), (None, "a text without any id or copy of its own here"), (7, ""), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, ngram_join.keep_one(df, n=5, threshold=0.8).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (5, c), (None, rows[6][1]), (7, ""), (7, ""), (8, None)], key=str)
+    kept = sorted(map(tuple, exact_dedup.drop_exact(df).collect()), key=str)
+    assert sorted(t or "" for _, t in kept) == sorted({t or "" for _, t in rows}) and (5, a) in kept and (5, b) in kept
+
+
+def test_near_copies_without_an_id_are_linked(spark):
+    words = [f"w{k}" for k in range(200)]
+    other = [*words[:100], "changed", *words[101:]]
+    df = spark.createDataFrame([(None, " ".join(words)), (4, " ".join(other)), (9, " ".join(words[::-1])), (None, "no id at all")], "doc_id long, text string")
+    got = ngram_join.jaccard_components(df).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(None, 4), (4, 4), (9, 9), (None, None)}
+    assert {r.doc_id for r in ngram_join.keep_one(df).collect()} == {4, 9, None} and ngram_join.keep_one(df).count() == 3
+
+
+def test_mixed_rows_write_what_the_mix_takes(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 6), " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(0, 12))), rng.choice(["a", "b", None])) for _ in range(60)]
+    df = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.source] += r.taken
+    for parts in (1, 5):
+        written = Counter()
+        for r in mixing.mixed_rows(df.repartition(parts)).collect():
+            written[r.source] += len(WORD.findall(r.text))
+        assert written == taken
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.range(300).selectExpr("id AS u", "id + 1 AS v"), max_rounds=1)
 
 
 def brute_repeats(rows, n):
