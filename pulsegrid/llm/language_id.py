@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import frugal, release, table
+from pulsegrid.llm.common import every, frugal, release, table
 from pulsegrid.llm.wordhash import _LOWER, _WS, buffers, slices
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -269,8 +269,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows the model rejects, all columns as they came."""
-    schema = docs.schema
     at = docs.columns.index("text")
+    plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(every(docs))])  # any names may come, dots among them
 
     def run(batches):
         for batch in batches:
@@ -278,7 +278,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 piece = batch.slice(a, b - a)
                 yield piece.filter(pa.array(~model.predict(piece.column(at))[2].astype(bool)))
 
-    return docs.mapInArrow(frugal(run), schema)
+    return plain.mapInArrow(frugal(run), plain.schema).toDF(*docs.columns)
 
 
 def op8_language_id(spark, sf_dir):

@@ -378,4 +378,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def op3_ngram_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "cls")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n FROM w),
+k AS (SELECT doc_id, n, pos, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d) AS s FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT DISTINCT doc_id, s FROM k WHERE pos <= greatest(n - 3, 0)),
+c AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM o JOIN c x ON x.doc_id = u JOIN c y ON y.doc_id = v WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id)
+SELECT d.doc_id, coalesce(max(c.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -22,4 +22,4 @@ def queries():
 
 def oracle_sql():
     """SQL where it can express the operator at whole size; the tests compare the others with brute force."""
-    return {"op2_mix": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_mix": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

@@ -232,8 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = [min(1.0, sample / max(1, sizes.get(k, 0))) / 3 for k in (0, 1)]
     may = may.withColumn("held", (level < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * float(1 << 30)).cast("int"))
     rows = docs.where(F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).select("doc_id", "text")
-    picked = may.where("held = 1").limit(2 * sample)  # the limit bounds the broadcast
-    some = sorted(((r[0], r[1], r[2]) for r in rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(4 * sample).collect()), key=lambda r: r[:2])
+    # about ``sample`` / 3 rows a class by a hash of their id, which bounds the broadcast; ids that many texts share are cut by an order
+    picked = may.where("held = 1")
+    some = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").distinct()
+    some = some.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * sample)
+    some = sorted(((r[0], r[1], r[2]) for r in some.collect()), key=lambda r: r[:2])
     # labels grow with the corpus: never broadcast, so that small tables take the plan that large ones need
     counted = rows.join(may.hint("shuffle_hash"), "doc_id").select("toxic", "held", "text").mapInArrow(frugal(_count_rows), "key long, n0 long, n1 long, held0 long, held1 long")
     got = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "held0", "held1")]).toArrow()
@@ -251,7 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, score. Null and empty texts get the score of a text without evidence."""
+    """One row per input row: doc_id, score.
+
+    Null and empty texts get the score of a text without evidence. Equal texts have
+    equal scores, long ones are read whole; rows that repeat an id or have none are
+    scored like others. An empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches):
         for batch in batches:

@@ -362,26 +362,3 @@ def test_html_held_out(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<article><h1>T</h1><p>A b c d e f.</p></article><footer>&copy; x</footer>")]
     out = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), field).collect()}
     assert out[1].text == "" == out[2].text and out[3].text == "T\n\nA b c d e f." and out[3].n_chars == 15
-
-
-def test_pipeline_stages_match_their_operators(spark, docs, tmp_path):
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    sizes = []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, now, str(tmp_path))
-        out.write.parquet(str(tmp_path / name))
-        out = spark.read.parquet(str(tmp_path / name))
-        if name != "packing":
-            assert out.columns == now.columns
-            sizes.append(out.count())
-        if name == "exact_dedup":
-            texts = [r.text or "" for r in out.select("text").collect()]
-            assert len(texts) == len(set(texts)) == exact_dedup.exact_groups(now).where("kept").count()
-        if name == "ngram_join":
-            assert out.where("doc_id IS NOT NULL").join(now, "doc_id", "left_anti").count() == 0
-        now = out
-    assert now.select("sequence_id").distinct().count() > 0
-    total = now.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
-    assert total <= 1024
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
