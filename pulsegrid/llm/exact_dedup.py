@@ -30,7 +30,7 @@ from pulsegrid.llm.common import every, fresh, staged
 #: Most bits of the directory: 2**20 slots of three longs, 24 MB.
 MAX_DEPTH = 20
 #: Entries a bucket holds before it splits.
-CAPACITY = 4096
+CAPACITY = 1024
 #: A text with more than one of so many rows folds before it moves; fewer than ``HOT`` texts can have that many, which bounds their broadcast.
 HOT = 1000
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WORD, every, fresh, frugal, staged, table
+from pulsegrid.llm.common import every, fresh, frugal, staged, table
 from pulsegrid.llm.components import components
 from pulsegrid.llm.wordhash import hash_words, mix64, slices
 
@@ -46,6 +46,8 @@ N, NUM, DEN = 3, 9, 10
 CHUNK_BYTES = 1 << 20
 #: Shingles of a block of a large component: 4 MB of sets.
 BLOCK_SHINGLES = 500_000
+#: What a set counts for at least in a block, so that a block holds at most 2,000 sets.
+SET_WEIGHT = 250
 #: Shingles under which a part is weak.
 WEAK = 3
 WORDS_OF_BITMAP = 8
@@ -298,7 +300,8 @@ def _link_task(terms: Terms, key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _tasks(rows: DataFrame, terms: Terms) -> DataFrame:
-    return rows.groupBy("comp", "rb", "b").applyInArrow(lambda key, rows: _link_task(terms, key, rows), "u long, v long")
+    # dealt anew, as a dealing by component alone would bring all blocks of a large one to one task
+    return rows.repartition("comp", "rb", "b").groupBy("comp", "rb", "b").applyInArrow(lambda key, rows: _link_task(terms, key, rows), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = NUM / DEN) -> DataFrame:
@@ -317,17 +320,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, th long, n long, cls long"), "classes")
-    classes = of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("speaker"))
+    folded = of.where("n > 0").groupBy("cls", "n", "doc_id", "th").agg(F.count("*").alias("rows"))
+    classes = folded.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "rows")).alias("speaker"))
     sent = rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long")
     head = F.first("cls").over(W.partitionBy("sig").orderBy("cls").rowsBetween(W.unboundedPreceding, 0))
     near = sent.select("cls", head.alias("head")).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     cand = staged(groups.join(classes, "cls"), "candidates")
-    size = cand.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
+    size = cand.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.greatest("n", F.lit(SET_WEIGHT))) / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
     # one text of each candidate class becomes its set, once
     named = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    speaks = cand.select("cls", "comp", named(F.col("speaker.doc_id")).alias("id"), F.col("speaker.th").alias("h"))
-    held = rows.join(speaks.hint("shuffle_hash"), (named(F.col("doc_id")) == F.col("id")) & (F.col("th") == F.col("h"))).select("cls", "comp", "text").dropDuplicates(["cls"])
+    speaks = cand.select("cls", "comp", named(F.col("speaker.doc_id")).alias("id"), F.col("speaker.th").alias("h"), F.col("speaker.rows").alias("rows"))
+    held = rows.join(speaks.hint("shuffle_hash"), (named(F.col("doc_id")) == F.col("id")) & (F.col("th") == F.col("h"))).select("cls", "comp", "text", "rows")
+    if cand.where("speaker.rows > 1").limit(1).count():  # rows repeated whole
+        held = held.where("rows = 1").unionByName(held.where("rows > 1").dropDuplicates(["cls"]))
     held = held.mapInArrow(frugal(partial(_set_rows, terms)), "cls long, comp long, set binary")
     sets = staged(held, "sets").join(size, "comp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     first = sets.withColumn("label", F.col("cls")).withColumn("probe", F.lit(True)).withColumn("rb", F.lit(0).cast("long"))
@@ -343,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         main = count.groupBy("comp").agg(F.max(F.struct("k", "label")).alias("m")).select("comp", F.col("m.label").alias("main"))
         named = named.join(main, "comp").select("cls", "label", (F.col("label") != F.col("main")).alias("out"))
         left = sets.where("blocks > 1").join(named, "cls")
-        few = left.where("out").groupBy("comp").agg(F.ceil(F.sum(F.length("set")) / (8 * BLOCK_SHINGLES)).cast("long").alias("rblocks"))
+        few = left.where("out").groupBy("comp").agg(F.ceil(F.sum(F.greatest(F.length("set") / 8, F.lit(SET_WEIGHT))) / BLOCK_SHINGLES).cast("long").alias("rblocks"))
         left = left.join(few, "comp")  # components without such classes are done
         probe = left.where("out").withColumn("rb", F.pmod(F.xxhash64("cls", F.lit("rb")), F.col("rblocks")))
         probe = probe.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
@@ -366,15 +372,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     the text with the least hash stays; of rows that repeat id and text, one. A
     component of rows without an id keeps one of them.
     """
-    groups = jaccard_components(docs, id_col, text_col, n, threshold)
+    groups = staged(jaccard_components(docs, id_col, text_col, n, threshold).where("root IS NOT NULL").groupBy("root", "doc_id", "th").agg(F.count("*").alias("rows")), "groups")
     by = fresh(docs, "id", "th")
     never_null = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
-    first = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
-    first = first.select(never_null(F.col("m.doc_id")).alias(by[0]), F.col("m.th").alias(by[1]))
-    keyed = docs.withColumns({by[0]: never_null(F.col(id_col)), by[1]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    has_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)) > 0
-    kept = keyed.where(has_words).dropDuplicates(by).join(first, by, "left_semi")
-    return kept.select(*every(docs)).unionByName(keyed.where(~has_words).select(*every(docs)))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
+    stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("th") == F.col("m.th"))
+    marked = groups.join(first, "root").select(never_null(F.col("doc_id")).alias(by[0]), F.col("th").alias(by[1]), stays.alias("stays"), "rows")
+    marked = staged(marked.where("NOT stays OR rows > 1"), "marked")
+    gone, twice = marked.where("NOT stays").select(*by), marked.where("stays").select(*by)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({by[0]: never_null(F.col(id_col)), by[1]: F.xxhash64(text)})
+    # texts move only where the rows to drop are too many to broadcast
+    kept = keyed.join(gone, by, "left_anti")
+    if twice.limit(1).count():
+        kept = kept.join(twice, by, "left_anti").unionByName(kept.join(twice, by, "left_semi").dropDuplicates(by))
+    return kept.select(*every(docs))
 
 
 def op3_ngram_join(spark, sf_dir):

@@ -107,13 +107,9 @@ def test_stages_carry_clashing_columns_and_empty_tables(spark):
         assert {r.id for r in now.collect()} <= {r[3] for r in data}
 
 
-def test_staged_tables_are_removed(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir")
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        common.staged(spark.range(3).toDF("x"), "some")
-        assert (tmp_path / "pulsegrid").exists()
-        common.clean_up(spark)
-        assert not (tmp_path / "pulsegrid").exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+def test_staged_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "work_dir", lambda spark: str(tmp_path))
+    common.staged(spark.range(3).toDF("x"), "some")
+    assert (tmp_path / "pulsegrid").exists()
+    common.clean_up(spark)
+    assert not (tmp_path / "pulsegrid").exists()
