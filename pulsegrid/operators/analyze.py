@@ -23,75 +23,91 @@ from pulsegrid.functions.scoring import MAX_GAP_S, MIN_VALID_RATIO, clip, confid
 BLOCK = 4096
 QUALITY = ("face", "lighting", "sharpness", "motion", "compression")
 FEATURES = "hr_bpm double, pulse_snr_db double, hr_stability_bpm double, pulse_amplitude double, ibi_mean_s double, rmssd_proxy_ms double, n_beats long"
-SCHEMA = f"recording_id long, method string, start_s double, end_s double, valid_ratio double, longest_gap long, face double, lighting double, sharpness double, motion double, compression double, {FEATURES}"
+SCHEMA = f"recording_id long, method string, start_s double, end_s double, valid_ratio double, longest_gap long, face double, lighting double, sharpness double, motion double, compression double, fps_stability double, gt double, {FEATURES}"
+#: Windows whose traces are held and filtered at once.
+SLICE = 32
 
 
-def _windows(pdf: pd.DataFrame, fps: float, win: int, stride: int, methods: list[str]) -> pd.DataFrame:
+def _stability(t: np.ndarray) -> float:
+    """1 - spread of the frame intervals over their mean, within [0, 1]; 0 under three stamps or without progress."""
+    dt = np.diff(t[np.isfinite(t)])
+    return float(np.clip(1 - dt.std() / dt.mean(), 0, 1)) if len(dt) >= 2 and dt.mean() > 0 else 0.0
+
+
+def _windows(pdf: pd.DataFrame, fps: float, win: int, stride: int, methods: list[str]) -> Iterable[pd.DataFrame]:
+    """Features of one block's windows, ``SLICE`` of them at a time: memory doesn't grow with the block's windows."""
     pdf = pdf.sort_values("i", kind="stable")
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    n = len(pdf)
-    starts = range(0, n - win + 1, stride)
-    if n < win:
-        return pd.DataFrame(columns=names)
     rgb = pdf[["r", "g", "b"]].to_numpy(float)
     valid = pdf["valid"].to_numpy(bool) & np.isfinite(rgb).all(axis=1)
-    qual = pdf[list(QUALITY)].to_numpy(float)
-    rows, traces = [], []
-    for s in starts:
-        v = valid[s : s + win]
-        edge = np.flatnonzero(np.diff(np.r_[False, ~v, False]))
-        gap = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
-        q = qual[s : s + win][v]
-        stats = {c: (np.nan if not len(q) else float(np.percentile(q[:, k], 10)) if c in ("face", "motion") else float(q[:, k].mean())) for k, c in enumerate(QUALITY)}
-        at = s + int(pdf["place"].iloc[0])
-        rows.append({"recording_id": pdf["recording_id"].iloc[0], "start_s": at / fps, "end_s": (at + win) / fps, "valid_ratio": float(v.mean()), "longest_gap": gap} | stats)
-        traces.append(sig.fill_gaps(rgb[s : s + win], v, fps, MAX_GAP_S) if v.mean() >= MIN_VALID_RATIO else None)
-    base = pd.DataFrame(rows)
-    use = [k for k, t in enumerate(traces) if t is not None]
-    out = []
-    for name in methods:
-        part = base.assign(method=name)
-        found = sig.cardiac(sig.method(name)(np.stack([traces[k] for k in use]), fps), fps) if use else {}
-        for column in FEATURES.split(", "):
-            c = column.split()[0]
-            values = np.zeros(len(base), np.int64) if c == "n_beats" else np.full(len(base), np.nan)
-            if use:
-                values[use] = found[c]
-            part[c] = values
-        out.append(part)
-    return pd.concat(out)[names]
-
-
-def window_features(frames: DataFrame, fps: float, window_s: float = 20.0, stride_s: float = 1.0, methods: Iterable[str] = ("pos",)) -> DataFrame:
-    """Quality and cardiac features of each window and method; features are null behind the valid-share and gap gates."""
+    qual, stamps, truth = pdf[list(QUALITY)].to_numpy(float), pdf["t"].to_numpy(float), pdf["truth"].to_numpy(float)
+    starts = list(range(0, len(pdf) - win + 1, stride))
+    for a in range(0, len(starts), SLICE):
+        rows, traces = [], []
+        for s in starts[a : a + SLICE]:
+            v = valid[s : s + win]
+            edge = np.flatnonzero(np.diff(np.r_[False, ~v, False]))
+            gap = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
+            q, g = qual[s : s + win][v], truth[s : s + win]
+            stats = {c: (np.nan if not len(q) else float(np.percentile(q[:, k], 10)) if c in ("face", "motion") else float(q[:, k].mean())) for k, c in enumerate(QUALITY)}
+            at = s + int(pdf["place"].iloc[0])
+            stats |= {"fps_stability": _stability(stamps[s : s + win]), "gt": float(g.mean()) if np.isfinite(g).all() else np.nan}
+            rows.append({"recording_id": pdf["recording_id"].iloc[0], "start_s": at / fps, "end_s": (at + win) / fps, "valid_ratio": float(v.mean()), "longest_gap": gap} | stats)
+            traces.append(sig.fill_gaps(rgb[s : s + win], v, fps, MAX_GAP_S) if v.mean() >= MIN_VALID_RATIO else None)
+        base = pd.DataFrame(rows)
+        use = [k for k, t in enumerate(traces) if t is not None]
+        held = np.stack([traces[k] for k in use]) if use else None
+        for name in methods:
+            part = base.assign(method=name)
+            found = sig.cardiac(sig.method(name)(held, fps), fps) if use else {}
+            for column in FEATURES.split(", "):
+                c = column.split()[0]
+                values = np.zeros(len(base), np.int64) if c == "n_beats" else np.full(len(base), np.nan)
+                if use:
+                    values[use] = found[c]
+                part[c] = values
+            yield part[[c.split()[0] for c in SCHEMA.split(", ")]]
+
+
+def window_features(frames: DataFrame, fps: float, window_s: float = 20.0, stride_s: float = 1.0, methods: Iterable[str] = ("pos",), truth: str | None = None) -> DataFrame:
+    """Quality and cardiac features of each window and method; features are null behind the valid-share and gap gates.
+
+    ``fps_stability`` comes from the frames' stamps ``t`` (seconds) where there are
+    some, else frames count as even. ``gt`` is the window's mean of column ``truth``.
+    """
     win, stride, names = int(round(window_s * fps)), max(int(round(stride_s * fps)), 1), list(methods)
     for m in names:
         sig.method(m)
-    rows = frames.select("recording_id", "i", "r", "g", "b", "valid", *QUALITY)
+    stamp = F.col("t").cast("double") if "t" in frames.columns else F.col("i") / F.lit(float(fps))
+    rows = frames.select("recording_id", "i", "r", "g", "b", "valid", *QUALITY, stamp.alias("t"), (F.col(truth) if truth else F.lit(None)).cast("double").alias("truth"))
     block = stride * -(-max(BLOCK, win) // stride)
     place = (F.row_number().over(W.partitionBy("recording_id").orderBy("i")) - 1).cast("long")
     b = F.floor(F.col("place") / block)
     both = F.when((b > 0) & (F.col("place") % block < win - stride), F.array(b, b - 1)).otherwise(F.array(b))
     rows = rows.withColumn("place", place).withColumn("block", F.explode(both))
-    out = rows.groupBy("recording_id", "block").applyInPandas(lambda pdf: _windows(pdf, fps, win, stride, names), SCHEMA)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = list(_windows(pdf, fps, win, stride, names))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    out = rows.groupBy("recording_id", "block").applyInPandas(run, SCHEMA)
     doubles = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
 
 def score(features: DataFrame, fps: float) -> DataFrame:
     """Adds quality, confidence, reason, valid and the answered rate ``hr_pred``; would-be values stay in ``hr_bpm``."""
-    cols = {c: F.coalesce(F.col(c), F.lit(1.0 if c in ("motion", "compression") else 0.0)) for c in QUALITY} | {"fps_stability": F.lit(1.0)}
+    cols = {c: F.coalesce(F.col(c), F.lit(1.0 if c in ("motion", "compression") else 0.0)) for c in QUALITY} | {"fps_stability": F.col("fps_stability")}
     overall = window_overall(cols, F.col("valid_ratio"))
     pulse = pulse_quality(F.col("pulse_snr_db"), F.col("hr_stability_bpm"))
-    conf = confidence(image_quality(cols, F.col("valid_ratio"), F.lit(1.0)), pulse)
+    conf = confidence(image_quality(cols, F.col("valid_ratio"), F.col("fps_stability")), pulse)
     out = features.withColumn("quality", overall).withColumn("confidence", conf)
     reason = decision(F.col("valid_ratio"), F.col("longest_gap"), F.lit(int(MAX_GAP_S * fps)), F.col("quality"), F.col("confidence"), F.col("hr_bpm"))
     out = out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
     return out.withColumn("hr_pred", F.when(F.col("valid"), F.col("hr_bpm"))).withColumn("confidence", clip(F.col("confidence")))
 
 
-def analyze(frames: DataFrame, fps: float, window_s: float = 20.0, stride_s: float = 1.0, methods: Iterable[str] = ("pos",)) -> DataFrame:
-    return score(window_features(frames, fps, window_s, stride_s, methods), fps)
+def analyze(frames: DataFrame, fps: float, window_s: float = 20.0, stride_s: float = 1.0, methods: Iterable[str] = ("pos",), truth: str | None = None) -> DataFrame:
+    return score(window_features(frames, fps, window_s, stride_s, methods, truth), fps)
 
 
 def truth_rates(samples: DataFrame, gt_fps: float, fps: float, window_s: float = 20.0, stride_s: float = 1.0) -> DataFrame:

@@ -31,6 +31,18 @@ def fit(windows: DataFrame, calibration_s: float = 45.0, features=FEATURES) -> D
     return spread.select("session_id", "feature", "location", F.greatest(raw, floor, F.lit(1e-9)).alias("scale"), "n", (raw < floor).alias("floored"))
 
 
+def reasons(windows: DataFrame, calibration_s: float = 45.0, features=FEATURES) -> DataFrame:
+    """Per session and feature without a baseline, why: no_windows, refused, low_confidence or too_few, the first that explains it."""
+    early = F.col("end_s") <= calibration_s
+    sure = early & F.col("valid") & (F.col("confidence") >= MIN_CONFIDENCE)
+    counts = [F.count_if(early).alias("early"), F.count_if(early & F.col("valid")).alias("answered"), F.count_if(sure).alias("sure")]
+    usable = lambda f: F.count_if(sure & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))).alias(f"k_{f}")
+    per = windows.groupBy("session_id").agg(*counts, *[usable(f) for f in features])
+    long = per.selectExpr("session_id", "early", "answered", "sure", f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, k_{f}' for f in features)}) AS (feature, k)")
+    why = F.when(F.col("early") == 0, "no_windows").when(F.col("answered") < MIN_WINDOWS, "refused").when(F.col("sure") < MIN_WINDOWS, "low_confidence").otherwise("too_few")
+    return long.where(F.col("k") < MIN_WINDOWS).select("session_id", "feature", F.col("k").alias("n"), why.alias("reason"))
+
+
 def transform(windows: DataFrame, baseline: DataFrame, feature: str, mode: str = "delta") -> DataFrame:
     """Adds ``relative``: the feature's distance from its baseline, in its unit or in scales; null without one."""
     if mode not in ("delta", "z"):

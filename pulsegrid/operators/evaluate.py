@@ -6,10 +6,15 @@ confidence and quality columns; errors count refused windows too.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranks import average_ranks, running
+
 USABLE_ERROR_BPM, PASS_COVERAGE, MIN_CAPTURE, MIN_SUBGROUP = 5.0, 0.80, 0.25, 4
 THRESHOLDS = tuple(round(0.05 * k, 2) for k in range(16))
 
@@ -36,6 +41,7 @@ def subject_metrics(windows: DataFrame, by: list[str]) -> DataFrame:
         F.sqrt(F.avg(F.when(pair, F.pow(F.col("hr") - F.col("gt"), F.lit(2.0))))).alias("rmse"),
         guarded_corr("hr", "gt", pair).alias("pearson_r"),
         F.avg("quality").alias("mean_quality"),
+        *([F.avg("pulse_snr_db").alias("mean_snr_db")] if "pulse_snr_db" in windows.columns else []),
     )
     return out.withColumn("coverage", F.col("n_valid") / F.col("n_windows")).withColumn("usable", F.coalesce(F.col("mae_all") <= USABLE_ERROR_BPM, F.lit(True)))
 
@@ -64,40 +70,52 @@ def subgroup_metrics(subjects: DataFrame, labels: list[str]) -> DataFrame:
     return long.groupBy("key", "value").agg(*_cohort()).withColumn("underpowered", F.col("n_subjects") < MIN_SUBGROUP)
 
 
-def go_no_go(metrics: DataFrame) -> DataFrame:
-    passed = (F.col("median_mae_all") <= USABLE_ERROR_BPM) & (F.col("coverage") >= PASS_COVERAGE)
-    return metrics.withColumn("go", F.coalesce(passed, F.lit(False)))
+def go_no_go(metrics: DataFrame, capture: str | None = None) -> DataFrame:
+    """Adds each bar's verdict and ``go``: median error of all windows, coverage, and with ``capture`` its column's ratio. What is missing fails."""
+    bars = {"go_mae": F.col("median_mae_all") <= USABLE_ERROR_BPM, "go_coverage": F.col("coverage") >= PASS_COVERAGE}
+    if capture:
+        bars["go_capture"] = F.col(capture) >= MIN_CAPTURE
+    out = metrics.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in bars.items()})
+    return out.withColumn("go", reduce(lambda x, y: x & y, [F.col(k) for k in bars]))
 
 
 def risk_coverage(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Adds rank, coverage and risk (mean error so far) along an order of (conf, err) rows."""
-    w = W.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(W.partitionBy(*by))
-    return rows.withColumn("rank", F.row_number().over(w)).withColumn("coverage", F.col("rank") / n).withColumn("risk", F.avg("err").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Adds rank, n, coverage and risk (mean error so far) along an order of (conf, err) rows, in millionths added exactly."""
+    exact = rows.withColumn("_err", F.col("err").cast("decimal(28,6)"))
+    out = running(exact, by, order, {"_total": "_err"})
+    # the same sum without the row itself: the risk one rank before
+    before = (F.col("_total") - F.coalesce("_err", F.lit(0))).cast("double") / F.nullif(F.col("rank") - 1, F.lit(0))
+    out = out.withColumn("coverage", F.col("rank") / F.col("n")).withColumn("risk", F.col("_total").cast("double") / F.col("rank")).withColumn("risk_before", before)
+    return out.drop("_err", "_total")
 
 
 def aurc(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Area under risk-coverage by the trapezoid rule."""
-    w = W.partitionBy(*by).orderBy("rank")
-    strip = (F.col("risk") + F.lag("risk").over(w)) / 2 * (F.col("coverage") - F.lag("coverage").over(w))
-    return risk_coverage(rows, by, order).withColumn("strip", strip).groupBy(*by).agg(F.sum("strip").alias(name))
-
-
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank within a group, ties averaged."""
-    asc = F.rank().over(W.partitionBy(*by).orderBy(F.col(value)))
-    ties = F.count("*").over(W.partitionBy(*by, value))
-    return asc + (ties - 1) / 2.0
+    strip = (F.col("risk") + F.col("risk_before")) / 2 / F.col("n")
+    return risk_coverage(rows, by, order).groupBy(*by).agg(F.sum(strip).alias(name))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = rows.withColumn("rx", average_rank(by, x)).withColumn("ry", average_rank(by, y))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("rx", "ry")).alias("rho"))
+    """Rank correlation with averaged ties, n, and the two-sided p-value by a normal tail of Fisher's z; null under three rows."""
+    out = rows
+    for c in (x, y):
+        ranks = average_ranks(rows, by, c, {}).select(*by, c, F.col("average_rank").alias(f"rank_{c}")).drop("ties")
+        same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(ranks[k]) for k in [*by, c]])
+        out = out.join(ranks, same).select(*[out[k] for k in out.columns], ranks[f"rank_{c}"])
+    agg = out.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr(f"rank_{x}", f"rank_{y}")).alias("rho"))
+    # Abramowitz and Stegun 26.2.17
+    z = F.abs(F.atanh(F.greatest(F.lit(-0.999999999), F.least(F.lit(0.999999999), F.col("rho"))))) * F.sqrt((F.greatest(F.col("n"), F.lit(4)) - 3) / F.lit(1.06))
+    t = 1 / (1 + 0.2316419 * z)
+    tail = F.exp(-z * z / 2) / F.lit((2 * math.pi) ** 0.5) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return agg.withColumn("p_value", F.when(F.col("n") >= 4, F.least(F.lit(1.0), 2 * tail)))
 
 
 def deciles(rows: DataFrame, by: list[str], order: list[Column], parts: int = 10) -> DataFrame:
     """Equal parts by confidence, worst first, larger parts first."""
-    cut = rows.withColumn("decile", F.ntile(parts).over(W.partitionBy(*by).orderBy(*order)))
+    whole, more = F.floor(F.col("n") / parts), F.col("n") % parts
+    early = more * (whole + 1)
+    decile = F.when(F.col("rank") <= early, F.ceil(F.col("rank") / (whole + 1))).otherwise(more + F.ceil((F.col("rank") - early) / F.greatest(whole, F.lit(1))))
+    cut = running(rows, by, order, {}).withColumn("decile", decile.cast("int")).drop("n")
     return cut.groupBy(*by, "decile").agg(F.avg("conf").alias("conf_mean"), F.avg("err").alias("mae"), F.count("*").alias("n"))
 
 
@@ -110,16 +128,26 @@ def kept_and_abstained(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("discards_usable", F.coalesce(F.col("mae_abstained") <= F.col("mae_kept"), F.lit(False)))
 
 
-def threshold_sweep(rows: DataFrame, grid=THRESHOLDS) -> DataFrame:
-    """Coverage and errors at each abstain threshold that some row reaches.
+def threshold_sweep(rows: DataFrame, grid=THRESHOLDS, least: int = 0) -> DataFrame:
+    """Coverage and errors at each abstain threshold that some row reaches, and whether at least ``least`` rows stand behind it.
 
-    Each row is repeated for the thresholds it reaches, at most one per grid point.
+    Rows fold to their distinct errors with a count for each threshold; exact
+    percentiles come from running sums of those counts.
     """
-    n = rows.agg(F.count("*").alias("total"))
-    levels = F.filter(F.array(*[F.lit(float(t)) for t in grid]), lambda t: t <= F.col("conf"))
-    long = rows.withColumn("threshold", F.explode(levels))
-    agg = long.groupBy("threshold").agg(F.count("*").alias("k"), F.avg("err").alias("mae"), F.percentile("err", F.lit(0.9)).alias("p90"), F.max("err").alias("max_error"))
-    return agg.join(F.broadcast(n)).select("threshold", (F.col("k") / F.col("total")).alias("coverage"), "mae", "p90", "max_error")
+    per = rows.groupBy("err").agg(*[F.count_if(F.col("conf") >= t).alias(f"k{i}") for i, t in enumerate(grid)], F.count("*").alias("rows"))
+    along = running(per.where("err IS NOT NULL"), [], [F.col("err")], {f"s{i}": f"k{i}" for i in range(len(grid))})
+    total = per.agg(*[F.sum(f"k{i}").alias(f"n{i}") for i in range(len(grid))], *[F.sum(F.when(F.col("err").isNotNull(), F.col(f"k{i}"))).alias(f"e{i}") for i in range(len(grid))], F.sum("rows").alias("total"))
+    along = along.join(F.broadcast(total))  # one row
+    cells = []
+    for i in range(len(grid)):
+        k, s, n = F.col(f"k{i}"), F.col(f"s{i}"), F.col(f"e{i}")
+        place = 0.9 * (n - 1)
+        at = lambda r, k=k, s=s: F.max(F.when((k > 0) & (s - k <= r) & (r < s), F.col("err")))
+        lo, hi = at(F.floor(place)), at(F.ceil(place))
+        p90 = lo + (hi - lo) * F.max(place - F.floor(place))
+        cells.append(F.struct(F.lit(float(grid[i])).alias("threshold"), F.max(f"n{i}").alias("n"), (F.max(f"n{i}") / F.max("total")).alias("coverage"), (F.sum(k * F.col("err")) / F.max(n)).alias("mae"), p90.alias("p90"), F.max(F.when(k > 0, F.col("err"))).alias("max_error")))
+    out = along.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*").where("n > 0")
+    return out.withColumn("supported", F.col("n") >= least)
 
 
 def recommended_threshold(rows: DataFrame, bad: float = USABLE_ERROR_BPM, margin: float = 0.04) -> DataFrame:
@@ -132,9 +160,9 @@ def recommended_threshold(rows: DataFrame, bad: float = USABLE_ERROR_BPM, margin
 def auroc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Rank-sum AUROC with averaged ties; null with one class only."""
     use = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    agg = use.withColumn("r", average_rank(by, score)).groupBy(*by).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"), F.sum(F.when(F.col(label) == 1, F.col("r"))).alias("ranks")
-    )
+    hit = F.col(label) == 1
+    per = average_ranks(use, by, score, {"pos": hit.cast("int"), "neg": (F.col(label) == 0).cast("int")})
+    agg = per.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * F.col("average_rank")).alias("ranks"))
     area = (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2.0) / F.nullif(F.col("pos") * F.col("neg"), F.lit(0))
     return agg.withColumn("auroc", F.when((F.col("pos") > 0) & (F.col("neg") > 0), area)).drop("ranks")
 
@@ -195,15 +223,37 @@ def risk_at_coverage(rows: DataFrame, by: list[str], order: list[Column], steps:
     at = F.explode(F.sequence(F.lit(1), F.lit(steps)))
     n = rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("step", at)
     want = n.select(*by, "step", F.greatest(F.bround(F.col("step") * F.col("n") / F.lit(float(steps))), F.lit(1.0)).cast("long").alias("rank"))
-    return risk_coverage(rows, by, order).join(want, [*by, "rank"]).select(*by, "step", "rank", "risk")
+    return risk_coverage(rows, by, order).drop("n").join(want, [*by, "rank"]).select(*by, "step", "rank", "risk")
 
 
 def baseline_ablation(rows: DataFrame, subject: str, raw: str, relative: str, label: str) -> DataFrame:
     """AUROC pooled raw, pooled against personal baselines, and within subjects; the share of the gap that baselines close."""
-    one = rows.withColumn("__all", F.lit(1))
-    a = auroc(one, ["__all"], raw, label).select("__all", F.col("auroc").alias("auroc_raw"), F.col("pos").alias("n_task"), F.col("neg").alias("n_rest"))
-    b = auroc(one, ["__all"], relative, label).select("__all", F.when(F.col("pos") + F.col("neg") >= 10, F.col("auroc")).alias("auroc_baselined"))
-    c = auroc(rows, [subject], raw, label).agg(F.lit(1).alias("__all"), F.count("*").alias("n_subjects"), F.avg("auroc").alias("auroc_within"))
-    out = a.join(b, "__all").join(c, "__all").drop("__all").withColumn("delta", F.col("auroc_baselined") - F.col("auroc_raw"))
+    a = auroc(rows, [], raw, label).select(F.col("auroc").alias("auroc_raw"), F.col("pos").alias("n_task"), F.col("neg").alias("n_rest"))
+    b = auroc(rows, [], relative, label).select(F.when(F.col("pos") + F.col("neg") >= 10, F.col("auroc")).alias("auroc_baselined"))
+    c = auroc(rows, [subject], raw, label).agg(F.count("*").alias("n_subjects"), F.avg("auroc").alias("auroc_within"))
+    out = a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+    out = out.withColumn("delta", F.col("auroc_baselined") - F.col("auroc_raw"))
     gap = F.col("auroc_within") - F.col("auroc_raw")
     return out.withColumn("gap_recovered", F.when(gap > 1e-9, F.col("delta") / F.nullif(gap, F.lit(0.0))))
+
+
+def negative_pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """1 - r of two traces per group, the loss of waveform training; 1 where either doesn't vary."""
+    flat = (F.stddev_pop(x) < 1e-9) | (F.stddev_pop(y) < 1e-9)
+    return rows.groupBy(*by).agg(F.when(flat, F.lit(1.0)).otherwise(1 - F.corr(x, y)).alias("loss"))
+
+
+def exact_split(subjects: DataFrame, key: str, share: float, seed: str = "split") -> DataFrame:
+    """``part`` of each subject: the ``share`` with the least hashes (one at least) are test, the others train; deterministic."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    ranked = running(subjects.select(key).distinct().withColumn("_h", h), [], [F.col("_h"), F.col(key)], {})
+    test = F.col("rank") <= F.greatest(F.lit(1), F.round(F.col("n") * share))
+    return ranked.select(key, F.when(test, "test").otherwise("train").alias("part"))
+
+
+def table_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One ``line`` of fixed-width text a row, after a heading with ``n_windows`` and ``coverage`` never left out; nulls show as a dash."""
+    wanted = [*columns, *[c for c in ("n_windows", "coverage") if c in rows.columns and c not in columns]]
+    cell = lambda c: F.rpad(F.coalesce(F.when(F.col(c).cast("double").isNotNull() & F.col(c).cast("string").contains("."), F.format_number(F.col(c).cast("double"), 3)).otherwise(F.col(c).cast("string")), F.lit("-")), 14, " ")
+    head = rows.sparkSession.createDataFrame([("".join(c[:13].ljust(14) for c in wanted).rstrip(),)], "line string")
+    return head.unionByName(rows.select(F.rtrim(F.concat(*[cell(c) for c in wanted])).alias("line")))

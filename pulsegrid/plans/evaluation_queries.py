@@ -172,15 +172,15 @@ def _order():
 
 
 _RC = """
-rc AS (SELECT event_id, cohort, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage, avg(err) OVER (PARTITION BY cohort ORDER BY confidence DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk
+rc AS (SELECT event_id, cohort, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage, (sum(err::DECIMAL(28,6)) OVER (PARTITION BY cohort ORDER BY confidence DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE / row_number() OVER w AS risk
   FROM errs WINDOW w AS (PARTITION BY cohort ORDER BY confidence DESC, event_id))
 """
 
 
-@query("risk_coverage", f"WITH {WINDOWS_SQL}, {_RC} SELECT event_id, cohort, rank, round(coverage, 6) AS coverage, round(risk + 1e-9, 5) AS risk FROM rc")
+@query("risk_coverage", f"WITH {WINDOWS_SQL}, {_RC} SELECT event_id, cohort, rank, round(coverage, 6) AS coverage, risk FROM rc")
 def risk_coverage(spark, sf_dir):
     r = ev.risk_coverage(errors(spark, sf_dir), ["cohort"], _order())
-    return r.select("event_id", "cohort", F.col("rank").cast("long").alias("rank"), R("coverage"), R(F.col("risk") + 1e-9, "risk", 5))
+    return r.select("event_id", "cohort", F.col("rank").cast("long").alias("rank"), R("coverage"), "risk")
 
 
 @query("aurc", f"""WITH {WINDOWS_SQL}, {_RC}, o AS (SELECT cohort, row_number() OVER (PARTITION BY cohort ORDER BY err, event_id) AS rank, row_number() OVER (PARTITION BY cohort ORDER BY err, event_id) / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage,
@@ -263,12 +263,27 @@ def _matches(spark, sf_dir):
     return ev.match_events(f.where("event_type = 'purchase'"), f.where("event_type = 'click'"), 2.0)
 
 
-@query("event_match")
+#: Greedy matching: detections in order take their nearest unused truth (the earlier of two as near) within two frames.
+_MATCH = f"""{FRAMES_SQL},
+d AS (SELECT recording_id AS key, i AS t, row_number() OVER (PARTITION BY recording_id ORDER BY i) AS j FROM frames WHERE event_type = 'purchase'),
+g AS (SELECT recording_id AS key, list(i ORDER BY i) AS ts FROM frames WHERE event_type = 'click' GROUP BY 1),
+m AS (SELECT key, 0::BIGINT AS j, ts AS unused, 0::BIGINT AS hits FROM g
+  UNION ALL
+  SELECT key, j, CASE WHEN near IS NULL THEN unused ELSE list_filter(unused, lambda x: x <> near) END, hits + (near IS NOT NULL)::BIGINT
+  FROM (SELECT m.key, d.j, m.unused, m.hits, list_filter(list_sort(list_transform(unused, lambda x: {{'far': abs(x - d.t), 'at': x}})), lambda s: s.far <= 2)[1].at AS near FROM m JOIN d ON d.key = m.key AND d.j = m.j + 1)),
+best AS (SELECT key, max(hits) AS tp FROM m GROUP BY 1),
+nd AS (SELECT key, count(*) AS n_detected FROM d GROUP BY 1), ng AS (SELECT key, len(ts) AS n_truth FROM g),
+matched AS (SELECT coalesce(nd.key, ng.key) AS key, coalesce(n_detected, 0) AS n_detected, coalesce(n_truth, 0) AS n_truth, coalesce(tp, 0) AS tp FROM nd FULL JOIN ng ON nd.key = ng.key LEFT JOIN best ON best.key = ng.key),
+pr AS (SELECT key, CASE WHEN n_detected > 0 THEN tp::DOUBLE / n_detected ELSE 0 END AS p, CASE WHEN n_truth > 0 THEN tp::DOUBLE / n_truth ELSE 0 END AS r FROM matched)
+"""
+
+
+@query("event_match", f"WITH RECURSIVE {_MATCH} SELECT key, n_detected, n_truth, tp FROM matched")
 def event_match(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
-@query("f1_score")
+@query("f1_score", f"WITH RECURSIVE {_MATCH} SELECT key, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr")
 def f1_score(spark, sf_dir):
     m = ev.f1(_matches(spark, sf_dir))
     return m.select("key", R("precision"), R("recall"), R("f1"))
@@ -287,19 +302,31 @@ def _eyes(spark, sf_dir):
     return frames(spark, sf_dir).select("recording_id", "i", F.when(F.col("valid"), 50 + F.col("x") / 10).alias("openness"))
 
 
-@query("blinks")
+def _blink_sql(ratios, rest):
+    """Runs of a blink's length below the level, and of those the accepted: not within ``rest`` frames of the last accepted."""
+    return f"""{FRAMES_SQL}, o AS (SELECT recording_id, i, CASE WHEN valid THEN 50 + x / 10 END AS openness FROM frames),
+l AS (SELECT recording_id, quantile_cont(openness, 0.75) AS level FROM o GROUP BY 1 HAVING count(openness) >= 16),
+q AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in ratios)}]) AS drop_ratio),
+b AS (SELECT o.recording_id, drop_ratio, i, coalesce(openness < drop_ratio * level, false) AS low FROM o JOIN l USING (recording_id), q),
+n AS (SELECT *, sum((NOT low)::INT) OVER (PARTITION BY recording_id, drop_ratio ORDER BY i) AS isl FROM b),
+u AS (SELECT recording_id, drop_ratio, min(i) AS start, max(i) + 1 AS stop FROM n WHERE low GROUP BY recording_id, drop_ratio, isl HAVING count(*) <= 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY recording_id, drop_ratio ORDER BY start) AS j FROM u),
+a AS (SELECT recording_id, drop_ratio, j, start, stop, stop AS last, true AS took FROM k WHERE j = 1
+  UNION ALL SELECT k.recording_id, k.drop_ratio, k.j, k.start, k.stop, CASE WHEN k.start - a.last >= {rest} THEN k.stop ELSE a.last END, k.start - a.last >= {rest} FROM a JOIN k ON k.recording_id = a.recording_id AND k.drop_ratio = a.drop_ratio AND k.j = a.j + 1)
+"""
+
+
+@query("blinks", f"WITH RECURSIVE {_blink_sql([0.9], 4)} SELECT recording_id, start, stop FROM a WHERE took")
 def blinks(spark, sf_dir):
     return ocular.blinks(_eyes(spark, sf_dir), 8.0, max_s=1.0, refractory_s=0.5)
 
 
-@query("blink_threshold_sweep")
+_RATIOS = (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+
+
+@query("blink_threshold_sweep", f"WITH RECURSIVE {_blink_sql(_RATIOS, 1)} SELECT drop_ratio, count(*) AS n_blinks FROM a WHERE took GROUP BY 1")
 def blink_threshold_sweep(spark, sf_dir):
-    eyes = _eyes(spark, sf_dir)
-    out = None
-    for ratio in (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95):
-        part = ocular.blinks(eyes, 8.0, drop_ratio=ratio, max_s=1.0).agg(F.count("*").alias("n_blinks")).withColumn("drop_ratio", F.lit(ratio))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return ocular.blink_sweep(_eyes(spark, sf_dir), 8.0, _RATIOS, max_s=1.0).groupBy("drop_ratio").agg(F.count("*").alias("n_blinks"))
 
 
 @query("ocular_stats", f"""WITH {FRAMES_SQL}, o AS (SELECT recording_id, i, CASE WHEN valid THEN 50 + x / 10 END AS openness FROM frames),
@@ -391,13 +418,11 @@ for _name, _method in (("bvp_features", "pos"), ("chrom_bvp", "chrom"), ("green_
 
 @query("run_benchmark")
 def run_benchmark(spark, sf_dir):
-    """All methods over all recordings, each trace read once; best median error first."""
+    """All methods over all recordings, each trace read once, each window against its own truth; best median error first."""
     from pulsegrid.operators.analyze import analyze
 
     f = _traces(spark, sf_dir)
-    a = analyze(f, FPS, WINDOW_S, STRIDE_S, methods=["pos", "chrom", "green"])
-    ends = f.groupBy("recording_id").agg(F.avg("hr").alias("gt"))
-    w = a.join(ends, "recording_id").withColumn("hr", F.col("hr_bpm"))
+    w = analyze(f, FPS, WINDOW_S, STRIDE_S, methods=["pos", "chrom", "green"], truth="hr").withColumn("hr", F.col("hr_bpm"))
     m = ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"])
     return ev.go_no_go(m).orderBy(F.col("median_mae_all").asc_nulls_last())
 
@@ -444,9 +469,9 @@ def capture_ratio(spark, sf_dir):
 
 
 @query("risk_at_coverage", f"""WITH {WINDOWS_SQL}, {_RC}, n AS (SELECT cohort, count(*) AS n FROM errs GROUP BY 1), g AS (SELECT cohort, unnest(range(1, 11)) AS step, n FROM n)
-SELECT g.cohort, step::INT AS step, rc.rank, round(risk, 9) AS risk FROM g JOIN rc ON rc.cohort = g.cohort AND rc.rank = greatest(round_even(step * n / 10.0::DOUBLE, 0), 1)::BIGINT""")
+SELECT g.cohort, step::INT AS step, rc.rank, risk FROM g JOIN rc ON rc.cohort = g.cohort AND rc.rank = greatest(round_even(step * n / 10.0::DOUBLE, 0), 1)::BIGINT""")
 def risk_at_coverage(spark, sf_dir):
-    return ev.risk_at_coverage(errors(spark, sf_dir), ["cohort"], _order()).select("cohort", "step", F.col("rank").cast("long").alias("rank"), R("risk", n=9))
+    return ev.risk_at_coverage(errors(spark, sf_dir), ["cohort"], _order()).select("cohort", "step", F.col("rank").cast("long").alias("rank"), "risk")
 
 
 def _auc_of(name, source, group="1"):

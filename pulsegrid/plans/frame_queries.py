@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -214,12 +216,17 @@ def waves(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("n", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def spectrum(spark, sf_dir):
-    """Power of bins 1..31 of each 64-sample waveform (8 Hz): the cosine and sine sums as one grouped aggregate."""
-    w = waves(spark, sf_dir).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(31))))
-    arg = F.col("n") * F.col("bin") * F.lit(2 * 3.141592653589793 / 64)
-    agg = w.groupBy("vec_id", "label", "bin").agg(F.sum(F.col("x") * F.cos(arg)).alias("c"), F.sum(F.col("x") * F.sin(arg)).alias("s"))
-    return agg.withColumn("power", F.col("c") * F.col("c") + F.col("s") * F.col("s")).withColumn("hz", F.col("bin") / F.lit(8.0))
+#: cos(2 pi k / 64), k = 0..63: the angles of a 64-sample transform repeat.
+_COS = [math.cos(2 * math.pi * k / 64) for k in range(64)]
+
+
+def powers(spark, sf_dir):
+    """vec_id and ``p``: the power of bins 1..31 of a 64-sample waveform (8 Hz), from its own row without a shuffle."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    e = e.withColumn("cos", F.array(*[F.lit(v) for v in _COS]))
+    wave = lambda b, quarter: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0.0), lambda s, n: s + F.get("x", n) * F.get("cos", (n * b + quarter) % 64))
+    power = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda b: F.struct(wave(b, 0).alias("c"), wave(b, 48).alias("s")))
+    return e.select("vec_id", F.transform(power, lambda w: w["c"] * w["c"] + w["s"] * w["s"]).alias("p"))
 
 
 _SPECTRUM = f"""
@@ -231,19 +238,18 @@ spectrum AS (SELECT *, c * c + s * s AS power, bin / 8.0::DOUBLE AS hz FROM sp)
 
 @query("dft_power", f"WITH {_SPECTRUM} SELECT vec_id, bin::INT AS bin, round(power, 5) AS power FROM spectrum")
 def dft_power(spark, sf_dir):
-    return spectrum(spark, sf_dir).select("vec_id", "bin", F.round("power", 5).alias("power"))
+    return powers(spark, sf_dir).select("vec_id", F.posexplode("p").alias("at", "power")).select("vec_id", (F.col("at") + 1).alias("bin"), F.round("power", 5).alias("power"))
 
 
 def _peaks(spark, sf_dir):
-    sp = spectrum(spark, sf_dir)
-    by = W.partitionBy("vec_id").orderBy("bin")
-    sp = sp.withColumn("p0", F.lag("power").over(by)).withColumn("p2", F.lead("power").over(by)).where((F.col("hz") >= 0.7) & (F.col("hz") <= 3.0))
-    top = sp.withColumn("rn", F.row_number().over(W.partitionBy("vec_id").orderBy(F.col("power").desc(), "bin"))).where("rn = 1")
-    y = [F.log(F.col(c) + 1e-30) for c in ("p0", "power", "p2")]
+    """vec_id, p and the rate of the strongest bin in the pulse band (6..24, the first of equals), refined by its neighbours."""
+    best = F.array_max(F.transform(F.sequence(F.lit(6), F.lit(24)), lambda b: F.struct(F.get("p", b - 1).alias("power"), (-b).alias("b"))))
+    top = powers(spark, sf_dir).withColumn("bin", -best["b"])
+    y = [F.log(F.get("p", F.col("bin") + d) + 1e-30) for d in (-2, -1, 0)]
     bend = y[0] - 2 * y[1] + y[2]
     delta = F.when(F.abs(bend) > 1e-12, 0.5 * (y[0] - y[2]) / bend)
     inner = (F.col("bin") > 6) & (F.col("bin") < 24)
-    return top.withColumn("hr_bpm", 60 * (F.col("hz") + F.when(inner & (F.abs(delta) <= 1), delta / 8.0).otherwise(F.lit(0.0))))
+    return top.withColumn("hr_bpm", 60 * (F.col("bin") / 8.0 + F.when(inner & (F.abs(delta) <= 1), delta / 8.0).otherwise(F.lit(0.0))))
 
 
 _PEAKS = f"""{_SPECTRUM}, nb AS (SELECT *, lag(power) OVER (PARTITION BY vec_id ORDER BY bin) AS p0, lead(power) OVER (PARTITION BY vec_id ORDER BY bin) AS p2 FROM spectrum),
@@ -262,11 +268,12 @@ def hr_peak(spark, sf_dir):
  sum(CASE WHEN abs(hz - hr_bpm / 60) <= 0.2 OR abs(hz - hr_bpm / 30) <= 0.2 THEN NULL ELSE power END) AS noise FROM spectrum s JOIN peaks p ON p.vec_id = s.vec_id WHERE hz >= 0.7 GROUP BY 1)
 SELECT vec_id, round(CASE WHEN sig > 0 AND noise > 0 THEN 10 * log10(sig / noise) END, 4) AS snr_db FROM m""")
 def snr_db(spark, sf_dir):
-    peaks = _peaks(spark, sf_dir).select("vec_id", "hr_bpm")
-    sp = spectrum(spark, sf_dir).where(F.col("hz") >= 0.7).join(peaks, "vec_id")
-    near = (F.abs(F.col("hz") - F.col("hr_bpm") / 60) <= 0.2) | (F.abs(F.col("hz") - F.col("hr_bpm") / 30) <= 0.2)
-    agg = sp.groupBy("vec_id").agg(F.sum(F.when(near, F.col("power"))).alias("sig"), F.sum(F.when(~near, F.col("power"))).alias("noise"))
-    return agg.select("vec_id", F.round(F.when((F.col("sig") > 0) & (F.col("noise") > 0), 10 * F.log10(F.col("sig") / F.col("noise"))), 4).alias("snr_db"))
+    f0 = F.col("hr_bpm") / 60
+    near = lambda hz: (F.abs(hz - f0) <= 0.2) | (F.abs(hz - 2 * f0) <= 0.2)
+    bins = F.sequence(F.lit(6), F.lit(31))
+    part = lambda keep: F.aggregate(F.filter(bins, lambda b: keep(b / 8.0)), F.lit(0.0), lambda s, b: s + F.get("p", b - 1))
+    out = _peaks(spark, sf_dir).select("vec_id", part(near).alias("sig"), part(lambda hz: ~near(hz)).alias("noise"))
+    return out.select("vec_id", F.round(F.when((F.col("sig") > 0) & (F.col("noise") > 0), 10 * F.log10(F.col("sig") / F.col("noise"))), 4).alias("snr_db"))
 
 
 @query("xcorr_lag", f"""WITH {FRAMES_SQL}, a AS (SELECT recording_id, i, x, k::DOUBLE AS y FROM frames), l AS (SELECT unnest(range(-3, 4)) AS lag),
