@@ -91,7 +91,8 @@ def window_features(frames: DataFrame, fps: float, window_s: float = 20.0, strid
 
     out = rows.groupBy("recording_id", "block").applyInPandas(run, SCHEMA)
     doubles = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+    return out if truth else out.drop("gt")
 
 
 def score(features: DataFrame, fps: float) -> DataFrame:

@@ -23,11 +23,18 @@ def abs_error() -> Column:
     return F.abs(F.col("hr") - F.col("gt"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r over rows that have both; null where either doesn't vary (``corr`` itself divides by zero there)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+
 def guarded_corr(x: str, y: str, on: Column) -> Column:
     """Pearson r of the chosen rows; null under three of them or without variation."""
     a, b = F.when(on, F.col(x)), F.when(on, F.col(y))
     good = (F.count(a) >= 3) & (F.stddev_pop(a) >= 1e-9) & (F.stddev_pop(b) >= 1e-9)
-    return F.when(good, F.corr(a, b))
+    return F.when(good, correlation(a, b))
 
 
 def subject_metrics(windows: DataFrame, by: list[str]) -> DataFrame:
@@ -102,7 +109,7 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         ranks = average_ranks(rows, by, c, {}).select(*by, c, F.col("average_rank").alias(f"rank_{c}")).drop("ties")
         same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(ranks[k]) for k in [*by, c]])
         out = out.join(ranks, same).select(*[out[k] for k in out.columns], ranks[f"rank_{c}"])
-    agg = out.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr(f"rank_{x}", f"rank_{y}")).alias("rho"))
+    agg = out.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, correlation(F.col(f"rank_{x}"), F.col(f"rank_{y}"))).alias("rho"))
     # Abramowitz and Stegun 26.2.17
     z = F.abs(F.atanh(F.greatest(F.lit(-0.999999999), F.least(F.lit(0.999999999), F.col("rho"))))) * F.sqrt((F.greatest(F.col("n"), F.lit(4)) - 3) / F.lit(1.06))
     t = 1 / (1 + 0.2316419 * z)
@@ -240,7 +247,7 @@ def baseline_ablation(rows: DataFrame, subject: str, raw: str, relative: str, la
 def negative_pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """1 - r of two traces per group, the loss of waveform training; 1 where either doesn't vary."""
     flat = (F.stddev_pop(x) < 1e-9) | (F.stddev_pop(y) < 1e-9)
-    return rows.groupBy(*by).agg(F.when(flat, F.lit(1.0)).otherwise(1 - F.corr(x, y)).alias("loss"))
+    return rows.groupBy(*by).agg(F.when(flat, F.lit(1.0)).otherwise(1 - correlation(F.col(x), F.col(y))).alias("loss"))
 
 
 def exact_split(subjects: DataFrame, key: str, share: float, seed: str = "split") -> DataFrame:
@@ -254,6 +261,7 @@ def exact_split(subjects: DataFrame, key: str, share: float, seed: str = "split"
 def table_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One ``line`` of fixed-width text a row, after a heading with ``n_windows`` and ``coverage`` never left out; nulls show as a dash."""
     wanted = [*columns, *[c for c in ("n_windows", "coverage") if c in rows.columns and c not in columns]]
-    cell = lambda c: F.rpad(F.coalesce(F.when(F.col(c).cast("double").isNotNull() & F.col(c).cast("string").contains("."), F.format_number(F.col(c).cast("double"), 3)).otherwise(F.col(c).cast("string")), F.lit("-")), 14, " ")
+    kinds = dict(rows.dtypes)
+    cell = lambda c: F.rpad(F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))) if kinds[c] == "double" else F.col(c).cast("string"), F.lit("-")), 14, " ")
     head = rows.sparkSession.createDataFrame([("".join(c[:13].ljust(14) for c in wanted).rstrip(),)], "line string")
     return head.unionByName(rows.select(F.rtrim(F.concat(*[cell(c) for c in wanted])).alias("line")))

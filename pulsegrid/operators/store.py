@@ -1,12 +1,19 @@
 """A study store over Parquet tables: studies, sessions, consents, samples and marks.
 
 Rows are appended with an ingest order and the newest row of a key counts, so an
-upsert is an append. Erasure and retention rewrite every table without the
-sessions concerned; nothing keeps a copy, and there is no unbounded retention.
+upsert is an append. A manifest lists the folders that make up the tables; what it
+doesn't list isn't there. Every change writes its folders first and then one new
+manifest under the next number, whose rename is the commit: a crash before it
+changes nothing, and of two writers at once one is told to try again.
+
+Erasure and retention rewrite the tables without the sessions concerned, commit,
+and then delete what the manifest no longer lists; opening a store finishes a
+deletion that a crash cut short. Nothing keeps a copy, and there is no unbounded retention.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -15,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import studies
+from pulsegrid.staging import staged
 
 TABLES = {
     "studies": ("study_id string, name string, created_at double, retention_days int, closed_at double", ["study_id"]),
@@ -46,12 +54,13 @@ class SessionConfig:
 
 
 class Store:
+    #: Manifests behind the newest that stay, for readers that still list by them.
+    KEPT = 3
+
     def __init__(self, spark: SparkSession, root: str, notice: tuple[str, str] = ("1", ""), scopes: tuple[str, ...] = ("camera", "measurements")):
         self.spark, self.root, self.notice, self.scopes = spark, root.rstrip("/"), notice, scopes
-        self.names: dict[str, list[str]] = {t: [] for t in TABLES}
-        for t in TABLES:
-            if self._fs().exists(self._path(t)):
-                self.names[t] = sorted(f.getPath().getName() for f in self._fs().listStatus(self._path(t)))
+        if self._listed("_manifest"):
+            self._sweep()
 
     def _path(self, *parts):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
@@ -59,20 +68,59 @@ class Store:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _append(self, table: str, rows: DataFrame) -> None:
+    def _listed(self, folder: str) -> list[str]:
+        path, fs = self._path(folder), self._fs()
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """(number, folders of each table) as committed last, by any writer."""
+        found = [n for n in self._listed("_manifest") if n.endswith(".json")]
+        if not found:
+            return 0, {t: [] for t in TABLES}
+        stream = self._fs().open(self._path("_manifest", found[-1]))
+        try:
+            return int(found[-1].split(".")[0]), json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _commit(self, number: int, names: dict[str, list[str]]) -> None:
+        draft, final = self._path("_manifest", f"{uuid.uuid4().hex}.draft"), self._path("_manifest", f"{number + 1:012d}.json")
+        out = self._fs().create(draft)
+        out.write(bytearray(json.dumps(names).encode()))
+        out.close()
+        if self._fs().exists(final) or not self._fs().rename(draft, final):
+            self._fs().delete(draft, False)
+            raise RuntimeError("another writer changed the store; try again")
+        for old in [n for n in self._listed("_manifest") if n.endswith(".json")][: -self.KEPT]:
+            self._fs().delete(self._path("_manifest", old), False)
+
+    def _write(self, table: str, rows: DataFrame) -> str:
         name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         rows.withColumn("ingest", F.lit(name)).write.parquet(f"{self.root}/{table}/{name}")
-        self.names[table].append(name)
+        return name
+
+    def _append(self, table: str, rows: DataFrame) -> None:
+        name = self._write(table, rows)
+        number, names = self._manifest()
+        self._commit(number, names | {table: [*names[table], name]})
 
     def _put(self, table: str, *values) -> None:
         self._append(table, self.spark.createDataFrame([values], TABLES[table][0]))
 
+    def _sweep(self) -> None:
+        """Deletes folders that the manifest doesn't list: erased rows, and what writers that crashed left behind."""
+        names = self._manifest()[1]
+        for t in TABLES:
+            for n in set(self._listed(t)).difference(names[t]):
+                self._fs().delete(self._path(t, n), True)
+
     def read(self, table: str) -> DataFrame:
         """The table's current rows."""
         schema, key = TABLES[table]
-        if not self.names[table]:
+        names = self._manifest()[1][table]
+        if not names:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema + ", ingest string").parquet(*[f"{self.root}/{table}/{n}" for n in self.names[table]])
+        rows = self.spark.read.schema(schema + ", ingest string").parquet(*[f"{self.root}/{table}/{n}" for n in names])
         return (studies.latest(rows, key, [F.col("ingest").desc()]) if key else rows).drop("ingest")
 
     def create_study(self, name: str, retention_days: int = 90) -> str:
@@ -113,15 +161,23 @@ class Store:
         self._put("marks", session_id, float(t), label)
 
     def _rewrite(self, gone: DataFrame, tables) -> None:
-        gone = self.spark.createDataFrame(gone.collect(), "session_id string")  # a withdrawal or a purge names its sessions
-        for t in tables:
-            old = list(self.names[t])
-            if old:
-                kept = studies.erase(self.read(t), gone)
-                self.names[t] = []
-                self._append(t, kept)
-                for n in old:
-                    self._fs().delete(self._path(t, n), True)
+        """The tables without the sessions of ``gone``: written anew, committed at once, then the old folders go."""
+        gone = staged(gone.select("session_id").distinct(), "gone")  # read by every table, whatever number of sessions a purge names
+        number, names = self._manifest()
+        new = {t: [self._write(t, studies.erase(self.read(t), gone))] if names[t] else [] for t in tables}
+        self._commit(number, names | new)
+        self._sweep()
+
+    def compact(self) -> None:
+        """One folder a table, without rows that newer ones replaced."""
+        self._rewrite(self.spark.createDataFrame([], "session_id string"), tuple(TABLES)[1:])
+
+    def close_session(self, session_id: str) -> None:
+        """Stamps a session's end; a session that is closed, withdrawn or unknown can't be closed."""
+        one = self.read("sessions").where((F.col("session_id") == session_id) & F.col("closed_at").isNull() & F.col("withdrawn_at").isNull())
+        if not one.limit(1).count():
+            raise KeyError(session_id)
+        self._append("sessions", one.withColumn("closed_at", F.lit(time.time())))
 
     def withdraw(self, session_id: str, erase: bool = True) -> None:
         """Removes samples and marks, and by default the session and its consent; else both are flagged."""

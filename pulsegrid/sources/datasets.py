@@ -78,6 +78,38 @@ def keyed_csv(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return meta.withColumn("recording_id", F.concat_ws("_", "patient", "camera", "step")).join(per, "recording_id", "left"), rows
 
 
+@register("oximeter_xmp")
+def oximeter_xmp(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``<subject>/*.xmp``: CSV lines of stamp in milliseconds, rate, saturation and waveform; lines that aren't numbers drop out."""
+    lines = spark.read.text(f"{root}/*/*.xmp").select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("recording_id"), F.split("value", ",").alias("v"))
+    cell = lambda k: F.trim(F.get("v", k)).try_cast("double")
+    rows = lines.select("recording_id", (cell(F.lit(0)) / 1000).alias("t"), cell(F.lit(1)).alias("hr"), cell(F.lit(2)).alias("spo2"), cell(F.lit(3)).alias("bvp")).where("t IS NOT NULL AND bvp IS NOT NULL")
+    j = F.row_number().over(W.partitionBy("recording_id").orderBy("t")) - 1
+    return with_rate(rows.withColumn("j", j).select("recording_id", "j", "bvp", "hr", "spo2", "t"))
+
+
+def skin_conductance(spark: SparkSession, root: str, fps: float = 4.0) -> DataFrame:
+    """``<subject>/eda_<subject>_T<task>.csv`` beside ``task_csv``: recording_id, subject_id, task, j, t and eda, one value a line."""
+    lines = spark.read.text(f"{root}/*/eda_*.csv").select("value", F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("o"))
+    name = [F.regexp_extract("path", r"eda_([^/]+)_(T\d)\.csv$", k) for k in (1, 2)]
+    rows = lines.select(F.concat_ws("_", *name).alias("recording_id"), name[0].alias("subject_id"), name[1].alias("task"), F.trim("value").try_cast("double").alias("eda"), "o")
+    rows = rows.withColumn("j", F.row_number().over(W.partitionBy("recording_id").orderBy("o")) - 1)
+    return rows.withColumn("t", F.col("j") / F.lit(fps)).drop("o")
+
+
+def image_sequence(spark: SparkSession, root: str, fps: float) -> DataFrame:
+    """Frames kept as one image file each, ``<recording>/<name>``: recording_id, i (by name), t, path and content, read as binary files.
+
+    Content is read only where it is selected; ``ingest.extract`` takes frames decoded from it.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,ppm,pgm}").option("recursiveFileLookup", "true").load(root)
+    rows = files.select(F.element_at(F.split("path", "/"), -2).alias("recording_id"), "path", "content", "length")
+    number = F.regexp_extract("path", r"(\d+)\.[^./]+$", 1).try_cast("long")  # frame2 before frame10
+    i = (F.row_number().over(W.partitionBy("recording_id").orderBy(number.asc_nulls_last(), "path")) - 1).cast("long")
+    order = rows.select("recording_id", "path", i.alias("i"))  # places without contents in the sort
+    return order.join(rows.select("path", "content", "length"), "path").select("recording_id", "i", (F.col("i") / F.lit(float(fps))).alias("t"), "path", "content", "length")
+
+
 def with_rate(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Recordings with fps = 1 / median positive interval, and the samples."""
     dt = samples.withColumn("dt", F.col("t") - F.lag("t").over(W.partitionBy("recording_id").orderBy("j")))

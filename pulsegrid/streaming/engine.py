@@ -22,6 +22,8 @@ from pulsegrid.functions import signal_np as sig
 
 QUALITY = ("face", "lighting", "sharpness", "motion", "compression")
 OUTPUT = "session_id long, t double, hr_bpm double, snr_db double, confidence double, reason string, calibrated boolean, arousal_bpm double, baseline_bpm double"
+#: A frame that never came.
+MISSING = (None, None, None, False, 0.0, 0.0, 0.0, 1.0, 1.0)
 STATE = "n long, ring string, waiting string, calibration string, baseline double"
 
 
@@ -52,11 +54,18 @@ class Engine:
             if self.n in self.waiting:
                 out += self._advance(self.waiting.pop(self.n))
             elif len(self.waiting) > self.patience:
-                out += self._advance([None, None, None, False, 0.0, 0.0, 0.0, 1.0, 1.0])
+                out += self._advance(list(MISSING))
             else:
                 break
         return out
 
+    def drain(self) -> list[dict]:
+        """The session is over: waiting frames go through, missing ones between them as invalid."""
+        out = []
+        while self.waiting:
+            out += self._advance(self.waiting.pop(self.n, None) or list(MISSING))
+        return out
+
     def _advance(self, frame) -> list[dict]:
         self.ring.append(frame)
         del self.ring[: -self.window]
@@ -94,8 +103,12 @@ class Engine:
         return out | {"calibrated": True, "arousal_bpm": hr - self.baseline, "baseline_bpm": self.baseline}
 
 
-def states(packets: DataFrame, fps: float, **options) -> DataFrame:
-    """State samples of a stream of frames (session_id, i, r, g, b, valid, QUALITY columns)."""
+def states(packets: DataFrame, fps: float, idle_s: float = 60.0, **options) -> DataFrame:
+    """State samples of a stream of frames (session_id, i, r, g, b, valid, QUALITY columns).
+
+    A session without packets for ``idle_s`` is over: what waits is flushed and its
+    state, which holds colour traces, is removed.
+    """
     cols = ["r", "g", "b", "valid", *QUALITY]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -103,16 +116,21 @@ def states(packets: DataFrame, fps: float, **options) -> DataFrame:
         if state.exists:
             engine.load(state.get)
         out = []
-        for pdf in batches:
+        if state.hasTimedOut:
+            out = engine.drain()
+            state.remove()
+        for pdf in batches if not state.hasTimedOut else ():
             pdf = pdf.sort_values("i", kind="stable")
             values = pdf[cols].astype(object).where(pdf[cols].notna(), None)
             for i, row in zip(pdf["i"].tolist(), values.values.tolist(), strict=True):
                 out += engine.push(int(i), row)
-        state.update(engine.dump())
+        if not state.hasTimedOut:
+            state.update(engine.dump())
+            state.setTimeoutDuration(int(idle_s * 1000))
         if out:
             yield pd.DataFrame(out).assign(session_id=key[0])[[c.split()[0] for c in OUTPUT.split(", ")]]
 
-    return packets.select("session_id", "i", *cols).groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return packets.select("session_id", "i", *cols).groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def consented(packets: DataFrame, consents: DataFrame) -> DataFrame:
