@@ -6,29 +6,21 @@ import ctypes
 import functools
 import gc
 import re
-import tempfile
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.staging import shared_folder
+
 #: A word: a maximal run of characters other than space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset, a local master gets a temporary one; a cluster raises, as
-    executors would each write a folder of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; on a cluster it must be set."""
+    return shared_folder(spark)
 
 
 def clean_up(spark: SparkSession) -> None:
@@ -86,10 +78,15 @@ def word_count(text) -> F.col:
 
 
 def release() -> None:
-    """Hands freed memory back to the system: the allocator keeps what large arrays leave."""
+    """Hands freed memory back to the system: allocators keep what large arrays leave."""
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """As ``release``, without looking for cycles: quick enough after every slice of a batch."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -97,11 +94,18 @@ def release() -> None:
         pass
 
 
-def frugal(run):
-    """A task function over batches that ends with ``release``: workers live on between tasks and stages."""
+def frugal(run, encodes: bool = False):
+    """A task function over batches that ends with ``release``: workers live on between tasks and stages.
+
+    Unless it ``encodes``, it first drops tokenizers and their memos, which an earlier stage's tasks left.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        tokens = sys.modules.get("pulsegrid.llm.tokens")
+        if tokens is not None and tokens._encoders and not encodes:
+            tokens._encoders.clear()
+            release()
         try:
             yield from run(batches)
         finally:

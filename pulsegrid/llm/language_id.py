@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import every, frugal, release, table
+from pulsegrid.llm.common import every, frugal, release, table, trim
 from pulsegrid.llm.wordhash import _LOWER, _WS, buffers, slices
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -35,7 +35,7 @@ EPOCHS, RATE, SEED = 6, 2.0, 7
 #: Share of the kept-out rows that the rejection level may turn away.
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 17
 
 
 def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 piece = batch.slice(a, b - a)
                 lang, score, no = model.predict(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no.astype(bool))], ["doc_id", "lang_pred", "score", "rejected"])
+            trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, rejected boolean")
@@ -277,6 +278,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in slices(batch.column(at), TEXT_BYTES):
                 piece = batch.slice(a, b - a)
                 yield piece.filter(pa.array(~model.predict(piece.column(at))[2].astype(bool)))
+            trim()
 
     return plain.mapInArrow(frugal(run), plain.schema).toDF(*docs.columns)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import frugal, staged, table
+from pulsegrid.llm.common import frugal, staged, table, trim
 from pulsegrid.llm.tokens import BYTE_BPE, closed, encoder, public_path
 from pulsegrid.llm.wordhash import slices
 
@@ -38,7 +38,7 @@ GAP = 0.004
 MAX_ROUNDS = 6000
 #: Pieces that a rank bucket holds on average over all classes, so that a class with a third of them still parts well.
 RANK_ROWS = 2_000
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -157,6 +157,7 @@ def _cutter(path: str, kind: str, end: int, length: int):
                 lo = 4 * (bounds[doc] + start)
                 crc = [zlib.crc32(wide[x:y]) for x, y in zip(lo.tolist(), (lo + 4 * size).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, size, crc, total[doc]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                trim()
 
     return run
 
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = staged(rows.mapInArrow(frugal(_cutter(path or public_path(BYTE_BPE), kind, end, length)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = staged(rows.mapInArrow(frugal(_cutter(path or public_path(BYTE_BPE), kind, end, length), encodes=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / CLASS).cast("long"))
     histogram = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most length / CLASS rows
     table_ = slots(plan(histogram, -(-length // CLASS)))

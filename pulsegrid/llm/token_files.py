@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import frugal, opened, staged, table, work_dir
+from pulsegrid.llm.common import frugal, opened, staged, table, trim, work_dir
 from pulsegrid.llm.tokens import WORD_BPE, closed, encoder, public_path
 from pulsegrid.llm.wordhash import slices
 
@@ -41,7 +41,7 @@ HEAD, PART = struct.Struct("<4sIQQQq"), struct.Struct("<QQIQQQ")
 END_ID = 2
 #: Ids of a shard, 8 MB, and its documents; a longer document is a shard of its own.
 SHARD_IDS, SHARD_DOCS = 4 << 20, 1 << 18
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Place of the j-th one of each byte, first bit lowest.
 _PLACE = np.array([(np.flatnonzero([b >> k & 1 for k in range(8)]).tolist() + [0] * 8)[:8] for b in range(256)])
 
@@ -176,6 +176,7 @@ def _writer(path: str, kind: str, end: int, folder: str):
                     held.append((ids[bounds[a] : bounds[b]], np.diff(bounds[a : b + 1]), piece.column(0).slice(a, b - a)))
                     size += int(bounds[b] - bounds[a])
                     a = b
+                trim()
         if held:
             yield flush()
 
@@ -192,7 +193,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
     rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     folder = f"{work_dir(docs.sparkSession)}/pulsegrid/shards-{uuid.uuid4().hex}"
-    return staged(rows.mapInArrow(frugal(_writer(path or public_path(WORD_BPE), kind, end, folder)), "task long, seq long, file string, n_docs long, n_ids long"), "shards")
+    return staged(rows.mapInArrow(frugal(_writer(path or public_path(WORD_BPE), kind, end, folder), encodes=True), "task long, seq long, file string, n_docs long, n_ids long"), "shards")
 
 
 def _reader(batches):
