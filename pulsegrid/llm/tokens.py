@@ -32,7 +32,7 @@ from pulsegrid.llm.wordhash import buffers
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces a worker remembers at most, about 150 bytes each, and those it keeps when that is full: the first met are the commonest.
-MEMO, KEPT = 500_000, 350_000
+MEMO, KEPT = 350_000, 230_000
 #: Bytes of text whose pieces are numbered at once.
 WINDOW = 2 << 20
 #: Pieces that one call of the library takes, joined where their ids can be told apart.
