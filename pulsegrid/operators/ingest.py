@@ -1,7 +1,9 @@
 """Decoded frames to frame rows: the optional pixel stage before everything else.
 
 Input rows hold recording_id, i, pixels (row-major RGB bytes), height, width and
-a face struct<x, y, w, h> or null. Pixels are dropped here and never stored.
+a face struct<x, y, w, h> or null; ``measure_images`` takes image files and finds
+the faces itself. Pixels are dropped here and never stored, unless a caller asks
+for face crops.
 """
 
 from __future__ import annotations
@@ -22,16 +24,14 @@ _RAW = (
 )
 
 
-def _measure(row) -> dict:
-    frame = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, 3)
-    out = {"recording_id": row.recording_id, "i": row.i, "valid": False, "face": 0.0}
-    if row.i % COMPRESSION_EVERY == 0:
+def _measure(frame: np.ndarray, box: tuple | None, confidence: float, compressed: bool) -> dict:
+    out = {"valid": False, "face": 0.0}
+    if compressed:
         out |= {"chroma_ratio": vi.chroma_ratio(frame), "blockiness": vi.blockiness(frame)}
-    if row.face is None:
+    if box is None:
         return out
-    box = tuple(float(row.face[k]) for k in ("x", "y", "w", "h"))
     y, clipped = vi.exposure(frame, box)
-    out |= {"face": 1.0, "mean_luma": y, "clipped_fraction": clipped, "detail": vi.detail(frame, box), "openness": vi.eye_openness(frame, box)}
+    out |= {"face": confidence, "mean_luma": y, "clipped_fraction": clipped, "detail": vi.detail(frame, box), "openness": vi.eye_openness(frame, box)}
     out |= {"cx": box[0] + box[2] / 2, "cy": box[1] + box[3] / 2, "face_width": box[2]}
     if (found := vi.face_colour(frame, box)) is not None:
         out |= {"valid": True, "skin_fraction": found["skin_fraction"]} | dict(zip("rgb", found["rgb"], strict=True))
@@ -42,14 +42,73 @@ def measure(images: DataFrame) -> DataFrame:
     """Raw measurements of each frame, before any neighbour is looked at."""
     names = [c.split()[0] for c in _RAW.split(", ")]
 
+    def one(row):
+        frame = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, 3)
+        box = None if row.face is None else tuple(float(row.face[k]) for k in ("x", "y", "w", "h"))
+        return {"recording_id": row.recording_id, "i": row.i} | _measure(frame, box, 1.0, row.i % COMPRESSION_EVERY == 0)
+
     def run(batches):
         for pdf in batches:
-            rows = pd.DataFrame([_measure(r) for r in pdf.itertuples(index=False)], columns=names)
+            rows = pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=names)
             yield rows.astype({"valid": bool})
 
     return images.select("recording_id", "i", "pixels", "height", "width", "face").mapInPandas(run, _RAW)
 
 
+def _frame(row) -> np.ndarray:
+    """RGB of a row of ``datasets.images``, whose bytes are grey, BGR or BGR with opacity."""
+    px = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, row.channels)
+    return np.repeat(px, 3, axis=2) if row.channels == 1 else np.ascontiguousarray(px[..., 2::-1])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``i``, a frame's place in its recording: frame2 before frame10."""
+    number = F.regexp_extract("path", r"(\d+)\.[^./]+$", 1).try_cast("long")
+    order = W.partitionBy("recording_id").orderBy(number.asc_nulls_last(), "path")
+    return rows.withColumn("i", (F.row_number().over(order) - 1).cast("long"))
+
+
+def measure_images(images: DataFrame, detector: str = "skin") -> DataFrame:
+    """Raw measurements of frames of ``datasets.images``, faces found by ``detector`` (``vision_np.find_face``).
+
+    Pixels are measured by the task that reads them; only measurements are shuffled to number the frames. Compression is
+    therefore measured on all frames and kept for every ``COMPRESSION_EVERY``-th.
+    """
+    schema = _RAW.replace("recording_id long, i long", "recording_id string, path string")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(row):
+        frame = _frame(row)
+        box, sure = vi.find_face(frame, detector) or (None, 0.0)
+        return {"recording_id": row.recording_id, "path": row.path} | _measure(frame, box, sure, True)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=names).astype({"valid": bool})
+
+    rows = _numbered(images.select("recording_id", "path", "pixels", "height", "width", "channels").mapInPandas(run, schema))
+    kept = {c: F.when(F.col("i") % COMPRESSION_EVERY == 0, F.col(c)) for c in ("chroma_ratio", "blockiness")}
+    return rows.withColumns(kept).drop("path")
+
+
+def crops(images: DataFrame, detector: str = "skin", size: int = 72) -> DataFrame:
+    """(recording_id, i, crop): each frame's face as ``size`` x ``size`` RGB bytes; a frame without one repeats the crop before, black at first."""
+
+    def one(row):
+        frame = _frame(row)
+        found = vi.find_face(frame, detector)
+        return None if found is None else vi.face_crop(frame, found[0], size).tobytes()
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"recording_id": pdf["recording_id"], "path": pdf["path"], "crop": [one(r) for r in pdf.itertuples(index=False)]})
+
+    cut = images.select("recording_id", "path", "pixels", "height", "width", "channels").mapInPandas(run, "recording_id string, path string, crop binary")
+    before = W.partitionBy("recording_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    black = F.lit(bytes(3 * size * size))
+    return _numbered(cut).select("recording_id", "i", F.coalesce(F.last("crop", ignorenulls=True).over(before), black).alias("crop"))
+
+
 def trace(raw: DataFrame) -> DataFrame:
     """Frame rows with scores: compression carried forward, motion against the face before, none after a miss."""
     by = W.partitionBy("recording_id").orderBy("i")

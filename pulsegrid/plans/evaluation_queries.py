@@ -366,10 +366,11 @@ def readiness_confusion(spark, sf_dir):
     return readiness.confusion(_ready(spark, sf_dir).join(subjects(spark, sf_dir), "recording_id"), ["cohort"])
 
 
-@query("subject_split", """SELECT c_custkey AS subject_id, CASE WHEN ('0x' || substr(md5(c_custkey::VARCHAR || ':split'), 1, 6))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS part FROM customer""")
+@query("subject_split", """WITH r AS (SELECT c_custkey AS subject_id, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':split'), c_custkey) AS rank, count(*) OVER () AS n FROM customer)
+SELECT subject_id, CASE WHEN rank <= greatest(1, round(n * 0.2)) THEN 'test' ELSE 'train' END AS part FROM r""")
 def subject_split(spark, sf_dir):
-    h = F.conv(F.substring(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit(":split"))), 1, 6), 16, 10).cast("long")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.when(h % 100 < 20, "test").otherwise("train").alias("part"))
+    subjects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"))
+    return ev.exact_split(subjects, "subject_id", 0.2)
 
 
 @query("calib_by_level", f"""WITH {WINDOWS_SQL} SELECT floor(quality * 5)::INT AS level, count(*) AS n_windows, count(*) FILTER (WHERE valid) AS n_answered, round(avg(confidence), 6) AS mean_confidence, round(avg(err), 6) AS mae FROM errs GROUP BY 1""")

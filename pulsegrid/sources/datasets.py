@@ -110,6 +110,16 @@ def image_sequence(spark: SparkSession, root: str, fps: float) -> DataFrame:
     return order.join(rows.select("path", "content", "length"), "path").select("recording_id", "i", (F.col("i") / F.lit(float(fps))).alias("t"), "path", "content", "length")
 
 
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """Frames kept as one image file each, ``<recording>/<name>``, decoded by Spark: recording_id, path, height, width, channels and pixels (rows of B, G, R bytes).
+
+    Files that aren't images drop out. ``ingest.measure_images`` measures them where they are read.
+    """
+    read = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
+    path = F.col("image.origin")
+    return read.select(F.element_at(F.split(path, "/"), -2).alias("recording_id"), path.alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+
+
 def with_rate(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Recordings with fps = 1 / median positive interval, and the samples."""
     dt = samples.withColumn("dt", F.col("t") - F.lag("t").over(W.partitionBy("recording_id").orderBy("j")))
