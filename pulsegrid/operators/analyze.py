@@ -1,9 +1,10 @@
 """Offline analysis of frame traces: one row per recording, method and rolling window.
 
 A recording is dealt in blocks of ``BLOCK`` frames and those that the block's
-last window reaches beyond it; a block's windows are views of its trace, filtered
-and transformed as one batch. So a frame crosses the shuffle once or twice,
-however many windows and methods see it, and a long recording spreads over tasks.
+last window reaches beyond it. A task goes through its blocks in order; windows of
+several recordings are filtered and transformed as one batch. So a frame crosses
+the shuffle once or twice, however many windows and methods see it, a long
+recording spreads over tasks, and short ones share the cost of a call.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pulsegrid.functions import signal_np as sig
 from pulsegrid.functions.scoring import MAX_GAP_S, MIN_VALID_RATIO, clip, confidence, decision, image_quality, pulse_quality, window_overall
@@ -24,48 +28,75 @@ BLOCK = 4096
 QUALITY = ("face", "lighting", "sharpness", "motion", "compression")
 FEATURES = "hr_bpm double, pulse_snr_db double, hr_stability_bpm double, pulse_amplitude double, ibi_mean_s double, rmssd_proxy_ms double, n_beats long"
 SCHEMA = f"recording_id long, method string, start_s double, end_s double, valid_ratio double, longest_gap long, face double, lighting double, sharpness double, motion double, compression double, fps_stability double, gt double, {FEATURES}"
-#: Windows whose traces are held and filtered at once.
-SLICE = 32
-
-
-def _stability(t: np.ndarray) -> float:
-    """1 - spread of the frame intervals over their mean, within [0, 1]; 0 under three stamps or without progress."""
-    dt = np.diff(t[np.isfinite(t)])
-    return float(np.clip(1 - dt.std() / dt.mean(), 0, 1)) if len(dt) >= 2 and dt.mean() > 0 else 0.0
-
-
-def _windows(pdf: pd.DataFrame, fps: float, win: int, stride: int, methods: list[str]) -> Iterable[pd.DataFrame]:
-    """Features of one block's windows, ``SLICE`` of them at a time: memory doesn't grow with the block's windows."""
-    pdf = pdf.sort_values("i", kind="stable")
-    rgb = pdf[["r", "g", "b"]].to_numpy(float)
-    valid = pdf["valid"].to_numpy(bool) & np.isfinite(rgb).all(axis=1)
-    qual, stamps, truth = pdf[list(QUALITY)].to_numpy(float), pdf["t"].to_numpy(float), pdf["truth"].to_numpy(float)
-    starts = list(range(0, len(pdf) - win + 1, stride))
-    for a in range(0, len(starts), SLICE):
-        rows, traces = [], []
-        for s in starts[a : a + SLICE]:
-            v = valid[s : s + win]
-            edge = np.flatnonzero(np.diff(np.r_[False, ~v, False]))
-            gap = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
-            q, g = qual[s : s + win][v], truth[s : s + win]
-            stats = {c: (np.nan if not len(q) else float(np.percentile(q[:, k], 10)) if c in ("face", "motion") else float(q[:, k].mean())) for k, c in enumerate(QUALITY)}
-            at = s + int(pdf["place"].iloc[0])
-            stats |= {"fps_stability": _stability(stamps[s : s + win]), "gt": float(g.mean()) if np.isfinite(g).all() else np.nan}
-            rows.append({"recording_id": pdf["recording_id"].iloc[0], "start_s": at / fps, "end_s": (at + win) / fps, "valid_ratio": float(v.mean()), "longest_gap": gap} | stats)
-            traces.append(sig.fill_gaps(rgb[s : s + win], v, fps, MAX_GAP_S) if v.mean() >= MIN_VALID_RATIO else None)
-        base = pd.DataFrame(rows)
-        use = [k for k, t in enumerate(traces) if t is not None]
-        held = np.stack([traces[k] for k in use]) if use else None
+#: Frames of the windows that are filtered at once: 32 windows of 20 s at 30 fps.
+SLICE_FRAMES = 19_200
+
+
+def _steadiness(t: np.ndarray) -> np.ndarray:
+    """Per row of stamps 1 - spread of the frame intervals over their mean, within [0, 1]; 0 under three stamps or without progress."""
+    out = np.zeros(len(t))
+    whole = np.isfinite(t).all(axis=1)
+    for rows in [np.flatnonzero(whole), *np.flatnonzero(~whole)[:, None]]:  # rows that lack stamps have lengths of their own
+        dt = np.diff(t[rows] if whole[rows].all() else t[rows][np.isfinite(t[rows])][None])
+        if not len(rows) or dt.shape[1] < 2:
+            continue
+        mean = dt.mean(axis=1)
+        out[rows] = np.where(mean > 0, np.clip(1 - dt.std(axis=1) / np.where(mean > 0, mean, 1.0), 0, 1), 0.0)
+    return out
+
+
+def _tenth(x: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Per row the 10th percentile of the values used, between neighbours; NaN without any or with a NaN among them."""
+    n = use.sum(axis=1)
+    at = 0.1 * np.maximum(n - 1, 0)
+    low = at.astype(int)
+    ranked = np.sort(np.where(use, x, np.inf), axis=1)
+    row = np.arange(len(x))
+    a, b = ranked[row, low], ranked[row, np.minimum(low + 1, np.maximum(n - 1, 0))]
+    bad = (n == 0) | (use & np.isnan(x)).any(axis=1)
+    return np.where(bad, np.nan, np.where(bad, 0.0, a) + (np.where(bad, 0.0, b) - np.where(bad, 0.0, a)) * (at - low))
+
+
+def _features(t: pa.Table, fps: float, win: int, stride: int, size: int, methods: list[str], schema: pa.Schema) -> Iterable[pa.RecordBatch]:
+    """Features of the windows of whole blocks of recordings, in order: windows of all of them together, ``size`` at a time."""
+    number = lambda c: t.column(c).cast(pa.float64()).to_numpy().astype(float)  # nulls are NaN
+    rgb = np.column_stack([number(c) for c in "rgb"])
+    valid = t.column("valid").fill_null(False).to_numpy() & np.isfinite(rgb).all(axis=1)
+    quality, stamps, truth, place = {c: number(c) for c in QUALITY}, number("t"), number("truth"), t.column("place").to_numpy()
+    where = np.arange(len(valid))
+    lost = where - np.maximum.accumulate(np.where(valid, where, -1))  # frames since the last valid one
+    edges = _edges(t)
+    starts = np.concatenate([np.arange(a, e - win + 1, stride) for a, e in zip(edges, edges[1:], strict=False)] or [where[:0]])
+    for k in range(0, len(starts), size):
+        s = starts[k : k + size]
+        at = s[:, None] + np.arange(win)
+        v = valid[at]
+        n = v.sum(axis=1)
+        gap = np.minimum(lost[at], np.arange(win) + 1).max(axis=1)
+        base = {"recording_id": t.column("recording_id").take(pa.array(s)).combine_chunks(), "start_s": place[s] / fps, "end_s": (place[s] + win) / fps, "valid_ratio": n / win, "longest_gap": gap}
+        for c, x in quality.items():
+            mean = np.where(n > 0, np.where(v, x[at], 0.0).sum(axis=1) / np.maximum(n, 1), np.nan)
+            base[c] = _tenth(x[at], v) if c in ("face", "motion") else mean
+        g = truth[at]
+        base |= {"fps_stability": _steadiness(stamps[at]), "gt": np.where(np.isfinite(g).all(axis=1), g.mean(axis=1), np.nan)}
+        use = np.flatnonzero((n > 0) & (n / win >= MIN_VALID_RATIO) & (gap <= int(MAX_GAP_S * fps)))
+        held = rgb[at[use]]
+        for j in np.flatnonzero(n[use] < win):
+            held[j] = sig.fill_gaps(held[j], v[use[j]], fps, MAX_GAP_S)
         for name in methods:
-            part = base.assign(method=name)
-            found = sig.cardiac(sig.method(name)(held, fps), fps) if use else {}
-            for column in FEATURES.split(", "):
-                c = column.split()[0]
-                values = np.zeros(len(base), np.int64) if c == "n_beats" else np.full(len(base), np.nan)
-                if use:
-                    values[use] = found[c]
-                part[c] = values
-            yield part[[c.split()[0] for c in SCHEMA.split(", ")]]
+            part = base | {"method": [name] * len(s)}
+            found = sig.cardiac(sig.method(name)(held, fps), fps) if len(use) else {}
+            for c in (f.split()[0] for f in FEATURES.split(", ")):
+                part[c] = np.zeros(len(s), np.int64) if c == "n_beats" else np.full(len(s), np.nan)
+                if len(use):
+                    part[c][use] = found[c]
+            yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) if not isinstance(part[f.name], pa.Array) else part[f.name] for f in schema], schema=schema)
+
+
+def _edges(t: pa.Table) -> list[int]:
+    """Where each block begins, and the end: places run on within a block, and a recording begins at place 0."""
+    place, block = t.column("place").to_numpy(), t.column("block").to_numpy()
+    return [0, *(np.flatnonzero((np.diff(place) != 1) | (np.diff(block) != 0)) + 1).tolist(), len(place)] if len(place) else [0]
 
 
 def window_features(frames: DataFrame, fps: float, window_s: float = 20.0, stride_s: float = 1.0, methods: Iterable[str] = ("pos",), truth: str | None = None) -> DataFrame:
@@ -85,11 +116,25 @@ def window_features(frames: DataFrame, fps: float, window_s: float = 20.0, strid
     both = F.when((b > 0) & (F.col("place") % block < win - stride), F.array(b, b - 1)).otherwise(F.array(b))
     rows = rows.withColumn("place", place).withColumn("block", F.explode(both))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = list(_windows(pdf, fps, win, stride, names))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    out = rows.groupBy("recording_id", "block").applyInPandas(run, SCHEMA)
+    kind = frames.schema["recording_id"].dataType.simpleString()
+    schema = SCHEMA.replace("recording_id long", f"recording_id {kind}")
+    size = max(8, SLICE_FRAMES // win)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = _edges(t)[-2] if len(t) else 0
+            if last:
+                yield from _features(t.slice(0, last).combine_chunks(), fps, win, stride, size, names, arrow)
+            held = t.slice(last)  # the last block may go on in the next batch
+        if held is not None:
+            yield from _features(held.combine_chunks(), fps, win, stride, size, names, arrow)
+
+    dealt = rows.repartition("recording_id", "block").sortWithinPartitions("recording_id", "block", "place")
+    out = dealt.mapInArrow(run, schema)
     doubles = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
     return out if truth else out.drop("gt")

@@ -24,7 +24,7 @@ def test_uneven_stamps_lower_quality_and_confidence(spark, monkeypatch):
     dt = np.diff(jitter.where("i < 240").orderBy("i").toPandas().t)
     assert abs(uneven.fps_stability[0] - (1 - dt.std() / dt.mean())) < 1e-9
     # windows by the handful give what windows all at once give
-    monkeypatch.setattr(an, "SLICE", 2)
+    monkeypatch.setattr(an, "SLICE_FRAMES", 1)
     assert an.analyze(f, 30.0, 8.0, 1.0).orderBy("start_s").toPandas().round(9).equals(even.round(9))
 
 
