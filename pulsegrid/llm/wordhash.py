@@ -50,13 +50,13 @@ def _pow(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch of texts: ``start``/``end`` byte places, ``first[d]`` the index of text d's first word, ``h`` their hashes."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
-        """``data``: uint8 bytes; ``bounds``: len(texts) + 1 byte places."""
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, between: np.ndarray = _WS):
+        """``data``: uint8 bytes; ``bounds``: len(texts) + 1 byte places; ``between``: which of the 256 bytes stand between words."""
         self.data, self.bounds = data, bounds
         if lower:
             data = _LOWER[data]
         n = len(data)
-        word = ~_WS[data] if n else np.zeros(0, bool)
+        word = ~between[data] if n else np.zeros(0, bool)
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         ends = word.copy()
@@ -107,8 +107,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (bounds - bounds[0]).astype(np.int64)
 
 
-def hash_words(texts: pa.Array, lower: bool = False) -> Words:
-    return Words(*buffers(texts), lower)
+def hash_words(texts: pa.Array, lower: bool = False, between: np.ndarray = _WS) -> Words:
+    return Words(*buffers(texts), lower, between)
 
 
 def slices(texts: pa.Array, limit: int):
@@ -119,6 +119,15 @@ def slices(texts: pa.Array, limit: int):
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) of a sequence of 64-bit values; they depend on the values alone."""
+    n = len(values)
+    up, down = _pow(_B, n + 1)
+    p = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], out=p[1:])
+    return mix64((p[end] - p[start]) * down[start] ^ (end - start).astype(np.uint64) * _C)
+
+
 def window_minimum(h: np.ndarray, width: int) -> np.ndarray:
     """argmin of ``h`` over [i, i + width) for each i with a whole window; the leftmost of ties."""
     n = len(h) - width + 1
