@@ -32,11 +32,14 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 #: Block tags whose start ends an open paragraph.
 _ENDS_P = _BLOCK - {"button", "label", "option", "select"}
-_RAW = "script|style|noscript|template|title|textarea|svg|iframe|object"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})(?=[\s/>]).*?(?:</(?:{_RAW})\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Elements whose content isn't shown: to their end tag, or to the page's end without one.
+_RAW = frozenset("script style title textarea".split())
+#: The same, but without an end tag they are ordinary elements and hide nothing.
+_HIDDEN = frozenset("noscript template svg iframe".split())
+#: Elements open at a time; deeper ones aren't opened, their content stays.
+_DEPTH = 512
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Kinds of words in names of ancestors.
 _KINDS = {
@@ -68,8 +71,82 @@ def _kinds(attributes: str) -> tuple[str, ...]:
     return tuple(k for k, r in _KIND_RE.items() if r.search(names)) if names else ()
 
 
+class _Scan:
+    """Markup of a page in one forward pass: what was once sought in vain up to the end isn't sought again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+        self.gone: set[str] = set()
+
+    def tags(self):
+        """(start, stop, end tag or not, name, attributes) of each piece of markup; name is None where nothing but its absence counts."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            follows = page[at : at + 1]
+            if page.startswith("<!--", start):
+                stop = page.find("-->", at + 3)
+                at = len(page) if stop < 0 else stop + 3
+                yield start, at, False, None, ""
+                continue
+            if start > self.last:
+                if (m := _NAME.match(page, start)) and m[1].lower() in _RAW and follows != "/":
+                    yield start, len(page), False, None, ""
+                return
+            if follows in ("!", "?"):
+                at = page.find(">", at) + 1
+                yield start, at, False, None, ""
+                continue
+            if not (m := _NAME.match(page, start)):
+                continue
+            name, close = m[1].lower(), follows == "/"
+            stop = self._end(m.end())
+            attributes = page[m.end() : stop]
+            at = stop + 1
+            if not close and name in _RAW | _HIDDEN and not (name == "svg" and attributes.rstrip().endswith("/")):
+                over = self._after(name, at)
+                if over or name in _RAW:
+                    at = over or len(page)
+                    yield start, at, False, None, ""
+                    continue
+            yield start, at, close, name, attributes
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag. Quotes hide it, as long as the page's quotes leave any."""
+        first = at
+        while self.quoted:
+            m = _STOP.search(self.page, at)
+            if m and m[0] == ">":
+                return m.start()
+            at = self.page.find(m[0], m.end()) + 1 if m else 0
+            self.quoted = at > 0
+        return self.page.find(">", first)
+
+    def _after(self, name: str, at: int) -> int:
+        """Place after the end tag of an element whose content begins at ``at``, with those of its kind inside it; 0 without one."""
+        if name in self.gone:
+            return 0
+        deep, nested, first = 1, name in _HIDDEN and f"{name}+" not in self.gone, 0
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(self.page, at):
+            stop = self.page.find(">", m.end())
+            if stop < 0:
+                break
+            if m[1]:
+                first = first or stop + 1
+                deep -= 1
+            elif nested and self.page[stop - 1] != "/":
+                deep += 1
+            if deep == 0 or (first and not nested):
+                return stop + 1
+        self.gone.add(f"{name}+" if first else name)
+        return first
+
+
 def leaf_blocks(page: str | None) -> list[tuple[str, tuple, float]]:
-    """(text, path, share of linked characters) of each leaf block; a path is (tag, kinds) from the root down."""
+    """(text, path, share of linked characters) of each leaf block; a path is (tag, kinds) from the root down.
+
+    Time grows with the page, whatever its markup: broken tags are text, and quotes without end quote nothing.
+    """
     out, stack, parts = [], [], []
     path, linked, at = None, 0, 0
 
@@ -91,14 +168,12 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, float]]:
             linked += len(raw.strip())
 
     page = page or ""
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m.group(2)
+    for start, stop, close, name, attributes in _Scan(page).tags():
+        if start > at:
+            add(page[at:start])
+        at = stop
         if name is None:
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
@@ -107,7 +182,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, float]]:
             flush()
         if name in _VOID:
             continue
-        if m.group(1):
+        if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -124,8 +199,8 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, float]]:
                     break
                 if t in _BLOCK and t != "p":
                     break
-        if not m.group(3).rstrip().endswith("/"):
-            stack.append((name, _kinds(m.group(3))))
+        if not attributes.rstrip().endswith("/") and len(stack) < _DEPTH:
+            stack.append((name, _kinds(attributes)))
     if at < len(page):
         add(page[at:])
     flush()
@@ -339,7 +414,8 @@ def main_text(page: str | None, field: Field) -> str:
 def extract(pages: DataFrame, field: Field, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per page: page_id, the carried columns, text, n_chars (code points).
 
-    Null and empty pages, and pages without main blocks, have empty text.
+    Null and empty pages, and pages without main blocks, have empty text. Rows that repeat an id are pages of their own; a null id stays null.
+    Pages are read whole, in time that grows with their length. A table without rows gives none. Other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), *[F.col(f"`{c}`") for c in carry], F.col(html_col).alias("html"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
