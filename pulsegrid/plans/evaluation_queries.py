@@ -387,10 +387,10 @@ def pilot_by_arm(spark, sf_dir):
 
 #: Events have no frame rate. At 8 Hz, that of ``waves``, the projection's 1.6 s are the 12 frames of ``pos_overlap_add``,
 #: the pulse band stays below half the rate, and windows of 40 frames, 5 apart as in ``hop_windows``, fit in recordings of some 65.
-FPS, WINDOW_S, STRIDE_S, CALIBRATION_S = 8.0, 5.0, 0.625, 7.0
+FPS, WINDOW_S, STRIDE_S = 8.0, 5.0, 0.625
 
 
-def _traces(spark, sf_dir):
+def traces(spark, sf_dir):
     """All recordings of the events as colour traces (``pos_overlap_add``'s rgb), the truth ``hr`` of ``windows`` and k as contact trace.
 
     As in ``hop_windows``, a recording has only full windows.
@@ -407,7 +407,7 @@ def _bvp(method):
     def run(spark, sf_dir):
         from pulsegrid.operators.analyze import analyze
 
-        a = analyze(_traces(spark, sf_dir), FPS, WINDOW_S, STRIDE_S, methods=[method])
+        a = analyze(traces(spark, sf_dir), FPS, WINDOW_S, STRIDE_S, methods=[method])
         return a.select("recording_id", "method", "start_s", R("hr_bpm", n=3), R("pulse_snr_db", n=3), R("confidence", n=4), "reason", "n_beats")
 
     return run
@@ -422,38 +422,12 @@ def run_benchmark(spark, sf_dir):
     """All methods over all recordings, each trace read once, each window against its own truth; best median error first."""
     from pulsegrid.operators.analyze import analyze
 
-    f = _traces(spark, sf_dir)
+    f = traces(spark, sf_dir)
     w = analyze(f, FPS, WINDOW_S, STRIDE_S, methods=["pos", "chrom", "green"], truth="hr").withColumn("hr", F.col("hr_bpm"))
     m = ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"])
     return ev.go_no_go(m).orderBy(F.col("median_mae_all").asc_nulls_last())
 
 
-@query("stream_state")
-def stream_state(spark, sf_dir):
-    """The live engine over all recordings, as a batch of its state operator's logic: frames come by session and index, one session's state at a time."""
-    import pandas as pd
-
-    from pulsegrid.streaming.engine import OUTPUT, QUALITY, Engine
-
-    cols = ["r", "g", "b", "valid", *QUALITY]
-    names = [c.split()[0] for c in OUTPUT.split(", ")]
-
-    def run(batches):
-        now, e = None, None
-        for pdf in batches:
-            out = []
-            values = pdf[cols].astype(object).where(pdf[cols].notna(), None)
-            for session, i, row in zip(pdf["session_id"].tolist(), pdf["i"].tolist(), values.values.tolist(), strict=True):
-                if e is None or session != now:
-                    now, e = session, Engine(FPS, WINDOW_S, calibration_s=CALIBRATION_S)
-                out += [s | {"session_id": session} for s in e.push(int(i), row)]
-            if out:
-                yield pd.DataFrame(out)[names]
-
-    f = _traces(spark, sf_dir).withColumnRenamed("recording_id", "session_id").select("session_id", "i", *cols).where("session_id IS NOT NULL")
-    return f.repartition("session_id").sortWithinPartitions("session_id", "i").mapInPandas(run, OUTPUT)
-
-
 _AREAS = f"""{_RC}, o AS (SELECT cohort, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage,
   avg(err) OVER (PARTITION BY cohort ORDER BY err, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM errs WINDOW w AS (PARTITION BY cohort ORDER BY err, event_id)),
 a AS (SELECT cohort, (risk + lag(risk) OVER w) / 2 * (coverage - lag(coverage) OVER w) AS s FROM rc WINDOW w AS (PARTITION BY cohort ORDER BY rank)),
@@ -495,6 +469,6 @@ def gt_window_hr(spark, sf_dir):
     """Rate of the contact trace per window of the frames."""
     from pulsegrid.operators.analyze import truth_rates
 
-    f = _traces(spark, sf_dir)
+    f = traces(spark, sf_dir)
     gt = f.select("recording_id", F.col("i").alias("j"), "bvp")
     return truth_rates(gt, FPS, FPS, WINDOW_S, STRIDE_S).select("recording_id", "start_s", R("hr_gt", n=3))

@@ -1,138 +1,233 @@
-"""Live sessions: packets in, one state sample per tick out, as a stateful streaming operator.
-
-State per session: a ring of the last window's frames, the frame count, packets
-that came early, calibration emissions and the fitted baseline. The frame index
-orders packets: duplicates are dropped, a packet waits for those before it, and
-after ``patience`` waiting packets a missing frame counts as invalid. State and
-checkpoints hold seconds of colour trace; keep their retention short and apart
-from study tables.
+"""Live sessions: packets in, one state sample per tick out, as a stateful operator on event time.
+
+State per session: a clock (next frame, fitted baseline), the calm samples before the baseline, a ring of the last window's frames, and frames that came
+early. The frame index orders frames: repeated and late ones are dropped, a frame waits for those before it, and once more than ``patience``
+wait, missing ones count as invalid. A leap longer than a window begins a new segment instead, which samples again after a
+whole window: nothing is made up in between, and time runs on by index.
+
+A session whose event time stands still while the watermark passes ``idle_s`` is flushed and its colour traces are removed. Its clock and baseline
+stay for ``forget_s``, so that a session that resumes neither repeats nor overwrites a sample. State and checkpoints hold
+seconds of colour trace: keep their retention short and apart from study tables.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pulsegrid.functions import scoring as sc
 from pulsegrid.functions import signal_np as sig
+from pulsegrid.operators.analyze import SLICE_FRAMES, _tenth
 
 QUALITY = ("face", "lighting", "sharpness", "motion", "compression")
-OUTPUT = "session_id long, t double, hr_bpm double, snr_db double, confidence double, reason string, calibrated boolean, arousal_bpm double, baseline_bpm double"
+COLUMNS = ["r", "g", "b", "valid", *QUALITY]
+OUTPUT = "session_id long, t double, hr_bpm double, snr_db double, confidence double, reason string, calibrated boolean, arousal_bpm double, baseline_bpm double, quality map<string,double>"
+_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 #: A frame that never came.
-MISSING = (None, None, None, False, 0.0, 0.0, 0.0, 1.0, 1.0)
-STATE = "n long, ring string, waiting string, calibration string, baseline double"
+MISSING = np.array([np.nan, np.nan, np.nan, 0, 0, 0, 0, 1, 1], float)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _rows(pdf: pd.DataFrame) -> np.ndarray:
+    """Frames as numbers: null is NaN, and not valid."""
+    valid = pdf["valid"].astype(object).where(pdf["valid"].notna(), False).astype(float)
+    return np.column_stack([valid if c == "valid" else pdf[c].to_numpy(float) for c in COLUMNS])
 
 
 class Engine:
-    """One session's sequential logic, shared by the stream and by batch checks."""
+    """One session's sequential logic. Frames go through in runs, and the windows of a run are measured as one batch."""
 
     def __init__(self, fps: float, window_s: float = 20.0, emit_hz: float = 1.0, calibration_s: float = 45.0, method: str = "pos", patience: int = 30):
         self.fps, self.window = fps, int(round(window_s * fps))
         self.every = max(int(round(fps / max(emit_hz, 1e-6))), 1)
         self.calibration_s, self.method, self.patience = calibration_s, method, patience
-        self.n, self.ring, self.waiting, self.calibration, self.baseline = 0, [], {}, [], None
+        self.n, self.ring, self.waiting = 0, np.empty((0, len(COLUMNS))), {}
+        self.calibration: list[tuple[float, float]] = []
+        self.baseline: float | None = None
 
-    def dump(self) -> tuple:
-        return self.n, json.dumps(self.ring), json.dumps(self.waiting), json.dumps(self.calibration), self.baseline
+    def push(self, i: int, frame) -> list[dict]:
+        """``frame``: [r, g, b, valid, *QUALITY]; returns the samples that became due."""
+        return self.push_many([i], np.array([[np.nan if v is None else float(v) for v in frame]]))
 
-    def load(self, state: tuple) -> None:
-        n, ring, waiting, calibration, baseline = state
-        self.n, self.ring, self.calibration, self.baseline = int(n), json.loads(ring), json.loads(calibration), baseline
-        self.waiting = {int(k): v for k, v in json.loads(waiting).items()}
+    def push_many(self, index, rows: np.ndarray) -> list[dict]:
+        """The same for frames in any order; of repeated ones the first counts."""
+        for i, row in zip(np.asarray(index).tolist(), rows, strict=True):
+            if i >= self.n:
+                self.waiting.setdefault(i, row)
+        return self._advance(False)
 
-    def push(self, i: int, frame: list) -> list[dict]:
-        """``frame``: [r, g, b, valid, *QUALITY]; returns the samples that became due."""
-        if i < self.n or i in self.waiting:
-            return []
-        self.waiting[i] = frame
-        out = []
-        while self.waiting:
-            if self.n in self.waiting:
-                out += self._advance(self.waiting.pop(self.n))
-            elif len(self.waiting) > self.patience:
-                out += self._advance(list(MISSING))
-            else:
+    def drain(self) -> list[dict]:
+        """The session is over or pauses: waiting frames go through, missing ones between them as invalid.
+
+        Those behind a leap longer than a window are dropped: alone they are too few for a sample. Traces are forgotten.
+        """
+        out = self._advance(True)
+        self.ring, self.waiting = self.ring[:0], {}
+        return out
+
+    def _advance(self, over: bool) -> list[dict]:
+        order = sorted(self.waiting)
+        run, out, k = [], [], 0
+        while k < len(order):
+            gap = order[k] - self.n - len(run)
+            if gap and not over and len(order) - k <= self.patience:
                 break
+            if gap > self.window:
+                if over:
+                    break
+                out += self._through(run)
+                run, self.ring, self.n = [], self.ring[:0], order[k]
+            elif gap:
+                run += [MISSING] * gap
+            run.append(self.waiting.pop(order[k]))
+            k += 1
+        return out + self._through(run)
+
+    def _through(self, run: list[np.ndarray]) -> list[dict]:
+        if not run:
+            return []
+        frames = np.concatenate([self.ring, np.array(run)])
+        first, self.n = self.n - len(self.ring), self.n + len(run)
+        ends = np.arange(self.n - len(run) + 1, self.n + 1)
+        ends = ends[(ends % self.every == 0) & (ends - first >= self.window)]
+        out, size = [], max(1, SLICE_FRAMES // self.window)
+        for a in range(0, len(ends), size):
+            at = (ends[a : a + size] - first - self.window)[:, None] + np.arange(self.window)
+            out += self._samples(frames[at], ends[a : a + size] / self.fps)
+        self.ring = frames[-self.window :]
         return out
 
-    def drain(self) -> list[dict]:
-        """The session is over: waiting frames go through, missing ones between them as invalid."""
+    def _samples(self, held: np.ndarray, t: np.ndarray) -> list[dict]:
+        """Samples of windows (windows, frames, columns) that end at ``t``."""
+        valid = (held[..., 3] > 0) & np.isfinite(held[..., :3]).all(axis=2)
+        n, place = valid.sum(axis=1), np.arange(self.window)
+        ratio = n / self.window
+        gap = (place - np.maximum.accumulate(np.where(valid, place, -1), axis=1)).max(axis=1)
+        quality = {}
+        for c, x in zip(QUALITY, np.moveaxis(held[..., 4:], 2, 0), strict=True):
+            value = _tenth(x, valid) if c in ("face", "motion") else np.where(n > 0, np.where(valid, x, 0.0).sum(axis=1) / np.maximum(n, 1), np.nan)
+            quality[c] = np.where(np.isnan(value), 1.0 if c in ("motion", "compression") else 0.0, value)
+        weighed = lambda weights: sum(w * (quality[c] if c in quality else 1.0) for c, w in weights.items())  # frames count as even
+        overall = np.clip(weighed(sc.WINDOW_WEIGHTS), 0, 1) * ratio
+        image = sum(w * np.clip(quality[c], 0, 1) for c, w in sc.IMAGE_WEIGHTS.items()) * ratio
+        short, torn = ratio < sc.MIN_VALID_RATIO, gap > int(sc.MAX_GAP_S * self.fps)
+        use = np.flatnonzero(~short & ~torn)
+        hr, snr, spread = (np.full(len(t), np.nan) for _ in range(3))
+        if len(use):
+            rgb = held[use, :, :3]
+            for j in np.flatnonzero(n[use] < self.window):
+                rgb[j] = sig.fill_gaps(rgb[j], valid[use[j]], self.fps, sc.MAX_GAP_S)
+            found = sig.cardiac(sig.method(self.method)(rgb, self.fps), self.fps)
+            hr[use], snr[use], spread[use] = found["hr_bpm"], found["pulse_snr_db"], found["hr_stability_bpm"]
+        sure = np.isfinite(snr) & np.isfinite(spread)
+        pulse = np.where(sure, 1 / (1 + np.exp(-(np.where(sure, snr, 0) - sc.SNR_MID_DB) / sc.SNR_SCALE_DB)) * np.exp(-((np.where(sure, spread, 0) / sc.STABILITY_SCALE_BPM) ** 2)), 0.0)
+        conf = np.clip(image * pulse, 0, 1)
+        conf[short | torn] = 0.0
+        number = lambda v: float(v) if np.isfinite(v) else None
         out = []
-        while self.waiting:
-            out += self._advance(self.waiting.pop(self.n, None) or list(MISSING))
+        for k in range(len(t)):
+            shown = {"overall": float(overall[k])} | {c: float(quality[c][k]) for c in ("face", "lighting", "motion", "compression")} | {"valid_frame_ratio": float(ratio[k])}
+            one = dict.fromkeys(_NAMES[1:]) | {"t": float(t[k]), "hr_bpm": number(hr[k]), "snr_db": number(snr[k]), "confidence": float(conf[k]), "quality": shown}
+            reason = "insufficient_valid_frames" if short[k] else "signal_gap_too_long" if torn[k] else "low_confidence" if conf[k] < sc.ABSTAIN_BELOW else "no_hr_peak" if one["hr_bpm"] is None else None
+            out.append(one | (self._relative(one) if reason is None else {"reason": reason, "calibrated": self.baseline is not None}))
         return out
 
-    def _advance(self, frame) -> list[dict]:
-        self.ring.append(frame)
-        del self.ring[: -self.window]
-        self.n += 1
-        return [self._emit()] if self.n >= self.window and self.n % self.every == 0 else []
-
-    def _emit(self) -> dict:
-        out = dict.fromkeys(("hr_bpm", "snr_db", "arousal_bpm", "baseline_bpm", "reason")) | {"t": self.n / self.fps, "confidence": 0.0, "calibrated": self.baseline is not None}
-        valid = np.array([bool(f[3]) and None not in f[:3] for f in self.ring])
-        if valid.mean() < 0.75:
-            return out | {"reason": "insufficient_valid_frames"}
-        rgb = np.array([[np.nan if v is None else v for v in f[:3]] for f in self.ring], float)
-        rgb = sig.fill_gaps(rgb, valid, self.fps)
-        if rgb is None:
-            return out | {"reason": "signal_gap_too_long"}
-        f = {k: v[0] for k, v in sig.cardiac(sig.method(self.method)(rgb[None], self.fps), self.fps).items()}
-        q = np.array([x[4:] for x, ok in zip(self.ring, valid, strict=True) if ok], float)
-        face, motion = np.percentile(q[:, 0], 10), np.percentile(q[:, 3], 10)
-        image = 0.34 * face + 0.20 * q[:, 1].mean() + 0.20 * motion + 0.26 * q[:, 4].mean()
-        snr, spread = f["pulse_snr_db"], f["hr_stability_bpm"]
-        pulse = 0.0 if not np.isfinite(spread) or not np.isfinite(snr) else 1 / (1 + np.exp(-(snr - 3) / 3)) * np.exp(-((spread / 6) ** 2))
-        conf = float(np.clip(image * valid.mean() * pulse, 0, 1))
-        hr = float(f["hr_bpm"]) if np.isfinite(f["hr_bpm"]) else None
-        out |= {"confidence": conf, "hr_bpm": hr, "snr_db": float(snr) if np.isfinite(snr) else None}
-        if conf < 0.20 or hr is None:
-            return out | {"reason": "low_confidence" if conf < 0.20 else "no_hr_peak"}
+    def _relative(self, one: dict) -> dict:
+        """An answered sample against the session's calm ones, which are fitted once calibration is over."""
         if self.baseline is None:
-            if out["t"] <= self.calibration_s:
-                self.calibration.append([hr, conf])
+            if one["t"] <= self.calibration_s:
+                self.calibration.append((one["hr_bpm"], one["confidence"]))
             else:
                 good = [h for h, c in self.calibration if c >= 0.45]
                 self.baseline = float(np.median(good)) if len(good) >= 3 else None
         if self.baseline is None:
-            return out | {"reason": "calibrating"}
-        return out | {"calibrated": True, "arousal_bpm": hr - self.baseline, "baseline_bpm": self.baseline}
-
-
-def states(packets: DataFrame, fps: float, idle_s: float = 60.0, **options) -> DataFrame:
-    """State samples of a stream of frames (session_id, i, r, g, b, valid, QUALITY columns).
-
-    A session without packets for ``idle_s`` is over: what waits is flushed and its
-    state, which holds colour traces, is removed.
+            return {"reason": "calibrating", "calibrated": False}
+        return {"calibrated": True, "arousal_bpm": one["hr_bpm"] - self.baseline, "baseline_bpm": self.baseline}
+
+
+class Live(StatefulProcessor):
+    """The engine over a stream: state by kind, timers on event time."""
+
+    def __init__(self, fps: float, idle_s: float, forget_s: float, options: dict):
+        self.terms, self.idle_ms, self.forget_ms = (fps, options), int(idle_s * 1000), int(forget_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "n long, baseline double")
+        self.calm = handle.getListState("calm", "hr double, confidence double")
+        self.trace = handle.getValueState("trace", "ring binary")
+        self.early = handle.getMapState("early", "i long", "frame binary")
+
+    def _load(self) -> Engine:
+        engine = Engine(self.terms[0], **self.terms[1])
+        if self.clock.exists():
+            engine.n, engine.baseline = self.clock.get()
+            engine.calibration = [tuple(x) for x in self.calm.get()]
+        frames = lambda raw: np.frombuffer(raw, float).reshape(-1, len(COLUMNS))
+        if self.trace.exists():
+            engine.ring = frames(bytes(self.trace.get()[0]))
+            engine.waiting = {key[0]: frames(bytes(value[0]))[0] for key, value in self.early.iterator()}
+        return engine
+
+    def _save(self, engine: Engine, traces: bool, known: int) -> None:
+        self.clock.update((engine.n, engine.baseline))
+        for one in engine.calibration[known:]:
+            self.calm.appendValue(one)
+        self.early.clear()
+        self.trace.clear()
+        if traces:
+            self.trace.update((engine.ring.tobytes(),))
+            for i, row in engine.waiting.items():
+                self.early.updateValue((i,), (row.tobytes(),))
+
+    def _wake(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def _out(self, key: tuple, samples: list[dict]) -> Iterator[pd.DataFrame]:
+        if samples:
+            yield pd.DataFrame(samples).assign(session_id=key[0])[_NAMES]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        engine, last = self._load(), timerValues.getCurrentWatermarkInMs()
+        known = len(engine.calibration)
+        pdf = pd.concat(list(rows))
+        out = engine.push_many(pdf["i"].to_numpy(np.int64), _rows(pdf))
+        last = max(last, int(pdf["ms"].max()))
+        self._save(engine, True, known)
+        self._wake(last + self.idle_ms)
+        yield from self._out(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.trace.exists():  # idle long since
+            self.clock.clear()
+            self.calm.clear()
+            return
+        engine = self._load()
+        known = len(engine.calibration)
+        out = engine.drain()
+        self._save(engine, False, known)
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.forget_ms)
+        yield from self._out(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def states(packets: DataFrame, fps: float, idle_s: float = 60.0, delay_s: float = 10.0, forget_s: float = 86400.0, **options) -> DataFrame:
+    """State samples of a stream of frames (session_id, i, ts, r, g, b, valid, QUALITY columns); ``ts`` is event time.
+
+    Frames without a session, index or time are dropped, and so are those older than the watermark, ``delay_s`` behind the newest. The session's state store
+    becomes RocksDB, which this kind of state needs.
     """
-    cols = ["r", "g", "b", "valid", *QUALITY]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        engine = Engine(fps, **options)
-        if state.exists:
-            engine.load(state.get)
-        out = []
-        if state.hasTimedOut:
-            out = engine.drain()
-            state.remove()
-        for pdf in batches if not state.hasTimedOut else ():
-            pdf = pdf.sort_values("i", kind="stable")
-            values = pdf[cols].astype(object).where(pdf[cols].notna(), None)
-            for i, row in zip(pdf["i"].tolist(), values.values.tolist(), strict=True):
-                out += engine.push(int(i), row)
-        if not state.hasTimedOut:
-            state.update(engine.dump())
-            state.setTimeoutDuration(int(idle_s * 1000))
-        if out:
-            yield pd.DataFrame(out).assign(session_id=key[0])[[c.split()[0] for c in OUTPUT.split(", ")]]
-
-    return packets.select("session_id", "i", *cols).groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def consented(packets: DataFrame, consents: DataFrame) -> DataFrame:
-    """A stream's packets of sessions with active consent, judged again in every micro-batch."""
-    return packets.join(consents.where("withdrawn_at IS NULL").select("session_id"), "session_id", "left_semi")
+    spark = packets.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = packets.select("session_id", "i", "ts", F.unix_millis("ts").alias("ms"), *COLUMNS).where("session_id IS NOT NULL AND i IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", f"{delay_s} seconds")
+    schema = OUTPUT.replace("session_id long", f"session_id {packets.schema['session_id'].dataType.simpleString()}")
+    return rows.groupBy("session_id").transformWithStateInPandas(Live(fps, idle_s, forget_s, options), schema, "append", "eventTime")

@@ -44,33 +44,89 @@ def test_live_engine_equals_offline(spark, cohort):
     assert max(abs(x["hr_bpm"] - y) for x, y in zip(out, a.hr_bpm, strict=True)) < 1e-9
 
 
-def test_engine_drops_duplicates_waits_and_survives_a_restart(spark, cohort):
+def test_engine_drops_duplicates_and_puts_frames_in_order(spark, cohort):
     pdf = cohort.where("recording_id = 1").orderBy("i").toPandas()
-    rows = pdf[["r", "g", "b", "valid", *engine.QUALITY]].astype(object).values.tolist()
+    rows = pdf[engine.COLUMNS].astype(object).values.tolist()
     straight, moved = engine.Engine(30.0, calibration_s=24.0), engine.Engine(30.0, calibration_s=24.0)
     a = [s for i, r in enumerate(rows) for s in straight.push(i, r)]
     order = list(range(len(rows)))
     order[10], order[12] = order[12], order[10]
-    b = []
-    for k, i in enumerate(order):
-        if k == 700:
-            moved2 = engine.Engine(30.0, calibration_s=24.0)
-            moved2.load(moved.dump())
-            moved = moved2
-        b += moved.push(i, rows[i]) + moved.push(i, rows[i])
-    assert a == b
+    b = [s for i in order for s in moved.push(i, rows[i]) + moved.push(i, rows[i])]
+    many = engine.Engine(30.0, calibration_s=24.0)
+    c = many.push_many(order[:700], engine._rows(pdf)[order[:700]]) + many.push_many(order[650:], engine._rows(pdf)[order[650:]])
+    assert len(a) == len(b) == len(c) == 21
+    for x, y, z in zip(a, b, c, strict=True):
+        assert x == y and x.keys() == z.keys() and x["reason"] == z["reason"] and abs(x["hr_bpm"] - z["hr_bpm"]) < 1e-9
     assert a[-1]["calibrated"] and a[-1]["arousal_bpm"] is not None and a[0]["reason"] == "calibrating"
+    assert set(a[0]["quality"]) == {"overall", "face", "lighting", "motion", "compression", "valid_frame_ratio"}
 
 
-def test_stream_runs_the_engine(spark, cohort, tmp_path):
-    cols = ["session_id", "i", "r", "g", "b", "valid", *engine.QUALITY]
-    f = cohort.withColumnRenamed("recording_id", "session_id").select(*cols)
-    f.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(f.schema).parquet(str(tmp_path / "in"))
-    q = engine.states(stream, 30.0, calibration_s=24.0).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+GOOD = [100.0, 90.0, 80.0, True, 0.9, 0.9, 0.9, 0.9, 1.0]
+
+
+def test_leaps_make_nothing_up():
+    e = engine.Engine(4.0, 5.0, patience=3)
+    out = [s for i in range(30) for s in e.push(i, GOOD)]
+    assert [s["t"] for s in out] == [5.0, 6.0, 7.0]
+    assert e.push(10**12, GOOD) == [] and e.n == 30  # one corrupt index waits
+    more = [s for i in range(30, 40) for s in e.push(i, GOOD)]
+    assert [s["t"] for s in more] == [8.0, 9.0, 10.0]
+    assert e.drain() == [] and e.n == 40 and not e.waiting  # and is dropped in the end
+    resumed = [s for i in range(5000, 5044) for s in e.push(i, GOOD)]
+    assert [s["t"] for s in resumed] == [1255.0, 1256.0, 1257.0, 1258.0, 1259.0, 1260.0, 1261.0]  # a whole window later, none for the pause
+    assert e.push(39, GOOD) == [] and e.push(4000, GOOD) == []
+    short = engine.Engine(4.0, 5.0, patience=3)
+    held = [s for i in [*range(22), *range(26, 40)] for s in short.push(i, GOOD)]
+    assert [s["t"] for s in held] == [5.0, 6.0, 7.0, 8.0, 9.0, 10.0] and held[2]["reason"] == "signal_gap_too_long"
+
+
+def _live(spark, schema, folder, name, **options):
+    stream = spark.readStream.schema(schema).parquet(str(folder / "in"))
+    q = engine.states(stream, 4.0, window_s=5.0, patience=3, **options).writeStream.option("checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start(str(folder / name), "parquet")
     q.awaitTermination(180)
-    got = spark.sql("SELECT * FROM live").toPandas()
-    assert len(got) == 2 * 21 and got.hr_bpm.notna().all()
+
+
+def _timed(spark, rows):
+    """(session, i, seconds) as frames."""
+    at = F.timestamp_micros((F.lit(1e15) + F.col("s") * 1e6).cast("long")).alias("ts")
+    frame = [F.lit(v).alias(c) for c, v in zip(engine.COLUMNS, GOOD, strict=True)]
+    return spark.createDataFrame(rows, "session_id long, i long, s double").select("session_id", "i", at, *frame).repartition(1)
+
+
+def test_a_session_that_resumes_repeats_nothing(spark, tmp_path):
+    """Idle sessions are flushed, give up their traces and keep their clock; repeated, late and far frames change nothing."""
+    parts = [
+        [(1, i, i / 4) for i in [*range(24), *range(26, 29)]] + [(2, i, i / 4) for i in range(24)],
+        [(2, i, 200.0 + i / 4) for i in range(24, 48)] + [(None, 0, 1.0)],  # the watermark passes session 1 by a minute
+        [(1, i, 300.0 + i / 4) for i in [*range(0, 24), *range(40, 70)]] + [(1, 10**12, 300.0)],
+    ]
+    for part in parts:
+        frames = _timed(spark, part)
+        frames.write.mode("append").parquet(str(tmp_path / "in"))
+        _live(spark, frames.schema, tmp_path, "out")
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(got) == len(got[["session_id", "t"]].drop_duplicates())
+    # 1: ticks at 20 and 24; the flush brings 28; then 11 missing frames from 29 on, and a tick every 4 frames after a whole window
+    assert sorted(got[got.session_id == 1].t * 4) == [20, 24, 28, *range(52, 69, 4)]
+    assert sorted(got[got.session_id == 2].t * 4) == [*range(20, 49, 4)]
+    assert got.quality.map(lambda q: dict(q)["valid_frame_ratio"]).between(0, 1).all()
+
+
+def test_a_restart_gives_the_same_samples(spark, cohort, tmp_path):
+    f = cohort.withColumnRenamed("recording_id", "session_id").withColumn("ts", F.timestamp_micros((F.lit(1e15) + F.col("i") * 1e6 / 30).cast("long"))).select("session_id", "i", "ts", *engine.COLUMNS)
+    got = []
+    for name, cuts in (("one", [0, 2000]), ("three", [0, 500, 741, 2000])):
+        at = tmp_path / name
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            f.where((F.col("i") >= a) & (F.col("i") < b)).write.mode("append").parquet(str(at / "in"))
+            stream = spark.readStream.schema(f.schema).parquet(str(at / "in"))
+            engine.states(stream, 30.0, calibration_s=24.0).writeStream.option("checkpointLocation", str(at / "ck")).trigger(availableNow=True).start(str(at / "out"), "parquet").awaitTermination(180)
+        got.append(spark.read.parquet(str(at / "out")).orderBy("session_id", "t").toPandas())
+    one, three = got
+    assert len(one) == 2 * 21 and one.hr_bpm.notna().all() and one.calibrated.any()
+    for c in one.columns.drop("quality"):
+        assert [x if isinstance(x, str) else round(float(x), 6) if x is not None else None for x in one[c]] == [x if isinstance(x, str) else round(float(x), 6) if x is not None else None for x in three[c]] or one[c].isna().equals(three[c].isna())
+    assert (one.hr_bpm - three.hr_bpm).abs().max() < 1e-6 and (one.reason.fillna("") == three.reason.fillna("")).all()
 
 
 def test_packets(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid import cli
 from pulsegrid.functions import vision_np as vi
 from pulsegrid.operators import analyze as an
-from pulsegrid.operators import baseline, ocular
+from pulsegrid.operators import baseline, ocular, store
 from pulsegrid.operators.store import Store
 from pulsegrid.sources import datasets, synth
 from pulsegrid.streaming import engine
@@ -115,11 +115,10 @@ def test_erasure_survives_a_crash(spark, tmp_path, monkeypatch):
         m.setattr(Store, "_sweep", lambda *_: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError):
             s.withdraw(a)
-    assert sessions(s) == {b} and len(list((tmp_path / "samples").iterdir())) > 1
+    kept = lambda: {r.session_id for r in spark.read.parquet(*[str(p) for p in (tmp_path / "samples").rglob("bucket=*")]).select("session_id").collect()}
+    assert sessions(s) == {b} and kept() == {a, b}
     again = Store(spark, str(tmp_path))  # opening finishes the deletion
-    assert sessions(again) == {b} and len(list((tmp_path / "samples").iterdir())) == 1
-    left = spark.read.parquet(*[str(p) for p in (tmp_path / "samples").iterdir()])
-    assert left.where(F.col("session_id") == a).count() == 0
+    assert sessions(again) == {b} and kept() == {b}
 
 
 def test_writers_see_each_other_and_do_not_overwrite(spark, tmp_path, monkeypatch):
@@ -139,6 +138,63 @@ def test_writers_see_each_other_and_do_not_overwrite(spark, tmp_path, monkeypatc
     before = sorted(map(tuple, s.read("samples").collect()))
     s.compact()
     assert sorted(map(tuple, s.read("samples").collect())) == before and len(list((tmp_path / "sessions").iterdir())) == 1
+    assert all(len({n for n in names if n.endswith(f"={k}")}) <= 1 for names in s._manifest()[1].values() for k in range(16))
+
+
+SAMPLE = "session_id string, t double, hr_bpm double, confidence double, reason string"
+
+
+def test_opening_a_store_leaves_live_writers_alone(spark, tmp_path, monkeypatch):
+    s, a, b = _filled(spark, str(tmp_path))
+    rows = spark.createDataFrame([(a, 1.0, 71.0, 0.9, None)], SAMPLE)
+    draft = s._write("samples", rows)
+    Store(spark, str(tmp_path))  # opens between a write and its commit
+    number, names = s._manifest()
+    s._commit(number, names | {"samples": [*names["samples"], *draft]})
+    assert s.read("samples", a).count() == 2
+    late = s._write("samples", rows)
+    monkeypatch.setattr(store, "LEASE_S", -1.0)  # as if hours had passed
+    Store(spark, str(tmp_path))
+    number, names = s._manifest()
+    with pytest.raises(RuntimeError, match="is gone"):
+        s._commit(number, names | {"samples": [*names["samples"], *late]})
+    assert s.read("samples").count() == 3  # nothing that is listed went
+
+
+def test_a_withdrawal_while_samples_are_written_counts(spark, tmp_path, monkeypatch):
+    s, a, b = _filled(spark, str(tmp_path))
+    other, write = Store(spark, str(tmp_path)), Store._write
+    both = spark.createDataFrame([(a, 5.0, 71.0, 0.9, None), (b, 5.0, 72.0, 0.9, None)], SAMPLE)
+
+    def meanwhile(self, table, rows):
+        out = write(self, table, rows)
+        if self is s and table == "samples":
+            monkeypatch.setattr(Store, "_write", write)
+            other.withdraw(a)
+        return out
+
+    monkeypatch.setattr(Store, "_write", meanwhile)
+    s.append_samples(both, consenting=True)
+    assert {(r.session_id, r.t) for r in s.read("samples").collect()} == {(b, 0.0), (b, 5.0)}
+    with pytest.raises(store.ConsentError):
+        s.append_samples(both)
+
+
+def test_a_batch_is_taken_in_once_and_erasure_touches_one_partition(spark, tmp_path):
+    s, a, b = _filled(spark, str(tmp_path))
+    rows = lambda v: spark.createDataFrame([(b, 9.0, v, 0.9, None)], SAMPLE)
+    for number, value in ((0, 70.0), (1, 71.0), (0, 99.0), (1, 99.0)):
+        s.append_samples(rows(value), batch=("stream", number))
+    assert s.read("samples", b).where("t = 9").first().hr_bpm == 71.0
+    ids = [f"s{k}" for k in range(60)]
+    s._append("samples", spark.createDataFrame([(i, 0.0, 70.0, 0.9, None) for i in ids], SAMPLE))
+    before = set(s._manifest()[1]["samples"])
+    s.withdraw("s7")
+    after = set(s._manifest()[1]["samples"])
+    assert len({n.rsplit("=")[1] for n in before - after}) == 1 and len(after - before) == 1 and before & after
+    assert {r.session_id for r in s.read("samples").collect()} == {a, b, *ids} - {"s7"}
+    plan = s.read("samples", "s8")._jdf.queryExecution().simpleString()
+    assert s.read("samples", "s8").count() == 1 and len(s.read("samples", "s8").inputFiles()) <= 3 < len(s.read("samples").inputFiles()) and "session_id" in plan
 
 
 def test_an_idle_session_is_flushed(spark):
