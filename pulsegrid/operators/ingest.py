@@ -33,7 +33,7 @@ def _measure(frame: np.ndarray, box: tuple | None, confidence: float, compressed
     y, clipped = vi.exposure(frame, box)
     out |= {"face": confidence, "mean_luma": y, "clipped_fraction": clipped, "detail": vi.detail(frame, box), "openness": vi.eye_openness(frame, box)}
     out |= {"cx": box[0] + box[2] / 2, "cy": box[1] + box[3] / 2, "face_width": box[2]}
-    if (found := vi.face_colour(frame, box)) is not None:
+    if (found := vi.Faces(frame[None], [box]).colours()[0]) is not None:
         out |= {"valid": True, "skin_fraction": found["skin_fraction"]} | dict(zip("rgb", found["rgb"], strict=True))
     return out
 

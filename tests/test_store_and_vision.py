@@ -72,19 +72,30 @@ def frame(tone, background=20, shape=(96, 128)):
 
 @pytest.mark.parametrize("tone", [(198, 158, 140), (157, 117, 102), (76, 54, 43), (46, 34, 26)])
 def test_colour_of_each_tone(tone):
-    got = vi.face_colour(frame(tone), (32, 8, 64, 80))
+    got = vi.Faces(frame(tone)[None], [(32, 8, 64, 80)]).colours()[0]
     assert np.allclose(got["rgb"], tone, atol=1e-9) and got["skin_fraction"] > 0.7
 
 
-def test_hairline_moves_the_forehead():
-    mask = np.ones((200, 160), bool)
-    face = (20.0, 20.0, 120.0, 160.0)
-    for hair, want in ((30, True), (40, True), (90, False)):
-        m = mask.copy()
-        m[:hair] = False
-        row = vi.hairline(m, face)
-        assert row == max(hair, 20) and (vi.forehead_band(row, face) is not None) == want
-    assert vi.hairline(np.zeros((200, 160), bool), face) is None and vi.forehead_band(None, face) is None
+def test_hairlines_move_foreheads_in_a_batch():
+    """Faces whose hair ends at different rows, one without skin and one hardly on the frame, measured together and alone."""
+    tone, hair = np.array([180, 140, 120], np.uint8), np.array([20, 15, 10], np.uint8)
+    frames = np.tile(tone, (5, 180, 150, 1))
+    for k, rows in enumerate((35, 44, 85)):
+        frames[k, :rows] = hair
+    frames[3] = (0, 0, 255)
+    boxes = np.array([(15, 10, 120, 150)] * 4 + [(148, 178, 120, 150)], float)
+    faces = vi.Faces(frames, boxes)
+    assert faces.hairlines()[:3].tolist() == [35, 44, 85]
+    tops = faces.regions()[0, :, 1]
+    assert np.allclose(tops[:2], [(35 - 10) / 150 + 0.06, (44 - 10) / 150 + 0.06]) and tops[2] == vi.REGIONS["forehead"][1]  # the third would meet the eyes
+    both = faces.colours()
+    assert both[4] is None
+    for k in range(3):
+        assert np.allclose(both[k]["rgb"], tone) and both[k] | {"rgb": 0} == vi.Faces(frames[k : k + 1], boxes[k : k + 1]).colours()[0] | {"rgb": 0}
+    assert both[0]["skin_fraction"] > both[2]["skin_fraction"]
+    bare = vi.Faces(frames[:1], boxes[:1])
+    bare.skin = np.zeros_like(bare.skin)
+    assert np.isnan(bare.hairlines()).all() and bare.colours() == [None]
 
 
 def test_frame_quality_measures():
