@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ranks import average_ranks, running
+from pulsegrid.operators.ranks import Ordered, average_ranks, running
 
 USABLE_ERROR_BPM, PASS_COVERAGE, MIN_CAPTURE, MIN_SUBGROUP = 5.0, 0.80, 0.25, 4
 THRESHOLDS = tuple(round(0.05 * k, 2) for k in range(16))
@@ -71,10 +72,13 @@ def benchmark_metrics(subjects: DataFrame, by: list[str]) -> DataFrame:
 
 
 def subgroup_metrics(subjects: DataFrame, labels: list[str]) -> DataFrame:
-    """One row per label and value, all labels in one pass (grouping sets by expansion); null labels drop out."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in labels]))
-    long = subjects.withColumn("pair", pairs).select("*", "pair.key", "pair.value").where("value IS NOT NULL")
-    return long.groupBy("key", "value").agg(*_cohort()).withColumn("underpowered", F.col("n_subjects") < MIN_SUBGROUP)
+    """One row per label and value, all labels in one pass by grouping sets; null labels drop out."""
+    text = subjects.withColumns({c: F.col(c).cast("string") for c in labels})
+    sets = text.groupingSets([[F.col(c)] for c in labels], *[F.col(c) for c in labels])
+    out = sets.agg(*_cohort(), *[F.grouping(c).alias(f"_{c}") for c in labels])
+    key = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in labels])
+    out = out.select(key.alias("key"), F.coalesce(*labels).alias("value"), *[c for c in out.columns if c not in (*labels, *(f"_{c}" for c in labels))])
+    return out.where("value IS NOT NULL").withColumn("underpowered", F.col("n_subjects") < MIN_SUBGROUP)
 
 
 def go_no_go(metrics: DataFrame, capture: str | None = None) -> DataFrame:
@@ -180,26 +184,60 @@ def rising_edges(rows: DataFrame, by: list[str], order: str, above: Column) -> D
     return rows.withColumn("above", above).withColumn("was", before).where("above AND NOT was").drop("above", "was")
 
 
+def _runs(detected: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
+    """All events (key, t, truth or not), with the start of their run: a run ends where the next event of the key is further than the tolerance."""
+    side = lambda rows, of: rows.select("key", F.col("t").cast("double").alias("t"), F.lit(of).alias("truth")).where("t IS NOT NULL")
+    both = side(detected, False).unionByName(side(truth, True)).withColumn("tie", F.col("truth").cast("int"))
+    apart = F.col("was").isNull() | (F.col("t") - F.col("was") > tolerance)
+    return Ordered(both, ["key"], ["t", "tie"]).before("was", F.col("t"), own=False).before("run", F.when(apart, F.col("t"))).done().select("key", "run", "t", "truth")
+
+
+def matched(times: list[float], truths: list[float], tolerance: float) -> int:
+    """Greedy one-to-one matches of two sorted lists: each time takes the nearest truth left, the earlier of two as near, if within the tolerance."""
+    hits, left, ahead = 0, [], 0
+    for x in times:
+        while ahead < len(truths) and truths[ahead] <= x + tolerance:
+            left.append(truths[ahead])
+            ahead += 1
+        drop = 0
+        while drop < len(left) and left[drop] < x - tolerance:
+            drop += 1
+        del left[:drop]  # later times are further still
+        near = [k for k, t in enumerate(left) if abs(t - x) <= tolerance]
+        if near:
+            del left[min(near, key=lambda k: abs(left[k] - x))]
+            hits += 1
+    return hits
+
+
 def match_events(detected: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """Greedy one-to-one matching per key (columns key, t): detections in order take their nearest unused truth, if near enough.
 
-    Each key folds its sorted arrays in one expression; a key holds one
-    recording's events.
+    Events further apart than the tolerance never meet, so a key's events fall into runs, and a long recording spreads over tasks.
+    A task goes through its runs in order; a detection looks only at truths within the tolerance. Null keys are a key, events without a time don't count.
     """
-    d = detected.groupBy("key").agg(F.sort_array(F.collect_list(F.col("t").cast("double"))).alias("d"), F.count("*").alias("n_detected"))
-    g = truth.groupBy("key").agg(F.sort_array(F.collect_list(F.col("t").cast("double"))).alias("g"), F.count("*").alias("n_truth"))
-    both = d.join(g, "key", "full").withColumn("d", F.coalesce("d", F.array().cast("array<double>"))).withColumn("g", F.coalesce("g", F.array().cast("array<double>")))
-    start = F.struct(F.col("g").alias("left"), F.lit(0).cast("long").alias("hits"))
-
-    def step(acc, x):
-        left = acc["left"]
-        best = F.array_min(F.transform(left, lambda t, k: F.struct(F.abs(t - x).alias("far"), k.alias("at"))))
-        hit = best.isNotNull() & (best["far"] <= tolerance)
-        rest = F.filter(left, lambda t, k: k != best["at"])
-        return F.struct(F.when(hit, rest).otherwise(left).alias("left"), (acc["hits"] + F.when(hit, 1).otherwise(0)).cast("long").alias("hits"))
-
-    matched = F.aggregate("d", start, step)["hits"]
-    return both.select("key", F.coalesce("n_detected", F.lit(0)).alias("n_detected"), F.coalesce("n_truth", F.lit(0)).alias("n_truth"), matched.alias("tp"))
+
+    def run(batches):
+        held, now = ([], []), None
+        for batch in batches:
+            out = []
+            for key, start, t, true in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (key, start):
+                    if now is not None:
+                        out.append((now[0], matched(*held, tolerance)))
+                    held, now = ([], []), (key, start)
+                held[true].append(t)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], batch.schema.field(0).type), pa.array([n for _, n in out], pa.int64())], ["key", "hits"])
+            kind = batch.schema.field(0).type
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([matched(*held, tolerance)], pa.int64())], ["key", "hits"])
+
+    rows = _runs(detected, truth, tolerance).repartition("key", "run").sortWithinPartitions("key", "run", "t")
+    hits = rows.select("key", "run", "t", "truth").mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, hits long")
+    count = lambda side, found, wanted: side.groupBy("key").agg(F.count("t").alias(found)).withColumn(wanted, F.lit(0).cast("long"))
+    sizes = count(detected, "n_detected", "n_truth").unionByName(count(truth, "n_truth", "n_detected")).withColumn("tp", F.lit(0).cast("long"))
+    each = sizes.unionByName(hits.select("key", F.lit(0).cast("long").alias("n_detected"), F.lit(0).cast("long").alias("n_truth"), F.col("hits").alias("tp")))
+    return each.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_detected", "n_truth", "tp")])
 
 
 def f1(matches: DataFrame) -> DataFrame:

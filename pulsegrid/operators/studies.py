@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranks import quantiles
+from pulsegrid.staging import staged
+
 
 def session_scores(samples: DataFrame) -> DataFrame:
     """Per session: samples scored (not calibrating), answered (no reason) and the median rate."""
@@ -17,16 +20,20 @@ def session_scores(samples: DataFrame) -> DataFrame:
 
 
 def study_aggregate(sessions: DataFrame, samples: DataFrame, usable_ratio: float = 0.5) -> DataFrame:
-    """Per study: sessions, usable sessions and the pooled answered ratio; sessions without samples count."""
-    per = sessions.join(session_scores(samples), "session_id", "left").fillna(0, ["scored", "answered"])
+    """Per study: sessions, usable sessions, the pooled answered ratio and the exact median of the sessions' rates; sessions without samples count.
+
+    A study may have any number of sessions: counts fold before they move, and the median is found by counting (``ranks.quantiles``).
+    """
+    per = staged(sessions.join(session_scores(samples), "session_id", "left").fillna(0, ["scored", "answered"]), "scores")
     usable = F.when((F.col("scored") > 0) & (F.col("answered") >= usable_ratio * F.col("scored")), 1).otherwise(0)
-    return per.groupBy("study_id").agg(
+    out = per.groupBy("study_id").agg(
         F.count("*").alias("n_sessions"),
         F.sum(usable).alias("n_usable"),
         F.round(F.sum(usable).cast("double") / F.count("*"), 6).alias("usable_rate"),
         F.round(F.sum("answered").cast("double") / F.greatest(F.sum("scored"), F.lit(1)).cast("double"), 6).alias("answered_ratio"),
-        F.round(F.median("median_hr"), 6).alias("median_hr"),
     )
+    middle = quantiles(per, ["study_id"], "median_hr", name="median_hr")
+    return out.join(middle, out["study_id"].eqNullSafe(middle["study_id"])).select(*[out[c] for c in out.columns], F.round("median_hr", 6).alias("median_hr"))
 
 
 def session_summary(samples: DataFrame) -> DataFrame:

@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from pulsegrid.plans import evaluation_queries, frame_queries, stream_queries, study_queries  # noqa: F401
+    from pulsegrid.plans import evaluation_queries, frame_queries, series_queries, stream_queries, study_queries  # noqa: F401
