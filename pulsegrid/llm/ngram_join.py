@@ -35,7 +35,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import every, fresh, frugal, staged, table
@@ -322,9 +321,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, th long, n long, cls long"), "classes")
     folded = of.where("n > 0").groupBy("cls", "n", "doc_id", "th").agg(F.count("*").alias("rows"))
     classes = folded.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "rows")).alias("speaker"))
-    sent = rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long")
-    head = F.first("cls").over(W.partitionBy("sig").orderBy("cls").rowsBetween(W.unboundedPreceding, 0))
-    near = sent.select("cls", head.alias("head")).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
+    sent = staged(rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long"), "parts")
+    # a part that very many texts have folds before it moves, and adaptive execution splits its side of the join
+    heads = sent.groupBy("sig").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("sig", "head")
+    near = sent.join(heads, "sig").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     cand = staged(groups.join(classes, "cls"), "candidates")
     size = cand.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.greatest("n", F.lit(SET_WEIGHT))) / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
