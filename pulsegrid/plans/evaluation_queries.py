@@ -9,6 +9,7 @@ from pulsegrid.functions import scoring as sc
 from pulsegrid.operators import baseline as bl
 from pulsegrid.operators import evaluate as ev
 from pulsegrid.operators import ocular, readiness
+from pulsegrid.plans import pulse_twins
 from pulsegrid.plans.catalog import query
 from pulsegrid.plans.frame_queries import CLIP, QUALITY_SQL, quality_frames
 from pulsegrid.plans.tables import FRAMES_SQL, frames, table
@@ -413,19 +414,20 @@ def _bvp(method):
     return run
 
 
+_WIN, _STRIDE = int(FPS * WINDOW_S), int(FPS * STRIDE_S)
 for _name, _method in (("bvp_features", "pos"), ("chrom_bvp", "chrom"), ("green_bvp", "green")):
-    query(_name)(_bvp(_method))
+    query(_name, pulse_twins.bvp(_method, FPS, _WIN, _STRIDE))(_bvp(_method))
 
 
-@query("run_benchmark")
+@query("run_benchmark", pulse_twins.benchmark(["pos", "chrom", "green"], FPS, _WIN, _STRIDE))
 def run_benchmark(spark, sf_dir):
     """All methods over all recordings, each trace read once, each window against its own truth; best median error first."""
     from pulsegrid.operators.analyze import analyze
 
     f = traces(spark, sf_dir)
     w = analyze(f, FPS, WINDOW_S, STRIDE_S, methods=["pos", "chrom", "green"], truth="hr").withColumn("hr", F.col("hr_bpm"))
-    m = ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"])
-    return ev.go_no_go(m).orderBy(F.col("median_mae_all").asc_nulls_last())
+    m = ev.go_no_go(ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"])).orderBy(F.col("median_mae_all").asc_nulls_last())
+    return m.select("method", "n_subjects", "n_windows", *[R(c, n=4) for c in _METRICS], "go_mae", "go_coverage", "go")
 
 
 _AREAS = f"""{_RC}, o AS (SELECT cohort, row_number() OVER w AS rank, row_number() OVER w / count(*) OVER (PARTITION BY cohort)::DOUBLE AS coverage,
@@ -464,7 +466,7 @@ def baseline_ablation(spark, sf_dir):
     return ev.baseline_ablation(rel, "session_id", "hr_bpm", "relative", "y").select(R("auroc_raw"), R("auroc_baselined"), R("auroc_within"), R("delta"))
 
 
-@query("gt_window_hr")
+@query("gt_window_hr", pulse_twins.truth(FPS, _WIN, _STRIDE))
 def gt_window_hr(spark, sf_dir):
     """Rate of the contact trace per window of the frames."""
     from pulsegrid.operators.analyze import truth_rates
