@@ -1,10 +1,10 @@
 """Media columns: byte payloads held losslessly as progressive JPEG, and RGB tensors read from them.
 
 JPEG is lossy in samples and exact in quantised coefficients, so a payload's unit
-is the coefficient: 64 bytes are the 64 coefficients of one luma block in scan
+is the coefficient: 64 bytes are the 64 coefficients of one block in scan
 order. Byte b becomes b when it is 128 or more, else b - 255: all values have
-eight bits, whose extra bits spell the byte. The image is 4:2:0 with empty
-chroma. Luma comes in two spectral bands without its lowest bit, then a
+eight bits, whose extra bits spell the byte. The image is 4:2:0; its first half or two thirds fill luma,
+the rest blue and red chroma. Every plane comes in two spectral bands without its lowest bit, then a
 successive-approximation pass adds that bit. A comment keeps the payload's size.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import block_images, jpeg
-from pulsegrid.llm.block_images import FLAT, SCRIPT, UNIT, shape
+from pulsegrid.llm.block_images import FLAT, PLANES, SCRIPT, UNIT, blocks_of, shape
 from pulsegrid.llm.common import staged, table
 from pulsegrid.llm.wordhash import slices
 
@@ -37,17 +37,18 @@ def to_jpeg(payload: bytes) -> bytes:
     rows, cols = shape(len(payload))
     parts = [jpeg.Component(1, 2, 2, 0), jpeg.Component(2, 1, 1, 0), jpeg.Component(3, 1, 1, 0)]
     jpeg.layout(8 * cols, 8 * rows, parts)
-    b = np.zeros(rows * cols * UNIT, np.int32)
-    b[: len(payload)] = np.frombuffer(payload, np.uint8)
-    parts[0].coef[:rows, :cols] = np.where(b < 128, b - 255, b).reshape(rows, cols, UNIT)
+    at = 0
+    for part, n in zip(parts, blocks_of(rows, cols), strict=True):
+        b = np.frombuffer(payload[at : at + UNIT * n].ljust(UNIT * n, b"\0"), np.uint8).astype(np.int32)
+        part.coef[: part.rows, : part.cols] = np.where(b < 128, b - 255, b).reshape(part.rows, part.cols, UNIT)
+        at += UNIT * n
     return jpeg.encode(jpeg.Image(8 * cols, 8 * rows, parts, FLAT, struct.pack(">Q", len(payload))), SCRIPT)
 
 
 def from_jpeg(raw: bytes) -> tuple[bytes, np.ndarray]:
     """(payload, full-resolution RGB tensor) of a stored image."""
     image = jpeg.decode(raw)
-    y = image.components[0]
-    v = y.coef[: y.rows, : y.cols].reshape(-1)
+    v = np.concatenate([c.coef[: c.rows, : c.cols].reshape(-1) for c in image.components])
     payload = np.where(v < 0, v + 255, v).astype(np.uint8).tobytes()
     return payload[: struct.unpack(">Q", image.comment)[0]], jpeg.to_rgb(image)
 
@@ -69,13 +70,12 @@ def payloads_and_features(raws: list[bytes]) -> tuple[list[bytes], list[str]]:
         return [p for p, _ in both], [feature(rgb) for _, rgb in both]
     coef, bounds, heads = found
     data = np.where(coef < 0, coef + 255, coef).astype(np.uint8).tobytes()
-    payloads = [data[UNIT * a : UNIT * a + size] for a, (size, _, _) in zip(bounds.tolist(), heads, strict=False)]
-    grey = block_images.grey(coef)
-    total = np.concatenate([[0], np.cumsum(grey.sum(axis=1, dtype=np.int64))])
-    image = np.repeat(np.arange(len(raws)), np.diff(bounds))
-    levels = np.bincount((image[:, None] * 16 + (grey >> 4)).reshape(-1), minlength=16 * len(raws)).reshape(-1, 16)
-    sums = (total[bounds[1:]] - total[bounds[:-1]]).tolist()
-    return payloads, [_feature(8 * cols, 8 * rows, [s] * 3, n) for (_, rows, cols), s, n in zip(heads, sums, levels, strict=True)]
+    payloads = [data[UNIT * a : UNIT * a + size] for a, (size, _, _) in zip(bounds[:-1:PLANES].tolist(), heads, strict=True)]
+    pixels, image = block_images.rgb(coef, bounds, heads)
+    first = np.searchsorted(image, np.arange(len(raws)))
+    totals = np.add.reduceat(pixels.sum(axis=1, dtype=np.int64), first)
+    levels = np.bincount((image[:, None] * 16 + (pixels[..., 1] >> 4)).reshape(-1), minlength=16 * len(raws)).reshape(-1, 16)
+    return payloads, [_feature(8 * cols, 8 * rows, t, n) for (_, rows, cols), t, n in zip(heads, totals.tolist(), levels, strict=True)]
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
