@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scoring as sc
 from pulsegrid.functions import vision_np as vi
+from pulsegrid.sources import datasets
+from pulsegrid.staging import staged
 
 COMPRESSION_EVERY = 15
 _RAW = (
@@ -122,3 +124,56 @@ def trace(raw: DataFrame) -> DataFrame:
         F.coalesce(sc.sharpness(F.col("detail")), F.lit(0.0)).alias("sharpness"), F.when(F.col("face_width").isNotNull(), sc.motion(F.col("step"), F.col("face_width"))).otherwise(F.lit(1.0)).alias("motion"),
         F.coalesce("skin_fraction", F.lit(0.0)).alias("skin_fraction"), "clipped_fraction", "compression", "openness",
     )
+
+
+#: Recordings whose files are named to a reader at once.
+NAMED = 500
+
+
+def cached_traces(spark: SparkSession, root: str, cache: str, detector: str = "skin") -> DataFrame:
+    """``trace`` of all image recordings under ``root``, kept in ``cache`` by recording; only new or changed ones are measured.
+
+    A recording's key is a hash of its files' names, sizes and times, which a listing gives without opening a file. Recordings whose key isn't in the cache are
+    measured and overwrite their own partition; those that are gone from ``root`` aren't returned. Pixels are never stored.
+    """
+    wanted = _keys(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path) and any(f.getPath().getName().startswith("recording_id=") for f in files.listStatus(path)):
+        held = spark.read.schema(_CACHED).parquet(cache).select("recording_id", "key").distinct()
+        todo = wanted.join(held, ["recording_id", "key"], "left_anti")
+    else:
+        todo = wanted
+    todo = staged(todo, "todo")
+    batch = []
+    for r in todo.toLocalIterator():
+        batch.append(r.recording_id)
+        if len(batch) == NAMED:
+            _measured(spark, root, batch, todo, cache, detector)
+            batch = []
+    if batch:
+        _measured(spark, root, batch, todo, cache, detector)
+    if not todo.limit(1).count() and not wanted.limit(1).count():
+        return spark.createDataFrame([], _CACHED).drop("key")
+    rows = spark.read.schema(_CACHED).parquet(cache)
+    return rows.join(wanted, ["recording_id", "key"], "left_semi").drop("key")
+
+
+_CACHED = (
+    "i long, r double, g double, b double, valid boolean, face double, lighting double, sharpness double, motion double, skin_fraction double, clipped_fraction double, compression double, openness double, "
+    "key string, recording_id string"
+)
+
+
+def _keys(spark: SparkSession, root: str) -> DataFrame:
+    """(recording_id, key) of the image files under ``root``, from their metadata alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,gif}").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
+    one = F.xxhash64("path", "modificationTime", "length")
+    per = listed.groupBy(F.element_at(F.split("path", "/"), -2).alias("recording_id")).agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"))
+    return per.select("recording_id", F.concat_ws("-", "n", F.hex("x")).alias("key"))
+
+
+def _measured(spark: SparkSession, root: str, names: list[str], todo: DataFrame, cache: str, detector: str) -> None:
+    rows = trace(measure_images(datasets.images(spark, [f"{root.rstrip('/')}/{n}" for n in names]), detector))
+    rows = rows.join(todo, "recording_id").select(*[c.split()[0] for c in _CACHED.split(", ")])
+    rows.repartition("recording_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").parquet(cache)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import windows
+
 _LOADERS: dict[str, Callable] = {}
 
 
@@ -70,14 +72,37 @@ def task_csv(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 @register("keyed_csv")
 def keyed_csv(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``db.csv`` keyed (patient, camera, step) beside ``ppg/<patient>_<camera>_<step>.txt``; recordings without a trace stay."""
+    """``db.csv`` keyed (patient, camera, step) beside ``ppg/<patient>_<camera>_<step>.txt``; recordings without a trace stay.
+
+    ``meta/<same name>.txt`` has a frame's number and its ISO time a line: they give samples their stamps t (seconds from the first) and recordings their measured ``fps``,
+    null under ten stamps. Samples without a stamp have none; ``align.resampled`` brings them onto an even base.
+    """
     meta = spark.read.csv(f"{root}/db.csv", header=True)
     lines = spark.read.text(f"{root}/ppg/*.txt").select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("recording_id"), F.monotonically_increasing_id().alias("o"))
     rows = lines.withColumn("j", F.row_number().over(W.partitionBy("recording_id").orderBy("o")) - 1).select("recording_id", "j", F.split(F.trim("value"), r"\s+")[0].try_cast("double").alias("bvp"))
-    per = rows.groupBy("recording_id").agg(F.count("*").alias("n_samples"))
+    stamps = _stamps(spark, root)
+    if stamps is None:
+        rows = rows.withColumn("t", F.lit(None).cast("double"))
+        rate = rows.select("recording_id").distinct().withColumn("fps", F.lit(None).cast("double"))
+    else:
+        rate = windows.measured_fps(stamps, ["recording_id"], "t").select("recording_id", "fps")
+        first = stamps.groupBy("recording_id").agg(F.min("t").alias("t0"))
+        rows = rows.join(stamps.join(first, "recording_id").select("recording_id", "j", (F.col("t") - F.col("t0")).alias("t")), ["recording_id", "j"], "left")
+    per = rows.groupBy("recording_id").agg(F.count("*").alias("n_samples")).join(rate, "recording_id", "left")
     return meta.withColumn("recording_id", F.concat_ws("_", "patient", "camera", "step")).join(per, "recording_id", "left"), rows
 
 
+def _stamps(spark: SparkSession, root: str) -> DataFrame | None:
+    """(recording_id, j, t in seconds) of ``meta/*.txt``: lines of number and time, in the files' order; others drop out. None without such files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/meta")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    lines = spark.read.text(f"{root}/meta/*.txt").select(F.trim("value").alias("value"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("recording_id"), F.monotonically_increasing_id().alias("o"))
+    at = F.regexp_extract("value", r"^\d+\s+(\S.*)$", 1).try_cast("timestamp")
+    good = lines.select("recording_id", "o", (F.unix_micros(at) / F.lit(1e6)).alias("t")).where("t IS NOT NULL")
+    return good.withColumn("j", F.row_number().over(W.partitionBy("recording_id").orderBy("o")) - 1).drop("o")
+
+
 @register("oximeter_xmp")
 def oximeter_xmp(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """``<subject>/*.xmp``: CSV lines of stamp in milliseconds, rate, saturation and waveform; lines that aren't numbers drop out."""
@@ -110,7 +135,7 @@ def image_sequence(spark: SparkSession, root: str, fps: float) -> DataFrame:
     return order.join(rows.select("path", "content", "length"), "path").select("recording_id", "i", (F.col("i") / F.lit(float(fps))).alias("t"), "path", "content", "length")
 
 
-def images(spark: SparkSession, root: str) -> DataFrame:
+def images(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Frames kept as one image file each, ``<recording>/<name>``, decoded by Spark: recording_id, path, height, width, channels and pixels (rows of B, G, R bytes).
 
     Files that aren't images drop out. ``ingest.measure_images`` measures them where they are read.
