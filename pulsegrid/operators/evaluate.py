@@ -6,14 +6,16 @@ confidence and quality columns; errors count refused windows too.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from pulsegrid.functions.stats_np import correlation_p
 from pulsegrid.operators.ranks import Ordered, average_ranks, running
 
 USABLE_ERROR_BPM, PASS_COVERAGE, MIN_CAPTURE, MIN_SUBGROUP = 5.0, 0.80, 0.25, 4
@@ -106,19 +108,20 @@ def aurc(rows: DataFrame, by: list[str], order: list[Column], name: str) -> Data
     return risk_coverage(rows, by, order).groupBy(*by).agg(F.sum(strip).alias(name))
 
 
+@F.pandas_udf(DoubleType())
+def _p(rho: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(correlation_p(rho.to_numpy(float), n.to_numpy())).astype(object).where(lambda p: p.notna(), None)
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with averaged ties, n, and the two-sided p-value by a normal tail of Fisher's z; null under three rows."""
+    """Rank correlation with averaged ties, n, and the two-sided p-value by the t distribution, from one row a group; null under three rows."""
     out = rows
     for c in (x, y):
         ranks = average_ranks(rows, by, c, {}).select(*by, c, F.col("average_rank").alias(f"rank_{c}")).drop("ties")
         same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(ranks[k]) for k in [*by, c]])
         out = out.join(ranks, same).select(*[out[k] for k in out.columns], ranks[f"rank_{c}"])
     agg = out.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, correlation(F.col(f"rank_{x}"), F.col(f"rank_{y}"))).alias("rho"))
-    # Abramowitz and Stegun 26.2.17
-    z = F.abs(F.atanh(F.greatest(F.lit(-0.999999999), F.least(F.lit(0.999999999), F.col("rho"))))) * F.sqrt((F.greatest(F.col("n"), F.lit(4)) - 3) / F.lit(1.06))
-    t = 1 / (1 + 0.2316419 * z)
-    tail = F.exp(-z * z / 2) / F.lit((2 * math.pi) ** 0.5) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return agg.withColumn("p_value", F.when(F.col("n") >= 4, F.least(F.lit(1.0), 2 * tail)))
+    return agg.withColumn("p_value", _p("rho", "n"))
 
 
 def deciles(rows: DataFrame, by: list[str], order: list[Column], parts: int = 10) -> DataFrame:

@@ -98,6 +98,14 @@ def overlay_segments(samples: DataFrame) -> DataFrame:
     return gaps.where("reason IS NULL").groupBy("session_id", "segment").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"), F.min("hr_bpm").alias("low"), F.max("hr_bpm").alias("high"))
 
 
+def overlay_usable(sessions: DataFrame, samples: DataFrame, first: int = 12, usable_ratio: float = 0.5) -> DataFrame:
+    """``overlay_segments`` of each study's first ``first`` usable sessions (study_id, session_id, in ``created_at`` order), with their ``position``."""
+    good = (F.col("scored") > 0) & (F.col("answered") >= usable_ratio * F.col("scored"))
+    rank = F.row_number().over(W.partitionBy("study_id").orderBy("created_at", "session_id"))
+    picked = sessions.join(session_scores(samples), "session_id").where(good).withColumn("position", rank).where(F.col("position") <= first).select("study_id", "session_id", "position")
+    return overlay_segments(samples.join(picked.select("session_id"), "session_id", "left_semi")).join(picked, "session_id")
+
+
 def study_sessions(sessions: DataFrame) -> DataFrame:
     """Sessions not withdrawn, newest first within their study."""
     rank = F.row_number().over(W.partitionBy("study_id").orderBy(F.col("created_at").desc(), "session_id"))

@@ -133,13 +133,23 @@ def first_streak(rows: DataFrame, good, length: int) -> DataFrame:
     return marked.withColumn("streak", streak).where(F.col("good") & (F.col("streak") >= length)).groupBy("recording_id").agg(F.min("i").alias("unlocked_at"))
 
 
-def training_chunks(frames: DataFrame, chunk: int) -> DataFrame:
+def training_chunks(frames: DataFrame, chunk: int, label: str | None = None, lags: DataFrame | None = None) -> DataFrame:
     """Frames of consecutive chunks of ``chunk`` + 1 frames that start every ``chunk``; adds ``start``.
 
     The frame where one chunk ends and the next begins belongs to both. A chunk
-    starts only where more than ``chunk`` + 1 frames are left.
+    starts only where more than ``chunk`` + 1 frames are left. With ``lags`` (recording_id, lag in frames) the column ``label`` is that of ``lag`` frames later, none for
+    recordings that have no lag, and chunks whose labels would leave the recording are dropped.
     """
     n = F.max("i").over(W.partitionBy("recording_id")) + 1
+    rows = frames.withColumn("n", n)
+    if lags is not None:
+        shift = F.coalesce("lag", F.lit(0)).cast("long")
+        known = rows.join(lags.select("recording_id", "lag"), "recording_id", "left").withColumn("lag", shift)
+        later = known.select("recording_id", (F.col("i") - F.col("lag")).alias("i"), F.col(label).alias("_label"))
+        rows = known.join(later, ["recording_id", "i"], "left").drop(label).withColumnRenamed("_label", label)
     both = F.when((F.col("i") % chunk == 0) & (F.col("i") > 0), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
-    out = frames.withColumn("n", n).withColumn("back", F.explode(both)).withColumn("start", (F.floor(F.col("i") / chunk) - F.col("back")) * chunk)
-    return out.where(F.col("start") < F.col("n") - chunk - 1).drop("n", "back")
+    out = rows.withColumn("back", F.explode(both)).withColumn("start", (F.floor(F.col("i") / chunk) - F.col("back")) * chunk)
+    out = out.where(F.col("start") < F.col("n") - chunk - 1)
+    if lags is not None:
+        out = out.where((F.col("start") + F.col("lag") >= 0) & (F.col("start") + F.col("lag") + chunk + 1 <= F.col("n")))
+    return out.drop("n", "back", "lag")

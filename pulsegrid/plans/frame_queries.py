@@ -322,3 +322,14 @@ def chunks(spark, sf_dir):
     """Training chunks: twelve frames and one more, without overlap of starts."""
     c = win.training_chunks(frames(spark, sf_dir), 12)
     return c.groupBy("recording_id", "start").agg(F.count("*").alias("n_frames"), R(F.avg("x"), "mean_x"))
+
+
+@query("chunks_lagged", f"""WITH {FRAMES_SQL}, n AS (SELECT recording_id, count(*) AS n, recording_id % 7 - 3 AS lag FROM frames GROUP BY 1), s AS (SELECT recording_id, n, lag, unnest(range(0, n - 13, 12)) AS start FROM n)
+SELECT s.recording_id, s.start, count(*) AS n_frames, round(avg(x), 6) AS mean_x, (SELECT round(avg(g.k), 6) FROM frames g WHERE g.recording_id = s.recording_id AND g.i BETWEEN s.start + s.lag AND s.start + s.lag + 12) AS mean_label
+FROM s JOIN frames f ON f.recording_id = s.recording_id AND f.i BETWEEN s.start AND s.start + 12 WHERE s.start + s.lag >= 0 AND s.start + s.lag + 13 <= s.n GROUP BY s.recording_id, s.start, s.lag""")
+def chunks_lagged(spark, sf_dir):
+    """Training chunks whose labels come from a recording's lag later."""
+    f = frames(spark, sf_dir).select("recording_id", "i", "x", "k")
+    lags = f.select("recording_id").distinct().withColumn("lag", F.col("recording_id") % 7 - 3)
+    c = win.training_chunks(f, 12, "k", lags)
+    return c.groupBy("recording_id", "start").agg(F.count("*").alias("n_frames"), R(F.avg("x"), "mean_x"), R(F.avg("k"), "mean_label"))

@@ -118,3 +118,23 @@ def overlay_segments(spark, sf_dir):
 FROM sessions WHERE withdrawn_at IS NULL""")
 def study_sessions(spark, sf_dir):
     return studies.study_sessions(sessions(spark, sf_dir)).select("session_id", F.coalesce("study_id", F.lit(-1)).cast("long").alias("study_id"), F.col("position").cast("long").alias("position"))
+
+
+@query("overlay_usable", f"""WITH {SAMPLES_SQL}, sc AS (SELECT session_id, count(*) FILTER (WHERE reason IS DISTINCT FROM 'calibrating') AS scored, count(*) FILTER (WHERE reason IS NULL) AS answered FROM samples GROUP BY 1),
+p AS (SELECT c_nationkey AS study_id, session_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, session_id) AS position FROM sc JOIN customer ON c_custkey = session_id WHERE scored > 0 AND answered >= 0.5 * scored QUALIFY position <= 12),
+g AS (SELECT s.*, sum((reason IS NOT NULL)::INT) OVER (PARTITION BY s.session_id ORDER BY t, event_id) AS segment FROM samples s WHERE s.session_id IN (SELECT session_id FROM p))
+SELECT p.study_id, p.session_id, p.position::INT AS position, segment::BIGINT AS segment, min(t) AS t0, max(t) AS t1, count(*) AS n, min(hr_bpm) AS low, max(hr_bpm) AS high FROM g JOIN p USING (session_id) WHERE reason IS NULL GROUP BY 1, 2, 3, 4""")
+def overlay_usable(spark, sf_dir):
+    """Lines of each study's first twelve usable sessions."""
+    sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_nationkey").alias("study_id"), F.col("c_acctbal").alias("created_at"))
+    return studies.overlay_usable(sessions, samples(spark, sf_dir)).select("study_id", "session_id", "position", "segment", "t0", "t1", "n", "low", "high")
+
+
+@query("export_rows", f"""WITH {SAMPLES_SQL}, o AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, hr_bpm, confidence, reason NULLS FIRST) - 1 AS position, t, hr_bpm, confidence, reason FROM samples)
+SELECT session_id, position::INT AS position, t, hr_bpm, confidence, reason FROM o""")
+def export_rows(spark, sf_dir):
+    """Every sample of every session's export, at its place."""
+    all_samples = samples(spark, sf_dir)
+    marks = all_samples.where("reason = 'calibrating'").select("session_id", "t", F.col("reason").alias("label"))
+    out = studies.session_export(all_samples.select("session_id").distinct(), all_samples, marks)
+    return out.select("session_id", F.posexplode("samples").alias("position", "s")).select("session_id", "position", "s.t", "s.hr_bpm", "s.confidence", "s.reason")

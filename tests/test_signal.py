@@ -92,3 +92,17 @@ def test_projections_recover_the_pulse(name, hz):
 def test_methods_have_names():
     with pytest.raises(ValueError, match="unknown method"):
         sig.method("median")
+
+
+def test_p_of_a_correlation_by_summing_its_density():
+    from pulsegrid.functions.stats_np import correlation_p
+
+    for n in (3, 4, 7, 25, 400):
+        for rho in (0.0, 0.05, -0.4, 0.83):
+            v = n - 2
+            t = abs(rho) * np.sqrt(v / (1 - rho**2))
+            angle = np.linspace(np.arctan(t / np.sqrt(v)), np.pi / 2, 200_001)  # t = sqrt(v) tan(angle) makes the density a power of its cosine
+            whole = np.linspace(0, np.pi / 2, 200_001)
+            area = lambda a: np.trapezoid(np.cos(a) ** (v - 1), a)
+            assert abs(correlation_p(np.array([rho]), np.array([n]))[0] - area(angle) / area(whole)) < 1e-7
+    assert correlation_p(np.array([1.0, np.nan, 0.5]), np.array([9, 9, 2])).tolist()[0] == 0 and np.isnan(correlation_p(np.array([np.nan, 0.5]), np.array([9, 2]))).all()
