@@ -79,7 +79,11 @@ def payloads_and_features(raws: list[bytes]) -> tuple[list[bytes], list[str]]:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (unpadded) and media (JPEG bytes) of each row; null text is empty, and still one block."""
+    """doc_id, n_bytes (unpadded) and media (JPEG bytes) of each row; null text is empty, and still one block.
+
+    Rows that repeat an id, or have none, are rows of their own. A text is stored whole, whatever its length: beyond 1 MB its image has more block columns.
+    An empty table gives no rows; other columns, whatever their names, are ignored.
+    """
 
     def run(batches):
         for batch in batches:

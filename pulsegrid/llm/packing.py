@@ -166,7 +166,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is empty and holds the end id alone. Rows that repeat an id pack
-    as documents of their own. An empty table gives no rows.
+    as documents of their own, and so do rows without an id, whose pieces have none. Very long
+    texts are encoded whole, in windows, and cut into as many pieces as they need. An empty table
+    gives no rows. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

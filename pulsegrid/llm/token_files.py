@@ -188,6 +188,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Files ascend by (task, seq). The range shuffle carries texts, not ids, as its
     sampling pass would tokenize everything again; a hash of the text parts rows that repeat an id.
+    Very long texts are encoded whole, in windows, and stand in one file. Null texts are empty, null ids
+    come first. Other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
