@@ -9,6 +9,10 @@ columns of ``documents``:
 3. the n-gram Jaccard join keeps the smallest id of each group of near copies, by five words and a similarity of 0.8;
 4. mixing repeats, cuts or drops rows so that sources meet their target weights;
 5. packing returns the pieces of the sequences.
+
+Null, empty and blank texts have no language and go with the first stage, as do texts of unlearned languages. Very long texts pass whole. Of rows that repeat
+id and text one stays; rows that repeat an id with other texts are documents of their own, as are rows without an id, of which equal
+texts keep one. Other columns pass unchanged up to packing, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
