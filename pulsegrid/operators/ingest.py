@@ -105,10 +105,13 @@ def crops(images: DataFrame, detector: str = "skin", size: int = 72) -> DataFram
         for pdf in batches:
             yield pd.DataFrame({"recording_id": pdf["recording_id"], "path": pdf["path"], "crop": [one(r) for r in pdf.itertuples(index=False)]})
 
-    cut = images.select("recording_id", "path", "pixels", "height", "width", "channels").mapInPandas(run, "recording_id string, path string, crop binary")
+    cut = staged(images.select("recording_id", "path", "pixels", "height", "width", "channels").mapInPandas(run, "recording_id string, path string, crop binary"), "crops")
+    # the window carries the place of the last face, and crops join it: no task sorts a recording's pixels
     before = W.partitionBy("recording_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    places = _numbered(cut.select("recording_id", "path", F.col("crop").isNotNull().alias("seen")))
+    places = places.select("recording_id", "i", F.last(F.when(F.col("seen"), F.col("path")), ignorenulls=True).over(before).alias("path"))
     black = F.lit(bytes(3 * size * size))
-    return _numbered(cut).select("recording_id", "i", F.coalesce(F.last("crop", ignorenulls=True).over(before), black).alias("crop"))
+    return places.join(cut, ["recording_id", "path"], "left").select("recording_id", "i", F.coalesce("crop", black).alias("crop"))
 
 
 def trace(raw: DataFrame) -> DataFrame:
