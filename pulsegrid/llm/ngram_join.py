@@ -321,8 +321,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, th long, n long, cls long"), "classes")
     folded = of.where("n > 0").groupBy("cls", "n", "doc_id", "th").agg(F.count("*").alias("rows"))
     classes = folded.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "rows")).alias("speaker"))
-    sent = staged(rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long"), "parts")
-    # a part that very many texts have folds before it moves, and adaptive execution splits its side of the join
+    sent = rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long")
+    # a part that very many texts have folds before it moves, and adaptive execution splits its side of the join; parts are cut twice, as they take more room than texts
     heads = sent.groupBy("sig").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("sig", "head")
     near = sent.join(heads, "sig").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
