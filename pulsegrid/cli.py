@@ -52,11 +52,8 @@ def ablation(windows: DataFrame, calibration_s: float = 45.0) -> DataFrame:
     lo, hi = synth.PROTOCOL_TASK
     # rest windows that calibrated are held out
     rel = rel.withColumn("y", F.when((s >= calibration_s) & (e <= lo), 0).when((s >= lo + 10) & (e <= hi), 1)).where("y IS NOT NULL")
-    raw = ev.auroc(rel, [], "hr_bpm", "y").select(F.col("auroc").alias("raw"))
-    based = ev.auroc(rel, [], "relative", "y").select(F.col("auroc").alias("baselined"))
-    within = ev.auroc(rel, ["recording_id"], "hr_bpm", "y").agg(F.avg("auroc").alias("within"))
-    out = raw.join(F.broadcast(based)).join(F.broadcast(within))  # one row each
-    return out.withColumn("delta", F.col("baselined") - F.col("raw")).withColumn("gap_recovered", F.col("delta") / F.nullif(F.col("within") - F.col("raw"), F.lit(0.0)))
+    out = ev.baseline_ablation(rel, "recording_id", "hr_bpm", "relative", "y")
+    return out.select(*[F.col(f"auroc_{c}").alias(c) for c in ("raw", "baselined", "within")], "delta", "gap_recovered", "n_task", "n_rest")
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -218,5 +218,7 @@ def test_commands(capsys, tmp_path, monkeypatch, spark):
     assert code == 0 and {r["axis"] for r in json.loads(out)} == {"motion"} and {r["level"] for r in json.loads(out)} == {0, 1}
     code, out = run("ocular", "--limit", "1", "--duration", "30")
     assert max(r["f1"] for r in json.loads(out)) == 1.0
+    code, out = run("ablate", "--limit", "2", "--duration", "40", "--window", "8")
+    assert code == 0 and set(json.loads(out)[0]) >= {"raw", "baselined", "within", "delta", "gap_recovered"}
     code, out = run("readiness", "--limit", "2", "--duration", "5", "--table")
     assert code == 0 and out.splitlines()[0].startswith("recording_id")
