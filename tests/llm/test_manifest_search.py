@@ -2,32 +2,17 @@
 
 import hashlib
 import math
-import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import lz_fingerprint, merkle, queries, ranked_search
-
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-@pytest.mark.parametrize("name", ["op11_merkle", "op13_search"])
-def test_oracles(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    twin = con.execute(queries.oracle_sql()[name]).df()
-    mine = queries.queries()[name](spark, SF).toPandas()
-    key = lambda d: sorted(map(str, d[sorted(d.columns)].itertuples(index=False, name=None)))
-    assert len(mine) and sorted(mine.columns) == sorted(twin.columns) and key(mine) == key(twin)
+from pulsegrid.llm import lz_fingerprint, merkle, ranked_search
 
 
 def sha(text):
