@@ -93,7 +93,8 @@ def retention_purge(spark, sf_dir):
  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_shipdate DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1""")
 def upsert_latest(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 3).alias("slot"), "l_linenumber", "l_quantity", "l_shipdate")
-    return studies.latest(rows, ["l_orderkey", "slot"], [F.col("l_shipdate").desc(), F.col("l_linenumber").desc()]).drop("l_shipdate")
+    # lines of one date and number tie, which the SQL leaves open: the larger quantity stays, so that reruns agree
+    return studies.latest(rows, ["l_orderkey", "slot"], [F.col("l_shipdate").desc(), F.col("l_linenumber").desc(), F.col("l_quantity").desc()]).drop("l_shipdate")
 
 
 @query("session_export", f"""WITH {SAMPLES_SQL}, s AS (SELECT session_id, count(*) AS n, min(t) AS t0, arg_min(hr_bpm, t) AS first_hr, arg_max(hr_bpm, t) AS last_hr FROM samples GROUP BY 1),
