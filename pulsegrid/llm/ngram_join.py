@@ -35,6 +35,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import every, fresh, frugal, staged, table
@@ -50,6 +51,8 @@ SET_WEIGHT = 250
 #: Shingles under which a part is weak.
 WEAK = 3
 WORDS_OF_BITMAP = 8
+#: Bits that tell which texts may be a candidate class's: 8 MB at most.
+BITMAP_SLOTS = 1 << 26
 LEAF, FAN = 16, 8
 
 
@@ -303,6 +306,23 @@ def _tasks(rows: DataFrame, terms: Terms) -> DataFrame:
     return rows.repartition("comp", "rb", "b").groupBy("comp", "rb", "b").applyInArrow(lambda key, rows: _link_task(terms, key, rows), "u long, v long")
 
 
+def _slot(key):
+    """A key's place in a bitmap of ``BITMAP_SLOTS``, from 1."""
+    return F.pmod(key, F.lit(BITMAP_SLOTS)) + 1
+
+
+def _bitmap(rows: DataFrame, key) -> DataFrame:
+    """Which slots the keys of ``rows`` take: bucket, bits. At most ``BITMAP_SLOTS`` / 32,768 rows of 4 KB, whatever ``rows`` holds."""
+    at = rows.select(_slot(key).alias("slot"))
+    return at.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+
+def _holds(bits, place):
+    """Whether a bitmap has the bit of ``place``."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = NUM / DEN) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, cls, root, th, by distinct ``n``-word shingles and a similarity of ``threshold`` at least.
 
@@ -321,17 +341,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, th long, n long, cls long"), "classes")
     folded = of.where("n > 0").groupBy("cls", "n", "doc_id", "th").agg(F.count("*").alias("rows"))
     classes = folded.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "rows")).alias("speaker"))
+    # one shuffle of parts, which take more room than texts; a part has at most one row a slice of ``CHUNK_BYTES``, however many texts hold it
     sent = rows.mapInArrow(frugal(partial(_send_parts, terms)), "sig long, cls long")
-    # a part that very many texts have folds before it moves, and adaptive execution splits its side of the join; parts are cut twice, as they take more room than texts
-    heads = sent.groupBy("sig").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("sig", "head")
-    near = sent.join(heads, "sig").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
+    head = F.min("cls").over(W.partitionBy("sig"))
+    near = sent.withColumn("head", head).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     cand = staged(groups.join(classes, "cls"), "candidates")
     size = cand.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.greatest("n", F.lit(SET_WEIGHT))) / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
     # one text of each candidate class becomes its set, once
     named = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
     speaks = cand.select("cls", "comp", named(F.col("speaker.doc_id")).alias("id"), F.col("speaker.th").alias("h"), F.col("speaker.rows").alias("rows"))
-    held = rows.join(speaks.hint("shuffle_hash"), (named(F.col("doc_id")) == F.col("id")) & (F.col("th") == F.col("h"))).select("cls", "comp", "text", "rows")
+    # only texts that may be speakers move; the join decides
+    told = F.xxhash64("id", "h")
+    marked = rows.withColumns({"id": named(F.col("doc_id")), "h": F.col("th")}).join(F.broadcast(_bitmap(speaks, told)), F.bitmap_bucket_number(_slot(told)) == F.col("bucket"))
+    marked = marked.where(_holds(F.col("bits"), F.bitmap_bit_position(_slot(told)))).select("id", "h", "text")
+    held = marked.join(speaks.hint("shuffle_hash"), ["id", "h"]).select("cls", "comp", "text", "rows")
     if cand.where("speaker.rows > 1").limit(1).count():  # rows repeated whole
         held = held.where("rows = 1").unionByName(held.where("rows > 1").dropDuplicates(["cls"]))
     held = held.mapInArrow(frugal(partial(_set_rows, terms)), "cls long, comp long, set binary")
