@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.staging import shared_folder
 
+#: Bytes of a batch that passes between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: A word: a maximal run of characters other than space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,6 +79,14 @@ def word_count(text) -> F.col:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lean(docs: DataFrame) -> None:
+    """Bounds the session's Arrow batches by ``BATCH_BYTES``: by rows alone, 10,000 long texts stand several times in executors and workers. A lower bound stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = re.fullmatch(r"(\d+)b?", conf.get(key, None) or "", re.IGNORECASE)
+    if not had or not 0 < int(had[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Hands freed memory back to the system: allocators keep what large arrays leave."""
     gc.collect()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import every, frugal, release, table, trim
+from pulsegrid.llm.common import every, frugal, lean, release, table, trim
 from pulsegrid.llm.wordhash import _LOWER, _WS, buffers, slices
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -270,6 +270,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows the model rejects, all columns as they came."""
+    lean(docs)
     at = docs.columns.index("text")
     plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(every(docs))])  # any names may come, dots among them
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import every, fresh, frugal, staged, table
+from pulsegrid.llm.common import every, fresh, frugal, lean, staged, table
 from pulsegrid.llm.components import components
 from pulsegrid.llm.wordhash import hash_words, mix64, slices
 
@@ -336,6 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Shingles and classes are 64-bit hashes: below 10**9 documents a false merge is unlikely (a chance of 3 %).
     """
     terms = Terms.of(n, threshold)
+    lean(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     of = staged(rows.mapInArrow(frugal(partial(_classify, terms)), "doc_id long, th long, n long, cls long"), "classes")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import frugal, staged, table, trim
+from pulsegrid.llm.common import frugal, lean, staged, table, trim
 from pulsegrid.llm.tokens import BYTE_BPE, closed, encoder, public_path
 from pulsegrid.llm.wordhash import slices
 
@@ -171,6 +171,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     gives no rows. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    lean(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = staged(rows.mapInArrow(frugal(_cutter(path or public_path(BYTE_BPE), kind, end, length), encodes=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / CLASS).cast("long"))
