@@ -32,7 +32,7 @@ def benchmark(w: DataFrame) -> DataFrame:
     rows = w.where("err IS NOT NULL AND conf IS NOT NULL")
     tie = [F.col("recording_id"), F.col("start_s")]
     capture = ev.capture_ratio(rows, ["method"], [F.col("conf").desc(), *tie], [F.col("err"), *tie]).select("method", "capture_ratio")
-    m = ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"]).join(capture, "method", "left")
+    m = ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"], ["start_s"]), ["method"]).join(capture, "method", "left")
     return ev.go_no_go(m, "capture_ratio").orderBy(F.col("median_mae_all").asc_nulls_last())
 
 

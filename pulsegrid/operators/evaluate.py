@@ -40,10 +40,14 @@ def guarded_corr(x: str, y: str, on: Column) -> Column:
     return F.when(good, correlation(a, b))
 
 
-def subject_metrics(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Per recording: coverage, error of answered and of all windows, correlation, usable."""
+def subject_metrics(windows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Per recording: coverage, error of answered and of all windows, correlation, usable.
+
+    A mean error of exactly the limit, and a mean half-way between two roundings, hang on the order in which doubles are added: a recording's windows are
+    added one after another in ``order``, which should tell them apart, and not as partial sums of whatever partitions they were read in.
+    """
     pair = F.col("valid") & F.col("hr").isNotNull() & F.col("gt").isNotNull()
-    out = windows.groupBy(*by).agg(
+    out = windows.repartition(*by).sortWithinPartitions(*by, *order).groupBy(*by).agg(
         F.count("*").alias("n_windows"),
         F.count_if("valid").alias("n_valid"),
         F.avg(F.when(pair, abs_error())).alias("mae"),

@@ -128,7 +128,7 @@ subj AS (SELECT recording_id, cohort, count(*) AS n_windows, count(*) FILTER (WH
 
 
 def subjects(spark, sf_dir):
-    return ev.subject_metrics(windows(spark, sf_dir), ["recording_id", "cohort"])
+    return ev.subject_metrics(windows(spark, sf_dir), ["recording_id", "cohort"], ["event_id"])
 
 
 @query("subject_metrics", f"""WITH {WINDOWS_SQL}, {_SUBJECT} SELECT recording_id, n_windows, n_valid, round(mae, 6) AS mae, round(mae_all, 6) AS mae_all, round(rmse, 6) AS rmse,
@@ -426,7 +426,7 @@ def run_benchmark(spark, sf_dir):
 
     f = traces(spark, sf_dir)
     w = analyze(f, FPS, WINDOW_S, STRIDE_S, methods=["pos", "chrom", "green"], truth="hr").withColumn("hr", F.col("hr_bpm"))
-    m = ev.go_no_go(ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"]), ["method"])).orderBy(F.col("median_mae_all").asc_nulls_last())
+    m = ev.go_no_go(ev.benchmark_metrics(ev.subject_metrics(w, ["method", "recording_id"], ["start_s"]), ["method"])).orderBy(F.col("median_mae_all").asc_nulls_last())
     return m.select("method", "n_subjects", "n_windows", *[R(c, n=4) for c in _METRICS], "go_mae", "go_coverage", "go")
 
 
