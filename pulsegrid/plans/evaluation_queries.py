@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +16,12 @@ from pulsegrid.plans.catalog import query
 from pulsegrid.plans.frame_queries import CLIP, QUALITY_SQL, quality_frames
 from pulsegrid.plans.tables import FRAMES_SQL, frames, table
 
-R = lambda c, name=None, n=6: F.round(c if not isinstance(c, str) else F.col(c), n).alias(name or c)
+
+def R(c, name=None, n=6):
+    """``c`` rounded as the twins round: scaled, taken to a whole number and scaled back, where ``round`` goes by decimal digits (0.5040625 is 504062.49999999994 millionths)."""
+    value, unit = F.col(c) if isinstance(c, str) else c, F.lit(10.0**n)
+    return F.when(F.abs(value * unit) < math.inf, F.round(value * unit) / unit).otherwise(value).alias(name or c)
+
 
 WINDOWS_SQL = f"""{FRAMES_SQL},
 windows AS (SELECT event_id, recording_id, i, recording_id % 7 AS cohort, event_type, x / 5.0::DOUBLE AS hr, x / 5.0::DOUBLE + (((k * 37) % 101) - 50) / 5.0::DOUBLE AS gt, valid, k / 100.0::DOUBLE AS confidence,

@@ -1,6 +1,7 @@
 """Rows that tie in a query's order don't depend on how they arrive."""
 
 from pulsegrid.plans import catalog
+from pulsegrid.plans.evaluation_queries import R
 
 
 def test_upsert_of_tied_lines_is_the_same_in_any_order(spark, tmp_path):
@@ -27,3 +28,11 @@ def test_mean_error_at_the_limit_is_the_same_for_any_files(spark, tmp_path):
         assert (metrics.mae_all, metrics.usable) == (5.0, True), name
         (cells,) = catalog.queries()["readiness_confusion"](spark, at).collect()
         assert tuple(cells) == (0, 0, 0, 1, 0), name  # little skin, but usable
+
+
+def test_means_half_way_between_roundings_round_as_in_the_sql(spark):
+    import duckdb
+
+    values = [0.5040625, -0.5040625, 2.5e-6, 1.0000005, 4.1179215, 1e303, float("inf"), None]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", R("x")).orderBy("i").collect()]
+    assert got == [duckdb.sql(f"SELECT round({'NULL' if v is None else repr(str(v))}::DOUBLE, 6)").fetchall()[0][0] for v in values]
