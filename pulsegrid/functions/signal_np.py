@@ -241,19 +241,23 @@ def method(name: str):
     return METHODS[name]
 
 
+def pulse(bvp: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+    """Rate, SNR and stability of each row; NaN for rows under four seconds."""
+    if bvp.shape[1] < int(fs * 4):
+        return {k: np.full(len(bvp), np.nan) for k in ("hr_bpm", "pulse_snr_db", "hr_stability_bpm")}
+    freqs, power = welch(bvp, fs)
+    hr = rates(freqs, power)
+    return {"hr_bpm": hr, "pulse_snr_db": snr_db(freqs, power, hr), "hr_stability_bpm": stability(bvp, fs)}
+
+
 def cardiac(bvp: np.ndarray, fs: float) -> dict[str, np.ndarray]:
-    """Features of each row; NaN (0 beats) for rows under four seconds."""
+    """``pulse`` and the features of beats of each row; NaN (0 beats) for rows under four seconds."""
     m, n = bvp.shape
-    nan = np.full(m, np.nan)
+    out = pulse(bvp, fs)
     if n < int(fs * 4):
-        return {k: nan for k in ("hr_bpm", "pulse_snr_db", "hr_stability_bpm", "pulse_amplitude", "ibi_mean_s", "rmssd_proxy_ms")} | {"n_beats": np.zeros(m, np.int64)}
-    freqs, power = welch(bvp, fs)
-    hr = rates(freqs, power)
+        return out | {k: np.full(m, np.nan) for k in ("pulse_amplitude", "ibi_mean_s", "rmssd_proxy_ms")} | {"n_beats": np.zeros(m, np.int64)}
     ibis = [beats(row, fs) for row in bvp]
-    return {
-        "hr_bpm": hr,
-        "pulse_snr_db": snr_db(freqs, power, hr),
-        "hr_stability_bpm": stability(bvp, fs),
+    return out | {
         "pulse_amplitude": np.percentile(bvp, 95, axis=1) - np.percentile(bvp, 5, axis=1),
         "ibi_mean_s": np.array([x.mean() if len(x) else np.nan for x in ibis]),
         "rmssd_proxy_ms": np.array([np.sqrt(np.mean(np.diff(x) ** 2)) * 1000 if len(x) >= 3 else np.nan for x in ibis]),

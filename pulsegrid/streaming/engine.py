@@ -28,6 +28,9 @@ QUALITY = ("face", "lighting", "sharpness", "motion", "compression")
 COLUMNS = ["r", "g", "b", "valid", *QUALITY]
 OUTPUT = "session_id long, t double, hr_bpm double, snr_db double, confidence double, reason string, calibrated boolean, arousal_bpm double, baseline_bpm double, quality map<string,double>"
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+#: ``quality``'s keys; its values leave the operator as columns of numbers, which cost far less than a map a row.
+SHOWN = ("overall", "face", "lighting", "motion", "compression", "valid_frame_ratio")
+_PLAIN = ", ".join([*OUTPUT.split(", ")[:-1], *(f"{c} double" for c in SHOWN)])
 #: A frame that never came.
 MISSING = np.array([np.nan, np.nan, np.nan, 0, 0, 0, 0, 1, 1], float)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,8 +38,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def _rows(pdf: pd.DataFrame) -> np.ndarray:
     """Frames as numbers: null is NaN, and not valid."""
-    valid = pdf["valid"].astype(object).where(pdf["valid"].notna(), False).astype(float)
-    return np.column_stack([valid if c == "valid" else pdf[c].to_numpy(float) for c in COLUMNS])
+    valid = pdf["valid"].to_numpy()
+    if valid.dtype != bool:
+        valid = pdf["valid"].astype(object).where(pdf["valid"].notna(), False)
+    return np.column_stack([np.asarray(valid, float) if c == "valid" else pdf[c].to_numpy(float) for c in COLUMNS])
 
 
 class Engine:
@@ -122,7 +127,7 @@ class Engine:
             rgb = held[use, :, :3]
             for j in np.flatnonzero(n[use] < self.window):
                 rgb[j] = sig.fill_gaps(rgb[j], valid[use[j]], self.fps, sc.MAX_GAP_S)
-            found = sig.cardiac(sig.method(self.method)(rgb, self.fps), self.fps)
+            found = sig.pulse(sig.method(self.method)(rgb, self.fps), self.fps)
             hr[use], snr[use], spread[use] = found["hr_bpm"], found["pulse_snr_db"], found["hr_stability_bpm"]
         sure = np.isfinite(snr) & np.isfinite(spread)
         pulse = np.where(sure, 1 / (1 + np.exp(-(np.where(sure, snr, 0) - sc.SNR_MID_DB) / sc.SNR_SCALE_DB)) * np.exp(-((np.where(sure, spread, 0) / sc.STABILITY_SCALE_BPM) ** 2)), 0.0)
@@ -174,13 +179,16 @@ class Live(StatefulProcessor):
             engine.waiting = {key[0]: frames(bytes(value[0]))[0] for key, value in self.early.iterator()}
         return engine
 
-    def _save(self, engine: Engine, traces: bool, known: int) -> None:
+    def _save(self, engine: Engine, traces: bool, known: int, early: bool) -> None:
+        """``known``: calm samples that state has already; ``early``: whether it has frames that came early."""
         self.clock.update((engine.n, engine.baseline))
-        for one in engine.calibration[known:]:
-            self.calm.appendValue(one)
-        self.early.clear()
-        self.trace.clear()
-        if traces:
+        if engine.calibration[known:]:
+            self.calm.appendList(engine.calibration[known:])
+        if early:
+            self.early.clear()
+        if not traces:
+            self.trace.clear()
+        else:
             self.trace.update((engine.ring.tobytes(),))
             for i, row in engine.waiting.items():
                 self.early.updateValue((i,), (row.tobytes(),))
@@ -192,15 +200,17 @@ class Live(StatefulProcessor):
 
     def _out(self, key: tuple, samples: list[dict]) -> Iterator[pd.DataFrame]:
         if samples:
-            yield pd.DataFrame(samples).assign(session_id=key[0])[_NAMES]
+            columns = {c: [one.get(c) for one in samples] for c in _NAMES[1:-1]} | {c: [one["quality"][c] for one in samples] for c in SHOWN}
+            yield pd.DataFrame({"session_id": [key[0]] * len(samples)} | columns)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         engine, last = self._load(), timerValues.getCurrentWatermarkInMs()
-        known = len(engine.calibration)
-        pdf = pd.concat(list(rows))
+        known, early = len(engine.calibration), bool(engine.waiting)
+        parts = list(rows)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
         out = engine.push_many(pdf["i"].to_numpy(np.int64), _rows(pdf))
         last = max(last, int(pdf["ms"].max()))
-        self._save(engine, True, known)
+        self._save(engine, True, known, early)
         self._wake(last + self.idle_ms)
         yield from self._out(key, out)
 
@@ -210,9 +220,9 @@ class Live(StatefulProcessor):
             self.calm.clear()
             return
         engine = self._load()
-        known = len(engine.calibration)
+        known, early = len(engine.calibration), bool(engine.waiting)
         out = engine.drain()
-        self._save(engine, False, known)
+        self._save(engine, False, known, early)
         self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.forget_ms)
         yield from self._out(key, out)
 
@@ -229,5 +239,7 @@ def states(packets: DataFrame, fps: float, idle_s: float = 60.0, delay_s: float
     spark = packets.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = packets.select("session_id", "i", "ts", F.unix_millis("ts").alias("ms"), *COLUMNS).where("session_id IS NOT NULL AND i IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", f"{delay_s} seconds")
-    schema = OUTPUT.replace("session_id long", f"session_id {packets.schema['session_id'].dataType.simpleString()}")
-    return rows.groupBy("session_id").transformWithStateInPandas(Live(fps, idle_s, forget_s, options), schema, "append", "eventTime")
+    schema = _PLAIN.replace("session_id long", f"session_id {packets.schema['session_id'].dataType.simpleString()}")
+    out = rows.groupBy("session_id").transformWithStateInPandas(Live(fps, idle_s, forget_s, options), schema, "append", "eventTime")
+    quality = F.create_map(*[x for c in SHOWN for x in (F.lit(c), F.col(c))])
+    return out.select(*_NAMES[:-1], quality.cast("map<string,double>").alias("quality"))
