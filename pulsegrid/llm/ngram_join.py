@@ -20,7 +20,12 @@ the size range below them, and walks pairs of nodes: a pair goes when its
 largest possible overlap is too small, or when everything below is already
 linked. What remains at the leaves is compared element by element.
 
-*Large components* are dealt in blocks by hash. Every block first meets a hub
+*Large components*, which chance agreements chain together and which outgrow the
+input, are first cut by pairs: the classes of each part, and no others, are compared
+by odd sketches, bitmaps of two to four bits a shingle that differ at no more places
+than their sets do. Components of the pairs that pass are dealt as above.
+
+*What stays large* is dealt in blocks by hash. Every block first meets a hub
 block; then only the classes outside their component's largest group meet all
 blocks. So copies by the thousand cost a few comparisons each, and no pair that
 could add a link is left out.
@@ -54,6 +59,8 @@ WORDS_OF_BITMAP = 8
 #: Bits that tell which texts may be a candidate class's: 8 MB at most.
 BITMAP_SLOTS = 1 << 26
 LEAF, FAN = 16, 8
+#: Bytes of a task's sketches, and pairs and words of them that are compared at a time.
+SKETCH_BYTES, PAIRS, WORDS = 4 << 20, 1 << 17, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -202,6 +209,153 @@ def _set_rows(terms, batches):
             yield pa.RecordBatch.from_arrays([piece.column("cls"), piece.column("comp"), pa.array(raw, pa.binary())], ["cls", "comp", "set"])
 
 
+def odd_sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parities of the hashes at each place of a bitmap, which has a power of two places, 64 and two a shingle at least.
+
+    An element in which two sets differ flips one place, so their bitmaps differ at no more places than the sets in elements. A bitmap folds to a shorter one.
+    """
+    n = np.diff(bounds)
+    places = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64)
+    first = np.r_[0, np.cumsum(places)]
+    own = np.repeat(np.arange(len(n)), n)
+    at = first[own] + (mix64(h + np.uint64(37)) & (places[own] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [bits[a:b].tobytes() for a, b in zip(first // 8, first[1:] // 8, strict=False)]
+
+
+class Sketches:
+    """Odd sketches of sets of ``n`` shingles."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray, terms: Terms):
+        self.n, self.terms, self.raw, self.folded = n, terms, raw, {}
+        self.level = np.log2(np.array([len(x) for x in raw], np.int64) // 8).astype(np.int64)
+
+    def _at(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each sketch, sketches) of at least 2**level words, folded to as many."""
+        if level not in self.folded:
+            place, parts, rows = np.full(len(self.n), -1), [], 0
+            for k in np.unique(self.level[self.level >= level]):
+                at = np.flatnonzero(self.level == k)
+                words = np.frombuffer(b"".join(self.raw[i] for i in at), np.uint64).reshape(len(at), 1 << (k - level), 1 << level)
+                parts.append(np.bitwise_xor.reduce(words, axis=1))
+                place[at] = rows + np.arange(len(at))
+                rows += len(at)
+            self.folded[level] = place, np.concatenate(parts)
+        return self.folded[level]
+
+    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets i and j may be similar, for each pair; False is certain."""
+        num, den = self.terms.num, self.terms.den
+        n, m = self.n[i], self.n[j]
+        out = den * np.minimum(n, m) >= num * np.maximum(n, m)
+        level = np.minimum(self.level[i], self.level[j])
+        for k in np.unique(level[out]):
+            place, words = self._at(k)
+            asked = np.flatnonzero(out & (level == k))
+            for a in range(0, len(asked), step := max(1, WORDS >> k)):
+                at = asked[a : a + step]
+                differ = np.bitwise_count(words[place[i[at]]] ^ words[place[j[at]]]).sum(axis=1, dtype=np.int64)
+                out[at] = (num + den) * differ <= (den - num) * (n[at] + m[at])
+        return out
+
+
+def _sketch_rows(terms, batches):
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for a, b in slices(batch.column(at), CHUNK_BYTES):
+            h, bounds = shingle_sets(batch.column(at).slice(a, b - a), terms.n)
+            sig, doc = part_signatures(h, bounds, terms)
+            by = np.argsort(doc, kind="stable")
+            sigs = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[by], np.arange(b - a + 1)), pa.int32()), pa.array(sig[by].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(class_keys(h, bounds)), pa.array(np.diff(bounds), pa.int64()), pa.array(odd_sketches(h, bounds), pa.binary()), sigs], ["cls", "n", "sketch", "sigs"])
+
+
+def _allowed_rows(terms, batches):
+    """(u, v, n and sketch of both) rows to (u, v) of those that may be similar."""
+    for batch in batches:
+        k = len(batch)
+        n = np.concatenate([batch.column(c).to_numpy() for c in ("nu", "nv")])
+        sketches = Sketches([*batch.column("su").to_pylist(), *batch.column("sv").to_pylist()], n, terms)
+        keep = pa.array(sketches.allow(np.arange(k), k + np.arange(k)))
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray):
+    """(i, j) for every j of [lo[i], hi[i])."""
+    count = np.maximum(hi - lo, 0)
+    i = np.repeat(np.arange(len(lo)), count)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + lo[i]
+
+
+def _cross_task(terms: Terms, key: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs (u, v) of classes of one part whose labels differ and whose sizes allow a link, once each."""
+    sig, cls, label, n = (rows.column(c).to_numpy() for c in ("sig", "cls", "label", "n"))
+    by = np.lexsort((label, sig))
+    sig, cls, label, n = sig[by], cls[by], label[by], n[by]
+    ends = lambda new: np.r_[np.flatnonzero(new) + 1, len(sig)][np.cumsum(np.r_[0, new])]
+    part = sig[1:] != sig[:-1]
+    lo, hi = ends(part | (label[1:] != label[:-1])), ends(part)
+    found, total = [np.zeros((0, 2), np.int64)], np.cumsum(hi - lo)
+    for a, b in _runs(total):
+        i, j = _spread(lo[a:b], hi[a:b])
+        i = i + a
+        near = terms.den * np.minimum(n[i], n[j]) >= terms.num * np.maximum(n[i], n[j])
+        found.append(np.unique(np.sort(np.stack([cls[i[near]], cls[j[near]]], axis=1), axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+def _runs(total: np.ndarray):
+    """[a, b) of rows with about ``PAIRS`` pairs, from the running total; a row at least."""
+    a = 0
+    while a < len(total):
+        before = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+        yield a, b
+        a = b
+
+
+def _group_task(terms: Terms, key: tuple, rows: pa.Table) -> pa.Table:
+    """Links (u, v) that join the classes of each part wherever sketches allow it; of blocks b and c, pairs between them."""
+    n, sig = rows.column("n").to_numpy(), rows.column("sig").to_numpy()
+    by = np.lexsort((n, sig))
+    n, sig, cls, block = n[by], sig[by], rows.column("cls").to_numpy()[by], rows.column("block").to_numpy()[by]
+    _, label = np.unique(rows.column("label").to_numpy()[by], return_inverse=True)
+    raw = rows.column("sketch").to_pylist()
+    sketches = Sketches([raw[i] for i in by], n, terms)
+    part = np.cumsum(np.r_[0, sig[1:] != sig[:-1]])
+    # the last row of the part that isn't too large
+    wide = int(n.max()) * terms.den // terms.num + 2
+    hi = np.searchsorted(part * wide + n, part * wide + n * terms.den // terms.num, "right")
+    lo = np.arange(1, len(n) + 1)
+    group = np.arange(label.max() + 1)
+    u, v = [], []
+    for a, b in _runs(np.cumsum(np.maximum(hi - lo, 0))):
+        i, j = _spread(lo[a:b], hi[a:b])
+        i = i + a
+        asked = (group[label[i]] != group[label[j]]) & ((key[1] == key[2]) | (block[i] != block[j]))
+        i, j = i[asked], j[asked]
+        ok = sketches.allow(i, j)
+        i, j = i[ok], j[ok]
+        while len(i):  # a link, and then what is left to link
+            x, y = group[label[i]], group[label[j]]
+            new = x != y
+            i, j, x, y = i[new], j[new], x[new], y[new]
+            if not len(i):
+                break
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            high, at = np.unique(high, return_index=True)  # each group goes under one that is lower
+            to = np.arange(len(group))
+            to[high] = low[at]
+            while (to[to] != to).any():
+                to = to[to]
+            group = to[group]
+            u.append(cls[i[at]])
+            v.append(cls[j[at]])
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+    return pa.Table.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 class Tree:
     """A signature tree over sets: per node OR and AND bitmaps, size range, and its rows [lo, hi) in tree order."""
 
@@ -306,6 +460,56 @@ def _tasks(rows: DataFrame, terms: Terms) -> DataFrame:
     return rows.repartition("comp", "rb", "b").groupBy("comp", "rb", "b").applyInArrow(lambda key, rows: _link_task(terms, key, rows), "u long, v long")
 
 
+def _marked(rows: DataFrame, speaks: DataFrame) -> DataFrame:
+    """(id, h, text) of the ``rows`` that may be one of ``speaks`` (id, h), without moving any: few others pass."""
+    told = F.xxhash64("id", "h")
+    marked = rows.withColumns({"id": _named(F.col("doc_id")), "h": F.col("th")}).join(F.broadcast(_bitmap(speaks, told)), F.bitmap_bucket_number(_slot(told)) == F.col("bucket"))
+    return marked.where(_holds(F.col("bits"), F.bitmap_bit_position(_slot(told)))).select("id", "h", "text")
+
+
+def _named(c):
+    return F.coalesce(c, F.lit(-(1 << 63)))
+
+
+def _allowed(pairs: DataFrame, drawn: DataFrame, terms: Terms) -> DataFrame:
+    one, two = (drawn.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(frugal(partial(_allowed_rows, terms)), "u long, v long")
+
+
+def _refined(rows: DataFrame, speaks: DataFrame, terms: Terms) -> DataFrame:
+    """(cls, comp) of the classes ``speaks`` stands for, by the pairs that agree on a part and that sketches allow; a class without such a pair has none.
+
+    Every link is such a pair, so components of these pairs hold all links. Parts are cut again from the classes' texts, which don't move. First each class
+    meets the least class of each of its parts. Then parts that still hold several groups are compared in full, as pairs where these are few, which many
+    parts may share, and as rows with sketches otherwise: a part's rows are dealt once, and those of one beyond ``SKETCH_BYTES`` in pairs of blocks.
+    """
+    drawn = staged(_marked(rows, speaks).mapInArrow(frugal(partial(_sketch_rows, terms)), "cls long, n long, sketch binary, sigs array<long>"), "sketches")
+    part = W.partitionBy("sig")
+    shared = drawn.select(F.explode("sigs").alias("sig"), "cls", "n").withColumns({"head": F.min("cls").over(part), "last": F.max("cls").over(part)})
+    shared = staged(shared.where("head <> last").drop("last"), "shared")
+    drawn = drawn.drop("sigs").dropDuplicates(["cls"])
+    links = staged(_allowed(shared.where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct(), drawn, terms), "links")
+    label = components(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    mixed = shared.join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label")).distinct()
+    weight = F.col("n") * 3 / 8 + 64
+    mixed = mixed.withColumns({"g": F.count("*").over(part), "own": F.count("*").over(W.partitionBy("sig", "label"))}).where("own < g")
+    mixed = mixed.withColumns({"cross": F.sum(F.col("g") - F.col("own")).over(part) / 2, "bytes": F.sum(weight).over(part)})
+    mixed = staged(mixed, "mixed")
+    few = F.col("cross") <= F.col("g") * F.greatest(F.col("n") / 256, F.lit(1))
+    few = mixed.groupBy("sig").agg(F.min(few).alias("few"))
+    mixed = mixed.join(few, "sig")
+    total = mixed.agg(F.sum(F.when(F.col("few"), 64).otherwise(weight)).alias("bytes")).first().bytes or 0
+    task = F.pmod(F.xxhash64("sig"), F.lit(int(total // SKETCH_BYTES) + 1))
+    pairs = mixed.where("few").select("sig", "cls", "label", "n", task.alias("task")).groupBy("task").applyInArrow(lambda key, rows: _cross_task(terms, key, rows), "u long, v long").distinct()
+    dealt = mixed.where("NOT few").withColumn("blocks", F.ceil(F.col("bytes") / SKETCH_BYTES).cast("long")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(drawn.select("cls", "sketch"), "cls")
+    dealt = dealt.select(F.when(F.col("blocks") > 1, F.col("sig")).otherwise(task).alias("task"), F.least("block", "other").alias("b"), F.greatest("block", "other").alias("c"), "sig", "cls", "n", "label", "block", "sketch")
+    # dealt by all three, as above
+    more = dealt.repartition("task", "b", "c").groupBy("task", "b", "c").applyInArrow(lambda key, rows: _group_task(terms, key, rows), "u long, v long")
+    links = links.unionByName(_allowed(pairs, drawn, terms)).unionByName(more)
+    return components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+
+
 def _slot(key):
     """A key's place in a bitmap of ``BITMAP_SLOTS``, from 1."""
     return F.pmod(key, F.lit(BITMAP_SLOTS)) + 1
@@ -348,14 +552,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = sent.withColumn("head", head).where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(near).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     cand = staged(groups.join(classes, "cls"), "candidates")
-    size = cand.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.greatest("n", F.lit(SET_WEIGHT))) / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
-    # one text of each candidate class becomes its set, once
-    named = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    speaks = cand.select("cls", "comp", named(F.col("speaker.doc_id")).alias("id"), F.col("speaker.th").alias("h"), F.col("speaker.rows").alias("rows"))
-    # only texts that may be speakers move; the join decides
-    told = F.xxhash64("id", "h")
-    marked = rows.withColumns({"id": named(F.col("doc_id")), "h": F.col("th")}).join(F.broadcast(_bitmap(speaks, told)), F.bitmap_bucket_number(_slot(told)) == F.col("bucket"))
-    marked = marked.where(_holds(F.col("bits"), F.bitmap_bit_position(_slot(told)))).select("id", "h", "text")
+    sized = lambda c: c.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.greatest("n", F.lit(SET_WEIGHT))) / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
+    speaker = lambda c: c.select("cls", "comp", _named(F.col("speaker.doc_id")).alias("id"), F.col("speaker.th").alias("h"), F.col("speaker.rows").alias("rows"))
+    large = sized(cand).where("blocks > 1").select("comp")
+    if large.limit(1).count():
+        fine = _refined(rows, speaker(cand.join(large, "comp")), terms)
+        cut = cand.join(large, "comp").drop("comp").join(fine, "cls").select(*cand.columns)
+        cand = staged(cand.join(large, "comp", "left_anti").select(*cand.columns).unionByName(cut), "refined")
+    size = sized(cand)
+    # one text of each candidate class becomes its set, once; only texts that may be speakers move; the join decides
+    speaks = speaker(cand)
+    marked = _marked(rows, speaks)
     held = marked.join(speaks.hint("shuffle_hash"), ["id", "h"]).select("cls", "comp", "text", "rows")
     if cand.where("speaker.rows > 1").limit(1).count():  # rows repeated whole
         held = held.where("rows = 1").unionByName(held.where("rows > 1").dropDuplicates(["cls"]))
