@@ -206,7 +206,8 @@ def _set_rows(terms, batches):
             piece = batch.slice(a, b - a)
             h, bounds = shingle_sets(piece.column(at), terms.n)
             raw = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([piece.column("cls"), piece.column("comp"), pa.array(raw, pa.binary())], ["cls", "comp", "set"])
+            names = ["cls", "comp", "blocks"]
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in names], pa.array(raw, pa.binary())], [*names, "set"])
 
 
 def odd_sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -260,14 +261,23 @@ class Sketches:
 
 
 def _sketch_rows(terms, batches):
+    for piece in _texts(batches):
+        h, bounds = shingle_sets(piece, terms.n)
+        yield pa.RecordBatch.from_arrays([pa.array(class_keys(h, bounds)), pa.array(np.diff(bounds), pa.int64()), pa.array(odd_sketches(h, bounds), pa.binary())], ["cls", "n", "sketch"])
+
+
+def _part_rows(terms, batches):
+    for piece in _texts(batches):
+        h, bounds = shingle_sets(piece, terms.n)
+        sig, doc = part_signatures(h, bounds, terms)
+        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(class_keys(h, bounds)[doc]), pa.array(np.diff(bounds)[doc], pa.int64())], ["sig", "cls", "n"])
+
+
+def _texts(batches):
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        for a, b in slices(batch.column(at), CHUNK_BYTES):
-            h, bounds = shingle_sets(batch.column(at).slice(a, b - a), terms.n)
-            sig, doc = part_signatures(h, bounds, terms)
-            by = np.argsort(doc, kind="stable")
-            sigs = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[by], np.arange(b - a + 1)), pa.int32()), pa.array(sig[by].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(class_keys(h, bounds)), pa.array(np.diff(bounds), pa.int64()), pa.array(odd_sketches(h, bounds), pa.binary()), sigs], ["cls", "n", "sketch", "sigs"])
+        text = batch.column(batch.schema.get_field_index("text"))
+        for a, b in slices(text, CHUNK_BYTES):
+            yield text.slice(a, b - a)
 
 
 def _allowed_rows(terms, batches):
@@ -483,11 +493,11 @@ def _refined(rows: DataFrame, speaks: DataFrame, terms: Terms) -> DataFrame:
     meets the least class of each of its parts. Then parts that still hold several groups are compared in full, as pairs where these are few, which many
     parts may share, and as rows with sketches otherwise: a part's rows are dealt once, and those of one beyond ``SKETCH_BYTES`` in pairs of blocks.
     """
-    drawn = staged(_marked(rows, speaks).mapInArrow(frugal(partial(_sketch_rows, terms)), "cls long, n long, sketch binary, sigs array<long>"), "sketches")
+    marked = _marked(rows, speaks)
+    drawn = staged(marked.mapInArrow(frugal(partial(_sketch_rows, terms)), "cls long, n long, sketch binary").dropDuplicates(["cls"]), "sketches")
     part = W.partitionBy("sig")
-    shared = drawn.select(F.explode("sigs").alias("sig"), "cls", "n").withColumns({"head": F.min("cls").over(part), "last": F.max("cls").over(part)})
+    shared = marked.mapInArrow(frugal(partial(_part_rows, terms)), "sig long, cls long, n long").withColumns({"head": F.min("cls").over(part), "last": F.max("cls").over(part)})
     shared = staged(shared.where("head <> last").drop("last"), "shared")
-    drawn = drawn.drop("sigs").dropDuplicates(["cls"])
     links = staged(_allowed(shared.where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct(), drawn, terms), "links")
     label = components(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
     mixed = shared.join(label, "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label")).distinct()
@@ -562,12 +572,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = sized(cand)
     # one text of each candidate class becomes its set, once; only texts that may be speakers move; the join decides
     speaks = speaker(cand)
-    marked = _marked(rows, speaks)
-    held = marked.join(speaks.hint("shuffle_hash"), ["id", "h"]).select("cls", "comp", "text", "rows")
+    held = _marked(rows, speaks).join(speaks.join(size, "comp").hint("shuffle_hash"), ["id", "h"]).select("cls", "comp", "blocks", "text", "rows")
     if cand.where("speaker.rows > 1").limit(1).count():  # rows repeated whole
         held = held.where("rows = 1").unionByName(held.where("rows > 1").dropDuplicates(["cls"]))
-    held = held.mapInArrow(frugal(partial(_set_rows, terms)), "cls long, comp long, set binary")
-    sets = staged(held, "sets").join(size, "comp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    held = held.mapInArrow(frugal(partial(_set_rows, terms)), "cls long, comp long, blocks long, set binary")
+    sets = staged(held, "sets").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     first = sets.withColumn("label", F.col("cls")).withColumn("probe", F.lit(True)).withColumn("rb", F.lit(0).cast("long"))
     hub = first.where("b = 0 AND blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))
     cols = ["cls", "comp", "label", "probe", "set", "rb", "b"]
